@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from tunekit.catalog import data, validation  # noqa: F401
+from tunekit.catalog import data, log, proposals, validation  # noqa: F401
 from tunekit.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

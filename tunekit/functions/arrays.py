@@ -47,7 +47,7 @@ def midpoint(a: Column, b: Column) -> Column:
 
 def running_total(xs: Column) -> Column:
     """Running sums of a short array."""
-    step = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) + x))
+    step = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x))
     return F.aggregate(xs, F.array().cast("array<double>"), step)
 
 

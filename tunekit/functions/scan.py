@@ -56,44 +56,58 @@ def with_chunks(df: DataFrame, keys: Sequence[str], order: Column, rows: int = C
     )
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: dict[str, tuple[Column, str]],
-    inclusive: bool = True,
-) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple]) -> DataFrame:
     """Running `sum` or `max` per group over a table from `with_chunks`.
 
-    `values` maps an output name to (expression, "sum" | "max").  With `inclusive=False` the current row
-    is left out (null on the first row of a group).
+    `values` maps an output name to (expression, "sum" | "max") or (expression, "sum" | "max", False); with
+    False the current row is left out (null on the first row of a group).
     """
     keys = list(keys)
     part = keys + ["chunk", "chunk2"]
-    end = Window.currentRow if inclusive else -1
-    local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    before_fine = Window.partitionBy(*keys, "chunk").orderBy("chunk2").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-
-    base = df
-    for name, (expr, _) in values.items():
-        base = base.withColumn(f"_in_{name}", expr)
-    merge = {name: _MERGE[kind] for name, (_, kind) in values.items()}
+    merge = {name: _MERGE[v[1]] for name, v in values.items()}
+
+    def local(name: str) -> Column:
+        own = len(values[name]) < 3 or values[name][2]
+        w = Window.partitionBy(*part).orderBy(*order)
+        return merge[name](f"_in_{name}").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1))
+
+    def before(name: str, cell: str, group: list[str], by: str) -> Column:
+        w = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+        return merge[name](f"{cell}_{name}").over(w)
+
+    base = df.select("*", *[v[0].alias(f"_in_{name}") for name, v in values.items()])
     fine = base.groupBy(*part).agg(*[m(f"_in_{n}").alias(f"_f_{n}") for n, m in merge.items()])
     coarse = fine.groupBy(*keys, "chunk").agg(*[m(f"_f_{n}").alias(f"_c_{n}") for n, m in merge.items()])
-    coarse = coarse.select(*keys, "chunk", *[m(f"_c_{n}").over(before).alias(f"_cb_{n}") for n, m in merge.items()])
-    fine = fine.select(*part, *[m(f"_f_{n}").over(before_fine).alias(f"_fb_{n}") for n, m in merge.items()])
+    coarse = coarse.select(*keys, "chunk", *[before(n, "_c", keys, "chunk").alias(f"_cb_{n}") for n in merge])
+    fine = fine.select(*part, *[before(n, "_f", keys + ["chunk"], "chunk2").alias(f"_fb_{n}") for n in merge])
     offsets = fine.join(coarse, keys + ["chunk"])
-    out = base.select(
-        *df.columns, *[m(f"_in_{n}").over(local).alias(f"_l_{n}") for n, m in merge.items()]
-    ).join(offsets, part)
+    out = base.select(*df.columns, *[local(n).alias(f"_l_{n}") for n in merge]).join(offsets, part)
 
-    def joined(name: str, kind: str) -> Column:
+    def joined(name: str) -> Column:
         cells = [F.col(f"_l_{name}"), F.col(f"_fb_{name}"), F.col(f"_cb_{name}")]
-        if kind == "max":
+        if merge[name] is F.max:
             return F.greatest(*cells)
-        some = F.coalesce(*cells).isNotNull()
-        zero = F.lit(0)
-        return F.when(some, sum((F.coalesce(c, zero) for c in cells[1:]), F.coalesce(cells[0], zero)))
+        filled = [F.coalesce(c, F.lit(0)) for c in cells]
+        return F.when(F.coalesce(*cells).isNotNull(), filled[0] + filled[1] + filled[2])
+
+    return out.select(*df.columns, *[joined(n).alias(n) for n in merge])
 
-    return out.select(*df.columns, *[joined(n, k).alias(n) for n, (_, k) in values.items()])
+
+def decayed_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, decay: float) -> DataFrame:
+    """(keys..., total, n): sum of value * decay ^ (rows that follow), over a table from `with_chunks`.
+
+    Each part is summed with its own last row at weight 1 and then aged by the rows of the parts behind it.
+    """
+    keys = list(keys)
+    level = df.select("*", value.cast("double").alias("_v"), F.lit(1).cast("long").alias("_m"))
+    aged = F.lit(float(decay))
+    steps = [(keys + ["chunk", "chunk2"], list(order)), (keys + ["chunk"], ["chunk2"]), (keys, ["chunk"])]
+    for part, by in steps:
+        behind = Window.partitionBy(*part).orderBy(*[F.desc(c) for c in by]).rowsBetween(Window.unboundedPreceding, -1)
+        rows = F.coalesce(F.sum("_m").over(behind), F.lit(0))
+        level = (
+            level.withColumn("_v", F.col("_v") * F.pow(aged, rows))
+            .groupBy(*part)
+            .agg(F.sum("_v").alias("_v"), F.sum("_m").alias("_m"))
+        )
+    return level.select(*keys, F.col("_v").alias("total"), F.col("_m").alias("n"))
