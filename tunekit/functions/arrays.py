@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,21 +51,37 @@ def running_total(xs: Column) -> Column:
     return F.aggregate(xs, F.array().cast("array<double>"), step)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often and inside whichever lambda it is used.
+
+    An expression that stands inside a lambda would otherwise be computed again for each array element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns computed once per row; the optimizer does not push them into the lambdas that use them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def roulette_index(weights: Column, u: Column) -> Column:
     """0-based index of the first running weight that reaches `u` times the whole; null when all are 0.
 
     For bounded arrays (a best set, the list of strategies, the parameters of one chain); for a
     weight table of any length use `operators.propose.roulette_pick`.
     """
-    sums = F.filter(F.transform(weights, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"] > 0)
-    whole = total(weights)
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("int").alias("hit"))
-
-    def step(acc, s):
-        run = acc["run"] + s["w"]
-        hit = F.when(acc["hit"].isNull() & (run >= u * whole), s["i"]).otherwise(acc["hit"])
-        return F.struct(run.alias("run"), hit.alias("hit"))
-
-    # rounding may leave the last running sum a hair under u * whole: then the last slice wins
-    last = F.try_element_at(sums, F.lit(-1))["i"]
-    return F.aggregate(sums, start, step, lambda acc: F.coalesce(acc["hit"], last))
+    start = F.struct(
+        F.lit(0.0).alias("run"), F.lit(None).cast("int").alias("hit"), F.lit(None).cast("int").alias("last"), F.lit(0).alias("i")
+    )
+
+    def spin(ws: Column, goal: Column) -> Column:
+        def step(acc: Column, w: Column) -> Column:
+            run = acc["run"] + w
+            hit = F.when(acc["hit"].isNull() & (w > 0) & (run >= goal), acc["i"]).otherwise(acc["hit"])
+            last = F.when(w > 0, acc["i"]).otherwise(acc["last"])
+            return F.struct(run.alias("run"), hit.alias("hit"), last.alias("last"), (acc["i"] + 1).alias("i"))
+
+        # rounding may leave the last running sum a hair under the goal: then the last slice wins
+        return F.aggregate(ws, start, step, lambda acc: F.coalesce(acc["hit"], acc["last"]))
+
+    return let(weights, lambda ws: let(u * total(ws), lambda goal: spin(ws, goal)))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.functions import arrays
+from tunekit.functions.arrays import bind, let
 from tunekit.functions.draws import gaussian, gaussian_nonnegative, normal, uniform
 from tunekit.functions.scan import decayed_sum, running, with_chunks
 from tunekit.operators import trials as tl
@@ -53,9 +54,9 @@ def states(
     return base.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
 
 
-def finish(df: DataFrame, space: Space, strategy: str) -> DataFrame:
-    """Clamp and round the `proposed` column and drop slots without a proposal."""
-    kept = df.filter(F.col("proposed").isNotNull())
+def finish(df: DataFrame, proposed: Column, space: Space, strategy: str) -> DataFrame:
+    """Clamp and round the proposed vectors and drop slots without a proposal."""
+    kept = bind(df, proposed=proposed).filter(F.col("proposed").isNotNull())
     return kept.select(
         *KEY, F.lit(strategy).alias("strategy"), space.format(F.col("proposed")).alias("params"), F.col("current.params").alias("parent")
     )
@@ -77,18 +78,16 @@ def pick_param(weights: Column, u: Column, n: int) -> Column:
 
 def raised(importances: Column) -> Column:
     """Importances plus their maximum: similar chances for every parameter."""
-    top = F.array_max(importances)
-    return F.transform(importances, lambda w: w + top)
+    return let(F.array_max(importances), lambda top: F.transform(importances, lambda w: w + top))
 
 
 def peer_index(best: Column, salt: str) -> Column:
     """0-based index into the best set by roulette on the objective above the smallest one."""
     low = F.array_min(F.transform(best, lambda b: b["objective"]))
-    floor = low - F.lit(1e-6) * F.abs(low)
-    weights = F.transform(
-        best,
-        lambda b: gaussian_nonnegative(b["objective"] - floor, PEER_JITTER, normal([*KEY, b["trial_id"]], f"{salt}/peer")),
+    jitter = lambda b, floor: gaussian_nonnegative(
+        b["objective"] - floor, PEER_JITTER, normal([*KEY, b["trial_id"]], f"{salt}/peer")
     )
+    weights = let(low - F.lit(1e-6) * F.abs(low), lambda floor: F.transform(best, lambda b: jitter(b, floor)))
     u = uniform(KEY, f"{salt}/pick")
     return F.coalesce(arrays.roulette_index(weights, u), F.floor(u * F.size(best)).cast("int"))
 
@@ -104,11 +103,12 @@ def crossover(state: DataFrame, space: Space, salt: str = "cross") -> DataFrame:
     """Head of the current vector, tail of a best one; nothing to cross with a single parameter."""
     n = len(space)
     if n <= 1:
-        return finish(state.withColumn("proposed", F.col("current.params")), space, "crossover")
+        return finish(state, F.col("current.params"), space, "crossover")
     cut = F.greatest(F.floor(uniform(KEY, f"{salt}/cut") * n).cast("int"), F.lit(1))
-    peer = F.element_at("best", peer_index(F.col("best"), salt) + 1)["params"]
+    df = bind(state, _cut=cut, _peer=peer_index(F.col("best"), salt))
+    cut, peer = F.col("_cut"), F.element_at("best", F.col("_peer") + 1)["params"]
     both = F.concat(F.slice(F.col("current.params"), F.lit(1), cut), F.slice(peer, cut + 1, F.lit(n) - cut))
-    return finish(state.withColumn("proposed", both), space, "crossover")
+    return finish(df, both, space, "crossover")
 
 
 def mutation(state: DataFrame, space: Space, salt: str = "mutate", factor: float = 1.0) -> DataFrame:
@@ -119,13 +119,13 @@ def mutation(state: DataFrame, space: Space, salt: str = "mutate", factor: float
     weights = F.transform(
         "importances", lambda w, i: gaussian_nonnegative(w, PEER_JITTER, normal([*KEY, i], f"{salt}/weight"))
     )
-    picked = state.withColumn("_i", pick_param(weights, uniform(KEY, f"{salt}/idx"), len(space)))
+    df = bind(state, _i=pick_param(weights, uniform(KEY, f"{salt}/idx"), len(space)))
     now = F.element_at(F.col("current.params"), F.col("_i") + 1)
     start = spec_at(space, F.col("_i"), "start")
     reach = F.abs(now - start) + spec_at(space, F.col("_i"), "pace") * F.abs(normal(KEY, f"{salt}/n"))
     drawn = start + _sign(salt) * uniform(KEY, f"{salt}/u") * reach * F.lit(float(factor))
-    value = F.when(spec_at(space, F.col("_i"), "kind") == BOOLEAN, 1.0 - now).otherwise(drawn)
-    return finish(picked.withColumn("proposed", with_param(F.col("current.params"), F.col("_i"), value)), space, "mutation")
+    df = bind(df, _v=F.when(spec_at(space, F.col("_i"), "kind") == BOOLEAN, 1.0 - now).otherwise(drawn))
+    return finish(df, with_param(F.col("current.params"), F.col("_i"), F.col("_v")), space, "mutation")
 
 
 def regression_step(state: DataFrame, space: Space, salt: str = "regress", factor: float = 1.0) -> DataFrame:
@@ -134,24 +134,26 @@ def regression_step(state: DataFrame, space: Space, salt: str = "regress", facto
     The step in objective units is the mean distance of the best set's objectives, nearer ones weighing more;
     it is split over the parameters so that the linear surrogate rises by it.
     """
-    chosen = state.withColumn("_row", F.element_at("best", peer_index(F.col("best"), salt) + 1))
-    y = F.col("_row.objective")
-    diffs = F.transform("best", lambda b: F.abs(b["objective"] - y))
-    apart = F.filter(diffs, lambda d: d > 0)
-    top, low = F.array_max(apart), F.array_min(apart)
-    near = F.transform(diffs, lambda d: (top - d) / top)
-    mean = arrays.dot(near, diffs) / arrays.total(near)
-    step = F.when(top.isNotNull() & (top != low), mean).otherwise(y * F.lit(FIRST_STEP)) * F.lit(float(factor))
-    moved = climb(F.col("_row.params"), F.col("weights"), step, space)
-    return finish(chosen.withColumn("proposed", moved), space, "regression")
+    df = bind(state, _peer=peer_index(F.col("best"), salt))
+    df = bind(df, _row=F.element_at("best", F.col("_peer") + 1))
+    df = bind(df, _diffs=F.transform("best", lambda b: F.abs(b["objective"] - F.col("_row.objective"))))
+    apart = F.filter("_diffs", lambda d: d > 0)
+    df = bind(df, _top=F.array_max(apart), _low=F.array_min(apart))
+    top = F.col("_top")
+    df = bind(df, _near=F.transform("_diffs", lambda d: (top - d) / top))
+    mean = arrays.dot(F.col("_near"), F.col("_diffs")) / arrays.total(F.col("_near"))
+    spread = top.isNotNull() & (top != F.col("_low"))
+    df = bind(df, _step=F.when(spread, mean).otherwise(F.col("_row.objective") * F.lit(FIRST_STEP)) * F.lit(float(factor)))
+    return finish(df, climb(F.col("_row.params"), F.col("weights"), F.col("_step"), space), space, "regression")
 
 
 def climb(params: Column, weights: Column, step: Column, space: Space) -> Column:
     """params + w step / |w|^2, or one pace each when all weights are 0."""
-    size = arrays.total(F.transform(weights, lambda w: w * w))
-    along = F.zip_with(params, weights, lambda x, w: x + w * step / size)
     paced = F.zip_with(params, space.array("pace"), lambda x, p: x + p)
-    return F.when(size > 0, along).otherwise(paced)
+    along = lambda rate: F.zip_with(params, weights, lambda x, w: x + w * rate)
+    size = arrays.total(F.transform(weights, lambda w: w * w))
+    rate = let(size, lambda q: F.when(q > 0, step / q))
+    return let(rate, lambda r: F.when(r.isNotNull(), along(r)).otherwise(paced))
 
 
 # ------------------------------------------------------------------ strategies that look at the whole log
@@ -167,14 +169,14 @@ def boundary_expand(state: DataFrame, trials: DataFrame, space: Space, salt: str
         lambda h, s: (h["low"] <= s["a"]) & (h["high"] >= s["b"]),
     )
     weights = F.zip_with(raised(F.col("importances")), full, lambda w, f: F.when(f, 0.0).otherwise(w))
-    picked = state.withColumn("_i", arrays.roulette_index(weights, uniform(KEY, f"{salt}/idx")))
+    df = bind(state, _i=arrays.roulette_index(weights, uniform(KEY, f"{salt}/idx")))
     idx = F.col("_i")
     now = F.element_at(F.col("current.params"), idx + 1)
     reach = spec_at(space, idx, "pace") * (1.0 + F.abs(normal(KEY, f"{salt}/n")))
     out = F.when(_sign(salt) > 0, F.element_at("high", idx + 1) + reach).otherwise(F.element_at("low", idx + 1) - reach)
-    value = F.when(spec_at(space, idx, "kind") == BOOLEAN, 1.0 - now).otherwise(out)
-    proposed = F.when(idx.isNotNull(), with_param(F.col("current.params"), idx, value))
-    return finish(picked.withColumn("proposed", proposed), space, "expand")
+    df = bind(df, _v=F.when(spec_at(space, idx, "kind") == BOOLEAN, 1.0 - now).otherwise(out))
+    proposed = F.when(idx.isNotNull(), with_param(F.col("current.params"), idx, F.col("_v")))
+    return finish(df, proposed, space, "expand")
 
 
 def gap_midpoint(state: DataFrame, trials: DataFrame, space: Space, salt: str = "gap") -> DataFrame:
@@ -182,7 +184,7 @@ def gap_midpoint(state: DataFrame, trials: DataFrame, space: Space, salt: str =
 
     No proposal where the history is even and reaches both bounds.  Only the chosen columns of the log are scanned.
     """
-    chosen = state.withColumn("_i", pick_param(raised(F.col("importances")), uniform(KEY, f"{salt}/idx"), len(space)))
+    chosen = bind(state, _i=pick_param(raised(F.col("importances")), uniform(KEY, f"{salt}/idx"), len(space)))
     wanted = chosen.select(*tl.STUDY, "_i").distinct()
     history = trials.join(wanted, tl.STUDY).select(*tl.STUDY, "_i", "trial_id", F.element_at("params", F.col("_i") + 1).alias("v"))
     gaps = tl.largest_gap(history, [*tl.STUDY, "_i"], "v", "trial_id").drop("n")
@@ -191,36 +193,35 @@ def gap_midpoint(state: DataFrame, trials: DataFrame, space: Space, salt: str =
     done = F.col("balanced") & (F.col("low") <= spec_at(space, idx, "low")) & (F.col("high") >= spec_at(space, idx, "high"))
     middle = (F.col("lower.v") + F.col("upper.v")) / 2.0
     proposed = F.when(~done, with_param(F.col("current.params"), idx, middle))
-    return finish(both.withColumn("proposed", proposed), space, "gap")
+    return finish(both, proposed, space, "gap")
 
 
 def _ignited(state: DataFrame, trials: DataFrame) -> DataFrame:
     pairs = tl.farthest_pairs(trials).select(*tl.STUDY, F.col("lower.payload").alias("_p"), F.col("upper.payload").alias("_q"))
-    return state.join(pairs, tl.STUDY).withColumn("_mid", arrays.midpoint(F.col("_p.params"), F.col("_q.params")))
+    return bind(state.join(pairs, tl.STUDY), _mid=arrays.midpoint(F.col("_p.params"), F.col("_q.params")))
 
 
 def ignite(state: DataFrame, trials: DataFrame, space: Space) -> DataFrame:
     """Middle of the two vectors on both sides of the widest gap of norms."""
-    return finish(_ignited(state, trials).withColumn("proposed", F.col("_mid")), space, "ignite")
+    return finish(_ignited(state, trials), F.col("_mid"), space, "ignite")
 
 
 def ignite_mutation(state: DataFrame, trials: DataFrame, space: Space, salt: str = "ignmut", factor: float = 1.0) -> DataFrame:
     """`ignite`, then one parameter moved by at least one pace."""
     df = _ignited(state, trials)
-    df = df.withColumn("_i", pick_param(raised(F.col("importances")), uniform(KEY, f"{salt}/idx"), len(space)))
+    df = bind(df, _i=pick_param(raised(F.col("importances")), uniform(KEY, f"{salt}/idx"), len(space)))
     idx = F.col("_i")
     reach = spec_at(space, idx, "pace") * (F.lit(float(factor)) + F.abs(normal(KEY, f"{salt}/n")))
     flipped = 1.0 - F.element_at(F.col("current.params"), idx + 1)
     moved = F.element_at("_mid", idx + 1) + _sign(salt) * reach
-    value = F.when(spec_at(space, idx, "kind") == BOOLEAN, flipped).otherwise(moved)
-    return finish(df.withColumn("proposed", with_param(F.col("_mid"), idx, value)), space, "ignite_mutation")
+    df = bind(df, _v=F.when(spec_at(space, idx, "kind") == BOOLEAN, flipped).otherwise(moved))
+    return finish(df, with_param(F.col("_mid"), idx, F.col("_v")), space, "ignite_mutation")
 
 
 def ignite_regression(state: DataFrame, trials: DataFrame, space: Space) -> DataFrame:
     """`ignite`, then a step of half the pair's objective distance along the surrogate's weights."""
-    df = _ignited(state, trials)
-    step = F.abs(F.col("_p.objective") - F.col("_q.objective")) / 2.0
-    return finish(df.withColumn("proposed", climb(F.col("_mid"), F.col("weights"), step, space)), space, "ignite_regression")
+    df = bind(_ignited(state, trials), _step=F.abs(F.col("_p.objective") - F.col("_q.objective")) / 2.0)
+    return finish(df, climb(F.col("_mid"), F.col("weights"), F.col("_step"), space), space, "ignite_regression")
 
 
 # The strategies a study chooses from, in their order.
@@ -292,13 +293,14 @@ def pick_strategy(
     """(study_id, slot, strategy): a roulette over jittered rewards above the smallest one; `dead` ones never."""
     alive = F.array(*[F.lit(0.0 if n in dead else 1.0) for n in names])
     low = F.array_min("rewards")
-    floor = low - F.lit(1e-6) * F.abs(low)
-    df = table.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    df = bind(table, _floor=low - F.lit(1e-6) * F.abs(low)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    floor = F.col("_floor")
     jittered = F.transform(
         "rewards", lambda r, i: F.greatest(gaussian(r - floor, STRATEGY_JITTER, normal([*KEY, i], f"{salt}/n")), F.lit(0.0))
     )
     weights = F.zip_with(jittered, alive, lambda w, a: w * a)
-    idx = arrays.roulette_index(weights, uniform(KEY, f"{salt}/u"))
+    df = bind(df, _i=arrays.roulette_index(weights, uniform(KEY, f"{salt}/u")))
+    idx = F.col("_i")
     return df.select(*KEY, F.element_at(F.array(*[F.lit(n) for n in names]), idx + 1).alias("strategy"))
 
 

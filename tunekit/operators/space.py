@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunekit.functions import arrays
 from tunekit.functions.arrays import lit_array, running_total
 from tunekit.functions.draws import normal
 
@@ -61,7 +62,7 @@ class Space:
                 at += 1
         return spark.createDataFrame(rows, TABLE_SCHEMA)
 
-    def _each(self, params: Column, rule: Callable[[Column, Column], Column]) -> Column:
+    def each(self, params: Column, rule: Callable[[Column, Column], Column]) -> Column:
         """Apply `rule(value, spec)` to each parameter, spec = struct(i, low, high, start, pace, kind)."""
         specs = [
             F.struct(
@@ -76,9 +77,6 @@ class Space:
         ]
         return F.zip_with(params, F.array(*specs), rule)
 
-    def each(self, params: Column, rule: Callable[[Column, Column], Column]) -> Column:
-        return self._each(params, rule)
-
     def clamp_round(self, params: Column) -> Column:
         """Clamp to the bounds; inside them INT and BOOLEAN are rounded half up."""
 
@@ -86,7 +84,7 @@ class Space:
             inside = F.when(s["kind"] == DOUBLE, x).otherwise(F.floor(x + 0.5).cast("double"))
             return F.when(x >= s["high"], s["high"]).when(x <= s["low"], s["low"]).otherwise(inside)
 
-        return self._each(params, rule)
+        return self.each(params, rule)
 
     def switch_off(self, params: Column) -> Column:
         """Parameters whose `needs` is not met become 0 and then their lower bound."""
@@ -103,7 +101,7 @@ class Space:
     def format(self, params: Column) -> Column:
         """The vector a chain can run: clamped, rounded, switched-off operators reset."""
         fitted = self.clamp_round(params)
-        return self.switch_off(fitted) if any(p.needs for p in self.params) else fitted
+        return arrays.let(fitted, self.switch_off) if any(p.needs for p in self.params) else fitted
 
     def initial(self, studies: DataFrame, n: int, salt: str = "init", key: str = "study_id") -> DataFrame:
         """(study, slot, params): n start vectors per study, start + pace * normal draw, formatted."""

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tunekit.functions import arrays
 from tunekit.operators.trials import STUDY
+from tunekit.sources.session import through_table
 
 LAMBDA, ELASTIC = 0.1, 0.5
 BOOST_ROUNDS = 10
@@ -116,8 +117,8 @@ def linear_prediction() -> Column:
 def normalized(values: Column) -> Column:
     """Absolute values scaled to sum 1; equal shares when all are 0."""
     sizes = F.transform(values, lambda v: F.abs(v))
-    whole = arrays.total(sizes)
-    return F.transform(sizes, lambda v: F.when(whole > 0, v / whole).otherwise(1.0 / F.size(values)))
+    share = lambda vs, whole: F.transform(vs, lambda v: F.when(whole > 0, v / whole).otherwise(1.0 / F.size(vs)))
+    return arrays.let(sizes, lambda vs: arrays.let(arrays.total(vs), lambda whole: share(vs, whole)))
 
 
 def blend_weights(predicted: DataFrame, learners: Sequence[str]) -> DataFrame:
@@ -177,31 +178,28 @@ def fit_surrogate(
 
     The boosted learner is left out for logs of fewer than two trials or with `boost=False`.
     """
-    linear = linear_surrogate(trials, n_params)
     means = trials.groupBy(*STUDY).agg(F.avg("objective").alias("mean_y"))
-    state = linear.join(means, STUDY)
+    # written once: one row per study, read by the fit, by the weights and by every later prediction
+    state = through_table(linear_surrogate(trials, n_params).join(means, STUDY), "surrogate")
     if not boost or len(trials.take(2)) < 2:
         state = state.withColumn("weights", F.col("coefs")).withColumn("blend", arrays.lit_array([1.0]))
         return Surrogate(state, None)
-    both = boost_inputs(trials.select(*STUDY, "params", "objective").join(state, STUDY))
-    model = GBTRegressor(
-        maxIter=rounds, maxDepth=depth, seed=seed, lossType="squared", featuresCol="features", labelCol="objective", predictionCol="_boost"
-    ).fit(both.select("features", "objective"))
-    scored = model.transform(both.withColumn("_linear", linear_prediction()))
+    both = boost_inputs(trials.select(*STUDY, "params", "objective").join(state, STUDY)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = GBTRegressor(
+            maxIter=rounds, maxDepth=depth, seed=seed, lossType="squared", featuresCol="features", labelCol="objective", predictionCol="_boost"
+        ).fit(both.select("features", "objective"))
+        scored = model.transform(both.withColumn("_linear", linear_prediction()))
+        blend = through_table(blend_weights(scored, ["_linear", "_boost"]), "blend")
+    finally:
+        both.unpersist()
     tree = [float(v) for v in model.featureImportances.toArray()][:n_params]
     whole = sum(tree)
     tree = [v / whole if whole > 0 else 1.0 / n_params for v in tree]
     a, b = F.element_at("blend", 1), F.element_at("blend", 2)
     state = (
-        state.join(blend_weights(scored, ["_linear", "_boost"]), STUDY)
+        state.join(blend, STUDY)
         .withColumn("importances", F.zip_with("importances", arrays.lit_array(tree), lambda x, t: a * x + b * t))
         .withColumn("weights", F.transform("coefs", lambda c: a * c))  # trees have no slopes
     )
     return Surrogate(state, model)
-
-
-def assembled(trials: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Trial log with named parameter columns assembled, for stock regressors."""
-    cols = [F.element_at("params", i + 1).alias(n) for i, n in enumerate(names)]
-    wide = trials.select(*STUDY, *cols, F.col("objective").alias("label"))
-    return VectorAssembler(inputCols=list(names), outputCol="features").transform(wide)

@@ -46,7 +46,7 @@ def next_candidates(
     # written once: each strategy reads only its own rows of it
     drawn = through_table(state.join(picks, pr.KEY), "states")
     parts = [pr.propose(n, drawn.filter(F.col("strategy") == n), trials, space, salt, factor) for n in names]
-    proposals = reduce(DataFrame.unionByName, parts)
+    proposals = through_table(reduce(DataFrame.unionByName, parts), "proposals")
     fresh = tl.drop_duplicates(proposals, trials)
     current = drawn.select(*pr.KEY, F.col("current.objective").alias("current_objective"))
     scored = surrogate.predict(fresh).withColumnRenamed("prediction", "estimate").join(current, pr.KEY)
