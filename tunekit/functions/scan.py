@@ -57,40 +57,51 @@ def with_chunks(df: DataFrame, keys: Sequence[str], order: Column, rows: int = C
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple]) -> DataFrame:
-    """Running `sum` or `max` per group over a table from `with_chunks`.
+    """Running `sum` or `max` per group over a table from `with_chunks`; `<name>_all` is the whole group's value.
 
     `values` maps an output name to (expression, "sum" | "max") or (expression, "sum" | "max", False); with
-    False the current row is left out (null on the first row of a group).
+    False the current row is left out (null on the first row of a group).  `order` must be unique in a group.
+    Chunk totals are read off the windows' last rows, so that both uses of the rows share one shuffle; pass
+    only the needed columns for that to hold.
     """
-    keys = list(keys)
+    keys, order = list(keys), list(order)
     part = keys + ["chunk", "chunk2"]
     merge = {name: _MERGE[v[1]] for name, v in values.items()}
+    own = {name: len(v) < 3 or v[2] for name, v in values.items()}
+    inside = Window.partitionBy(*part).orderBy(*order)
 
-    def local(name: str) -> Column:
-        own = len(values[name]) < 3 or values[name][2]
-        w = Window.partitionBy(*part).orderBy(*order)
-        return merge[name](f"_in_{name}").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1))
+    def local(name: str, upto: int) -> Column:
+        return merge[name](values[name][0]).over(inside.rowsBetween(Window.unboundedPreceding, upto))
 
     def before(name: str, cell: str, group: list[str], by: str) -> Column:
         w = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-        return merge[name](f"{cell}_{name}").over(w)
+        return merge[name](f"{cell}_{name}").over(w).alias(f"{cell}b_{name}")
 
-    base = df.select("*", *[v[0].alias(f"_in_{name}") for name, v in values.items()])
-    fine = base.groupBy(*part).agg(*[m(f"_in_{n}").alias(f"_f_{n}") for n, m in merge.items()])
+    rows = df.select(
+        *df.columns,
+        *[local(n, Window.currentRow).alias(f"_l_{n}") for n in merge],
+        *[local(n, -1).alias(f"_x_{n}") for n in merge if not own[n]],
+    )
+    fine = rows.groupBy(*part).agg(*[F.max_by(f"_l_{n}", F.struct(*order)).alias(f"_f_{n}") for n in merge])
     coarse = fine.groupBy(*keys, "chunk").agg(*[m(f"_f_{n}").alias(f"_c_{n}") for n, m in merge.items()])
-    coarse = coarse.select(*keys, "chunk", *[before(n, "_c", keys, "chunk").alias(f"_cb_{n}") for n in merge])
-    fine = fine.select(*part, *[before(n, "_f", keys + ["chunk"], "chunk2").alias(f"_fb_{n}") for n in merge])
-    offsets = fine.join(coarse, keys + ["chunk"])
-    out = base.select(*df.columns, *[local(n).alias(f"_l_{n}") for n in merge]).join(offsets, part)
+    everything = Window.partitionBy(*keys)
+    coarse = coarse.select(
+        *keys,
+        "chunk",
+        *[before(n, "_c", keys, "chunk") for n in merge],
+        *[m(f"_c_{n}").over(everything).alias(f"{n}_all") for n, m in merge.items()],
+    )
+    fine = fine.select(*part, *[before(n, "_f", keys + ["chunk"], "chunk2") for n in merge])
+    out = rows.join(fine.join(coarse, keys + ["chunk"]), part)
 
     def joined(name: str) -> Column:
-        cells = [F.col(f"_l_{name}"), F.col(f"_fb_{name}"), F.col(f"_cb_{name}")]
+        cells = [F.col(f"_{'l' if own[name] else 'x'}_{name}"), F.col(f"_fb_{name}"), F.col(f"_cb_{name}")]
         if merge[name] is F.max:
             return F.greatest(*cells)
         filled = [F.coalesce(c, F.lit(0)) for c in cells]
         return F.when(F.coalesce(*cells).isNotNull(), filled[0] + filled[1] + filled[2])
 
-    return out.select(*df.columns, *[joined(n).alias(n) for n in merge])
+    return out.select(*df.columns, *[joined(n).alias(n) for n in merge], *[f"{n}_all" for n in merge])
 
 
 def decayed_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, decay: float) -> DataFrame:

@@ -260,14 +260,12 @@ def roulette_pick(df: DataFrame, keys: Sequence[str], weight: str, order: str, u
     """
     keys = list(keys)
     item = item or order
-    some = df.filter(F.col(weight) > 0)
-    whole = some.groupBy(*keys).agg(F.sum(weight).alias("_whole"))
+    some = df.filter(F.col(weight) > 0).select(*dict.fromkeys([*keys, order, item, weight]))
     sums = running(with_chunks(some, keys, F.col(order)), keys, [order], {"_run": (F.col(weight), "sum")})
-    hit = sums.join(whole, keys).withColumn("_hit", F.col("_run") >= u * F.col("_whole"))
+    hit = F.col("_run") >= u * F.col("_run_all")
     # rounding may leave the last running sum below u * whole: then the last item wins
-    first = F.min(F.when(F.col("_hit"), F.struct(F.col(order), F.col(item).alias("_item"))))
-    last = F.max(F.struct(F.col(order), F.col(item).alias("_item")))
-    picked = hit.groupBy(*keys).agg(F.coalesce(first, last).alias("_pick"))
+    pair = F.struct(F.col(order), F.col(item).alias("_item"))
+    picked = sums.groupBy(*keys).agg(F.coalesce(F.min(F.when(hit, pair)), F.max(pair)).alias("_pick"))
     return picked.select(*keys, F.col("_pick._item").alias(item))
 
 
@@ -275,7 +273,8 @@ def rewards(trials: DataFrame) -> DataFrame:
     """(study_id, strategy, n, reward): 1 to begin with, then after each trial 0.8 times itself plus 0.2 times the objective."""
     keys = [*tl.STUDY, "strategy"]
     decay = 1.0 - FORGET
-    sums = decayed_sum(with_chunks(trials, keys, tl.instant()), keys, ["ts", "trial_id"], F.col("objective"), decay)
+    log = trials.select(*keys, "ts", "trial_id", "objective")
+    sums = decayed_sum(with_chunks(log, keys, tl.instant()), keys, ["ts", "trial_id"], F.col("objective"), decay)
     reward = F.lit(FORGET) * F.col("total") + F.pow(F.lit(decay), F.col("n"))
     return sums.select(*keys, "n", reward.alias("reward"))
 

@@ -190,9 +190,10 @@ def convergence(
     The steady count grows while the best objective gains at most `tolerance` and restarts otherwise.  A study
     stops past `min_trials` runs once the count exceeds `max_steady`, or past `max_trials` runs.
     """
-    cut = with_chunks(trials, STUDY, instant())
+    cut = with_chunks(trials.select(*STUDY, "ts", "trial_id", "objective"), STUDY, instant())
     one = F.lit(1).cast("long")
     order = ["ts", "trial_id"]
+    columns = cut.columns
     run = running(
         cut,
         STUDY,
@@ -200,7 +201,8 @@ def convergence(
         {"run": (one, "sum"), "best": (F.col("objective"), "max"), "_prev": (F.col("objective"), "max", False)},
     )
     moved = F.col("best") - F.coalesce(F.col("_prev"), F.lit(0.0)) > F.lit(float(tolerance))
-    steady = running(run, STUDY, order, {"_moved": (F.when(moved, F.col("run")), "max")})
+    marked = run.select(*columns, "run", "best", F.when(moved, F.col("run")).alias("_at"))
+    steady = running(marked, STUDY, order, {"_moved": (F.col("_at"), "max")})
     count = F.col("run") - F.coalesce(F.col("_moved"), F.lit(0))
     stop = (F.col("run") > min_trials) & ((F.col("run") > max_trials) | (count > max_steady))
     return steady.select(*STUDY, "trial_id", "run", "best", count.alias("steady"), stop.alias("stop"))
