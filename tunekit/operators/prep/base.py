@@ -38,13 +38,14 @@ class Fitted(Model):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return dataset
 
-    def stages(self, source: str = "features", target: str = "features") -> list[Transformer]:
-        """Stock stages with the same effect, for saving.
-
-        Transforms of vectors read `source` and write `target`; those of wide tables ignore both.
-        """
+    def stages(self) -> list[Transformer]:
+        """Stock stages with the same effect on a wide table, for saving."""
         return []
 
+    def cells(self, inputs: Sequence[str]) -> list[str]:
+        """For transforms of vectors: the new features as SQL over the columns that hold the old ones."""
+        return list(inputs)
+
     def stats(self, spark: SparkSession) -> DataFrame:
         """Fitted constants as (feature, key, value)."""
         return spark.createDataFrame([(f, k, float(v)) for f, k, v in self.constants], STATS_SCHEMA)
@@ -67,7 +68,7 @@ class FittedColumns(Fitted):
         ]
         return dataset.select(*kept, *[F.expr(e).alias(c) for c, e in self.added.items()])
 
-    def stages(self, source: str = "features", target: str = "features") -> list[Transformer]:
+    def stages(self) -> list[Transformer]:
         # EXCEPT makes the statements independent of which other columns the table has
         out: list[Transformer] = []
         if self.added:

@@ -22,7 +22,7 @@ class FittedBuckets(Fitted):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.stage.transform(dataset)
 
-    def stages(self, source: str = "features", target: str = "features") -> list[Transformer]:
+    def stages(self) -> list[Transformer]:
         return [self.stage]
 
 

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Transformer
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.functions.arrays import lit_array, squared_distance
 from tunekit.operators.columns import feature_names, name_features
-from tunekit.operators.prep.base import Fitted, Prep, number
+from tunekit.operators.prep.base import Fitted, Prep, number, quoted
 
 
 def distance_to(x: Column, centre: Column, mode: str = "sq") -> Column:
@@ -54,15 +52,13 @@ class FittedRbf(Fitted):
         unpacked = dataset.select(*rest, vector_to_array("features").alias("_x"))
         return unpacked.select(*rest, name_features(array_to_vector(values), self.names))
 
-    def stages(self, source: str = "features", target: str = "rbf") -> list[Transformer]:
-        cells = []
+    def cells(self, inputs: Sequence[str]) -> list[str]:
+        out = []
         for centre, r in zip(self.centres, self.radii):
-            point = "array(" + ", ".join(number(v) for v in centre) + ")"
-            d2 = f"aggregate(zip_with(vector_to_array({source}), {point}, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x)"
-            d = d2 if self.mode == "sq" else f"sqrt({d2})"
-            cells.append(f"exp(-pow({d}, 2) / {number(2.0 * r * r)})")
-        vector = f"array_to_vector(array({', '.join(cells)}))"
-        return [SQLTransformer(statement=f"SELECT *, {vector} AS {target} FROM __THIS__")]
+            d2 = " + ".join(f"pow({quoted(c)} - {number(v)}, 2)" for c, v in zip(inputs, centre))
+            d = f"({d2})" if self.mode == "sq" else f"sqrt({d2})"
+            out.append(f"exp(-pow({d}, 2) / {number(2.0 * r * r)})")
+        return out
 
 
 class RadialBasis(Prep):

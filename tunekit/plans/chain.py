@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler, VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +16,7 @@ from tunekit.operators import select, split, train
 from tunekit.operators.columns import assemble, feature_names
 from tunekit.operators.evaluate import correlations
 from tunekit.operators.prep import Clip, Fill, MinMax, Power, Prep, QuantileBuckets, RadialBasis, Standardize
-from tunekit.operators.prep.base import Fitted
+from tunekit.operators.prep.base import Fitted, quoted
 from tunekit.operators.space import Space, chain_space
 
 DEFAULT_CHAIN = ("split", "assemble", "minmax", "lasso", "lr", "auc")
@@ -192,12 +192,15 @@ class Chain:
     def pipeline(self, prepared: Prepared, fit: train.Fit) -> PipelineModel:
         """The fitted chain as stock stages on the wide input: it can be saved, loaded and applied as it is."""
         stages = [s for op, f in prepared.fitted if op in WIDE for s in f.stages()]
-        stages.append(VectorAssembler(inputCols=prepared.wide_names, outputCol="features", handleInvalid="error"))
-        column = "features"
+        inputs = prepared.wide_names
         for op, f in prepared.fitted:
             if op in VECTOR and f.enabled:
-                stages += f.stages(column, f"features_{op}")
-                column = f"features_{op}"
+                cells = f.cells(inputs)
+                inputs = [f"{op}_{i}" for i in range(len(cells))]
+                added = ", ".join(f"{e} AS {quoted(c)}" for c, e in zip(inputs, cells))
+                stages.append(SQLTransformer(statement=f"SELECT *, {added} FROM __THIS__"))
+        stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error"))
+        column = "features"
         if fit.indices is not None:
             stages.append(VectorSlicer(inputCol=column, outputCol="features_selected", indices=fit.indices))
             column = "features_selected"
