@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunekit.functions.draws import uniform
+from tunekit.sources.readers import spread
 
 KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -39,7 +40,8 @@ def train_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = uniform(KEYS, "n")
     score = F.col("l_quantity") / 50.0 + 5.0 * F.col("l_discount") + 0.3 * (noise - 0.5)
     label = F.when(score > 0.75, 1.0).otherwise(0.0).alias("label")
-    return table(spark, sf_dir, "lineitem").select(*KEYS, *FEATURES, label)
+    rows = spread(table(spark, sf_dir, "lineitem").select(*KEYS, *FEATURES))  # one row group: one core would do all
+    return rows.select(*KEYS, *FEATURES, label)
 
 
 TRAIN_WIDE = f"""train_wide AS (

@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STATS = {
@@ -93,38 +94,44 @@ def quantiles(
 
 
 def exact_quantiles(
-    df: DataFrame, features: Sequence[str], probabilities: Sequence[float], bins: int = 1024
+    df: DataFrame, features: Sequence[str], probabilities: Sequence[float], bins: int = 65536
 ) -> dict[str, list[float]]:
     """Exact quantiles (smallest value whose cumulative count reaches p * n) by narrowing histograms.
 
     Each pass counts `bins` equal-width bins inside the current value range of every open target and keeps
-    the bin that holds the wanted rank, until its smallest and largest value agree.  No task and no driver
-    ever holds more than `bins` counters per target; a pass is one scan, and a few passes suffice because
-    each divides the range by `bins`.
+    the bin that holds the wanted rank, until its smallest and largest value agree.  No task holds more than
+    `bins` counters per range and one bin per target reaches the driver; a few passes suffice, because each
+    divides the range by `bins`.  The feature columns are cached (spilling to disk) for the passes.
     """
+    narrow = df.select(*[present(c).alias(c) for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _narrowed(narrow, list(features), list(probabilities), bins)
+    finally:
+        narrow.unpersist()
+
+
+def _narrowed(df: DataFrame, features: list[str], probabilities: list[float], bins: int) -> dict[str, list[float]]:
     head = df.agg(
-        *[f(present(c)).alias(f"{i}|{n}") for i, c in enumerate(features) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+        *[f(c).alias(f"{i}|{n}") for i, c in enumerate(features) for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
     ).first()
     found: dict[tuple[int, int], float | None] = {}
-    open_targets: dict[tuple[int, int], tuple[float, float, int]] = {}
+    targets: dict[tuple[int, int], tuple[float, float, int]] = {}  # (low, high, rank inside) of open targets
     for i in range(len(features)):
         n, lo, hi = head[f"{i}|n"], head[f"{i}|lo"], head[f"{i}|hi"]
         for j, p in enumerate(probabilities):
             if n == 0:
                 found[i, j] = None
             else:
-                open_targets[i, j] = (lo, hi, min(max(math.ceil(p * n), 1), n))
+                targets[i, j] = (lo, hi, min(max(math.ceil(p * n), 1), n))
     while True:
-        for t, (lo, hi, _) in list(open_targets.items()):
-            if lo == hi:
-                found[t] = lo
-                del open_targets[t]
-        if not open_targets:
-            break
-        ranges = sorted({(t[0], lo, hi) for t, (lo, hi, _) in open_targets.items()})
+        found.update({t: lo for t, (lo, hi, _) in targets.items() if lo == hi})
+        targets = {t: v for t, v in targets.items() if t not in found}
+        if not targets:
+            return {c: [found[i, j] for j in range(len(probabilities))] for i, c in enumerate(features)}
+        ranges = sorted({(t[0], lo, hi) for t, (lo, hi, _) in targets.items()})
         cells = []
         for r, (i, lo, hi) in enumerate(ranges):
-            x = present(features[i])
+            x = F.col(features[i])
             place = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))), F.lit(bins - 1))
             cell = F.struct(F.lit(r).alias("r"), place.cast("int").alias("bin"), x.alias("x"))
             cells.append(F.when(x.between(F.lit(lo), F.lit(hi)), cell))
@@ -132,18 +139,18 @@ def exact_quantiles(
             df.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s"))
             .groupBy("s.r", "s.bin")
             .agg(F.count(F.lit(1)).alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi"))
-            .collect()
         )
-        by_range: dict[int, list] = {}
-        for row in sorted(hist, key=lambda h: (h["r"], h["bin"])):
-            by_range.setdefault(row["r"], []).append(row)
-        for t, (lo, hi, rank) in list(open_targets.items()):
-            for row in by_range[ranges.index((t[0], lo, hi))]:
-                if rank <= row["n"]:
-                    open_targets[t] = (row["lo"], row["hi"], rank)
-                    break
-                rank -= row["n"]
-    return {c: [found[i, j] for j in range(len(probabilities))] for i, c in enumerate(features)}
+        upto = F.sum("n").over(Window.partitionBy("r").orderBy("bin"))
+        order = list(targets)
+        picks = []
+        for k, t in enumerate(order):
+            lo, hi, rank = targets[t]
+            here = (F.col("r") == ranges.index((t[0], lo, hi))) & (F.col("upto") >= rank)
+            picks.append(F.min(F.when(here, F.struct("upto", "n", "lo", "hi"))).alias(f"t{k}"))
+        row = hist.withColumn("upto", upto).agg(*picks).first()
+        for k, t in enumerate(order):
+            bin_ = row[f"t{k}"]
+            targets[t] = (bin_["lo"], bin_["hi"], targets[t][2] - (bin_["upto"] - bin_["n"]))
 
 
 def median(df: DataFrame, features: Sequence[str], rel_error: float = 0.01) -> dict[str, float]:

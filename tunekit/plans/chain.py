@@ -18,6 +18,7 @@ from tunekit.operators.evaluate import correlations
 from tunekit.operators.prep import Clip, Fill, MinMax, Power, Prep, QuantileBuckets, RadialBasis, Standardize
 from tunekit.operators.prep.base import Fitted, quoted
 from tunekit.operators.space import Space, chain_space
+from tunekit.sources.readers import spread
 
 DEFAULT_CHAIN = ("split", "assemble", "minmax", "lasso", "lr", "auc")
 WIDE = ("fill", "clip", "power", "buckets")
@@ -118,11 +119,12 @@ class Chain:
         return RadialBasis(max(int(v[1]), 2), max(int(v[2]), 1), max(v[3], 0.01), self.rbf_mode, self.seed, enabled=on)
 
     def marked(self, df: DataFrame, features: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
-        """(features..., label, split, fold), a projection of the input: one pass, no shuffle.
+        """(features..., label, split, fold), a projection of the input: one pass, no shuffle unless it is small.
 
         With `key` the draws are those any SQL engine repeats; otherwise all columns are hashed.
         """
         portable = key is not None
+        df = spread(df)
         out = split.ab_split(df, self.ab_ratio, key, f"a{self.seed}", portable)
         cols = list(key) if key else df.columns
         draw = uniform(cols, f"f{self.seed}") if portable else uniform_fast(cols, self.seed + 1)

@@ -32,3 +32,22 @@ def as_training_table(
     features = list(features) if features is not None else [c for c in df.columns if c != label and c not in keep]
     doubles = [F.col(c).cast("double").alias(c) for c in features]
     return df.select(*keep, *doubles, F.col(label).cast("double").alias("label"))
+
+
+SPREAD_BYTES = 1 << 30
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a table; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
+    """Give a small table at least one partition per core.
+
+    A small file comes as one partition, and every pass of an iterative fit would then run on one core.  Above
+    `limit` bytes the table has enough partitions of its own and passes through without a shuffle.
+    """
+    if estimated_bytes(df) > limit:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
