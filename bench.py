@@ -43,7 +43,6 @@ HEADLINE = [
     "propose_ignite_regression",
     "surrogate_linear",
     "chain_trial",
-    "generation_shared_prefix",
     "generation_candidates",
 ]
 

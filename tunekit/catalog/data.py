@@ -169,10 +169,9 @@ def array_dot(spark, sf_dir):
 )
 def array_distance(spark, sf_dir):
     df = vectors(spark, sf_dir)
-    first = df.agg(F.min_by("x", "vec_id").alias("y"))  # one row
-    both = df.crossJoin(F.broadcast(first))
-    x, y = F.col("x"), F.col("y")
-    return both.select(
+    first = df.agg(F.min_by("x", "vec_id").alias("y")).first()["y"]  # one vector
+    x, y = F.col("x"), arrays.lit_array(first)
+    return df.select(
         "vec_id",
         r4(arrays.distance(x, y)).alias("distance"),
         r4(arrays.weighted_distance(x, y, arrays.lit_array(_W))).alias("weighted_distance"),

@@ -316,5 +316,7 @@ def flagship(spark, sf_dir):
     prepared = chain.prepare(chain.marked(train_wide(spark, sf_dir), FEATURES, KEYS), params)
     rows = prepared.table.filter(F.col("split") == "A")
     fits = train.fit_all(rows, [train.Job(0, train.FINAL, chain.estimator(params))])
-    pairs = train.validate_fits(prepared.table, fits)
-    return pairs.select("trial_id", F.col("train_value").alias("train_auc"), F.col("test_value").alias("test_auc"))
+    values = train.validate_fits(prepared.table, fits).collect()  # one row
+    prepared.release()
+    rows = [(r["trial_id"], r["train_value"], r["test_value"]) for r in values]
+    return spark.createDataFrame(rows, "trial_id bigint, train_auc double, test_auc double")

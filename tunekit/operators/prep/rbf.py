@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunekit.functions.arrays import lit_array, squared_distance
@@ -27,9 +27,9 @@ def cluster_radii(df: DataFrame, dist: str, ratio: float, cluster: str = "cluste
     """
     raw = df.groupBy(*keys, cluster).agg((F.max(dist) * F.lit(float(ratio))).alias("raw"))
     positive = F.when(F.col("raw") > 0, F.col("raw"))
-    floor = raw.groupBy(*keys).agg(F.coalesce(F.min(positive), F.lit(1.0)).alias("floor"))
-    joined = raw.join(floor, list(keys)) if keys else raw.crossJoin(floor)  # one row without keys
-    return joined.select(*keys, cluster, F.coalesce(positive, F.col("floor")).alias("radius"))
+    # over the clusters of one model: as many rows as it has centres
+    least = F.min(positive).over(Window.partitionBy(*(keys or [F.lit(0)])))
+    return raw.select(*keys, cluster, F.coalesce(positive, least, F.lit(1.0)).alias("radius"))
 
 
 def rbf_values(x: Column, centres: Sequence[Sequence[float]], radii: Sequence[float], mode: str = "sq") -> list[Column]:
