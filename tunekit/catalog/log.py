@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tunekit.catalog.registry import query
-from tunekit.catalog.views import TRIALS, n_sql, q4, r4, trials, u_sql
-from tunekit.functions.draws import normal, uniform
+from tunekit.catalog.views import TRIALS, n_sql, q4, r4, trials
+from tunekit.functions.draws import normal
 from tunekit.operators import trials as tl
 from tunekit.operators.columns import trial_vectors
 from tunekit.operators.prep import CLIP_METHODS, clip_method_index
 from tunekit.operators.space import BOOLEAN, DOUBLE, INT, Param, Space
-from pyspark.ml.functions import vector_to_array
 
 # the space of the log's three parameters: two operators
 SPACE = Space(

@@ -241,9 +241,3 @@ def convergence_lines(summary: DataFrame, best: DataFrame) -> DataFrame:
     line = F.concat_ws("\t", F.col("n_trials").cast("string"), F.col("steady").cast("string"), text(F.col("accept_ratio")), F.array_join(field, "\t"))
     state = summary.select(*STUDY, "n_trials", "steady", "accept_ratio")
     return state.join(best, STUDY).select(*STUDY, line.alias("line"))
-
-
-def next_ids(trials: DataFrame) -> int:
-    """First free trial_id of a log."""
-    top = trials.agg(F.max("trial_id")).first()[0]
-    return 0 if top is None else int(top) + 1
