@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunekit.llm import bpe, language, packing, simhash
+from tunekit.llm import bpe, language, packing, sharding, simhash
 from tunekit.llm.common import table
 from tunekit.llm.registry import ORACLES, QUERIES, query
 
@@ -44,3 +44,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_50k.tiktoken"),
         public_tokenizers.PATTERN,
     ).drop("ids")
+
+
+@query("op5_sharding")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
