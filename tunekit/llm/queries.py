@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunekit.llm import bpe, language, packing, sharding, simhash
+from tunekit.llm import bpe, language, packing, sharding, simhash, warc
 from tunekit.llm.common import table
 from tunekit.llm.registry import ORACLES, QUERIES, query
 
@@ -27,7 +27,7 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_bpe")
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    rows = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path, pattern), path)
     return rows.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -49,3 +49,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_sharding")
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
+
+
+@query("op3_warc")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
