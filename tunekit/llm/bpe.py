@@ -20,11 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunekit.llm.common import batches_of
+from tunekit.llm.common import slices
 
 WORD_BITS = 8
-BATCH_CHARS = 16 << 20
-MOST_KNOWN = 300_000
+BATCH_BYTES = 8 << 20
+MOST_KNOWN = 150_000
 MOST_KNOWN_CHARS = 256
 
 
@@ -229,18 +229,19 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def queue_codec(path: str, pattern: str) -> tuple[Codec, np.ndarray, np.ndarray]:
-    """The codec of a rank file; the bytes of all its tokens and where each one starts."""
-    ranks = read_ranks(path)
-    encoder = Encoder(ranks)
-    table = [b""] * encoder.size
-    for token, rank in ranks.items():
-        table[rank] = token
-    starts = np.concatenate(([0], np.cumsum([len(t) for t in table])))
-    return Codec(encoder, pattern), np.frombuffer(b"".join(table), np.uint8), starts
-
-
-def decode(ids: np.ndarray, content: np.ndarray, starts: np.ndarray, most: int = 1 << 20) -> Iterator[bytes]:
+def queue_codec(path: str, pattern: str) -> Codec:
+    return Codec(Encoder(read_ranks(path)), pattern)
+
+
+@lru_cache(maxsize=2)
+def token_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all tokens of a rank file, in the order of their ids, and where each one starts."""
+    by_rank = {rank: token for token, rank in read_ranks(path).items()}
+    table = [by_rank.get(i, b"") for i in range(max(by_rank, default=-1) + 1)]
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum([0, *map(len, table)])
+
+
+def decode(ids: np.ndarray, content: np.ndarray, starts: np.ndarray, most: int = 1 << 18) -> Iterator[bytes]:
     """The bytes of `ids`, in parts of `most` ids."""
     for i in range(0, len(ids), most):
         part = ids[i : i + most].astype(np.int64)
@@ -258,11 +259,11 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, _, _ = queue_codec(path, pattern)
+        codec = queue_codec(path, pattern)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in batches_of(texts, BATCH_CHARS, len(texts)):
-                ids = codec.encode([t or "" for t in texts[a:b]])
+            texts = batch.column(1)
+            for a, b in slices(texts, BATCH_BYTES, len(texts)):
+                ids = codec.encode([t or "" for t in texts[a:b].to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(ids, pa.binary())], names=["doc_id", "ids"]
                 )
@@ -271,19 +272,21 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return slim.mapInArrow(run, f"doc_id {slim.schema[0].dataType.simpleString()}, ids binary")
 
 
-def decoded(ids: DataFrame, path: str, pattern: str) -> DataFrame:
+def decoded(ids: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, content binary): the bytes that the ids stand for; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, content, starts = queue_codec(path, pattern)
+        content, starts = token_table(path)
         for batch in batches:
-            out = [
-                None if v is None else b"".join(decode(np.frombuffer(v, "<u4"), content, starts))
-                for v in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "content"]
-            )
+            for a, b in slices(batch.column(1), BATCH_BYTES, batch.num_rows):
+                part = batch.slice(a, b - a)
+                out = [
+                    None if v is None else b"".join(decode(np.frombuffer(v, "<u4"), content, starts))
+                    for v in part.column(1).to_pylist()
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "content"]
+                )
 
     kind = ids.schema["doc_id"].dataType.simpleString()
     return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, content binary")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +46,10 @@ def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = parent[label]
 
 
-def batches_of(texts: list, most_bytes: int = 1 << 20, most_rows: int = 256) -> Iterator[tuple[int, int]]:
-    """(from, to) index ranges of bounded size over a list of strings; one long string makes a range of its own."""
+def slices(texts: pa.Array, most_bytes: int = 1 << 20, most_rows: int = 256) -> Iterator[tuple[int, int]]:
+    """(from, to) index ranges of bounded size over an Arrow array of strings; one long string is a range of its own."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         if i > start and (size + n > most_bytes or i - start >= most_rows):
             yield start, i
             start, size = i, 0

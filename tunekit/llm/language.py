@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tunekit.llm.common import batches_of
+from tunekit.llm.common import slices
 
 ORDER = 3
 BITS = 21
@@ -131,7 +131,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             named: list[str] = [UNKNOWN] * len(texts)
             score = np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if ready.languages and t and any(map(str.isalpha, t))]
-            for a, b in batches_of([texts[i] for i in known]):
+            for a, b in slices(pa.array([texts[i] for i in known], pa.large_string())):
                 part = known[a:b]
                 value = ready.decide([texts[i] for i in part])
                 best = value.argmax(axis=1)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tunekit.llm import bpe
-from tunekit.llm.common import batches_of
+from tunekit.llm.common import slices
 
 CAPACITY = 2048
 PIECE = 256
@@ -113,7 +113,7 @@ def joined(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 def _tokenizer(vocabulary: str, ranks: str, pattern: str) -> tuple[Tokenizer, tuple[str, ...], bpe.Codec]:
     full = Tokenizer.from_file(vocabulary)
     special = tuple(t.content for t in full.get_added_tokens_decoder().values())
-    return full, special, bpe.queue_codec(ranks, pattern)[0]
+    return full, special, bpe.queue_codec(ranks, pattern)
 
 
 def token_ids(texts: list[str], vocabulary: str, ranks: str, pattern: str) -> list[np.ndarray]:
@@ -175,9 +175,9 @@ def packed(
 
         waiting = 0
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in batches_of(texts, bpe.BATCH_CHARS, len(texts)):
-                found = token_ids([t or "" for t in texts[a:b]], vocabulary, ranks, pattern)
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for a, b in slices(texts, bpe.BATCH_BYTES, len(texts)):
+                found = token_ids([t or "" for t in texts[a:b].to_pylist()], vocabulary, ranks, pattern)
                 for name, own in zip(names[a:b], found):
                     held_ids.append(name)
                     held.append(np.append(own, np.uint32(end_id)).astype("<u4"))

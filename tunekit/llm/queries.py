@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunekit.llm import bpe, language, line_rules, packing, sharding, simhash, warc
+from tunekit.llm import bpe, language, line_rules, packing, pii, sharding, simhash, warc
 from tunekit.llm.common import table
 from tunekit.llm.registry import ORACLES, QUERIES, query
 
@@ -60,3 +60,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_rules")
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_row(pii.find(table(spark, sf_dir, "documents")))
