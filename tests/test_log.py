@@ -286,3 +286,12 @@ def test_spaces_of_chains():
     assert next(p for p in full.params if p.name == "power.code").high == 17 * 6 - 1
     assert next(p for p in full.params if p.name == "rbf.k").high == 1000
     assert full is not chain_space(["split"]) and len(full) == 1 + 2 + 2 + 2 + 4 + 1 + 8
+
+
+def test_far_values_do_not_crowd_a_chunk(spark):
+    df = spark.range(20000).select(F.lit(1).alias("g"), (F.lit(1.7e9) + F.col("id") * 0.001).alias("x"))
+    far = df.union(spark.sql("SELECT 1, 9e9D")).union(spark.sql("SELECT 1, -9e9D"))
+    cut = scan.with_chunks(far, ["g"], F.col("x"), rows=1000)
+    sizes = cut.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("chunk").collect()
+    assert max(r["n"] for r in sizes) < 1200
+    assert all(x["b"] < y["a"] for x, y in zip(sizes, sizes[1:]))

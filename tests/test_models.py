@@ -227,3 +227,18 @@ def test_objective_needs_both_values(spark):
     gap = train.trial_values(df, "squared_gap").first()
     assert gap["final"] == pytest.approx(0.64 - 0.81)
     assert validate.OBJECTIVES.keys() == {"generalize", "squared_gap"}
+
+
+def test_a_study_of_failing_trials_ends_and_names_the_cause(spark):
+    rows = spark.createDataFrame([(float(i), float("nan"), float(i % 2)) for i in range(60)], "x double, broken double, label double")
+    study = Study(rows, ["x", "broken"], Chain(("split", "assemble", "minmax", "lr", "auc"), folds=2), slots=2, limits=Limits(max_failed=2)).run()
+    log = study.log().collect()
+    assert study.generation == 2 and len(log) == 4
+    assert all(r["objective"] is None and "SparkException" in r["error"] for r in log)
+
+
+def test_bounds_come_from_the_data(spark):
+    rows = spark.createDataFrame([(float(i), 1.0, float(i % 2)) for i in range(30)], "x double, y double, label double")
+    chain = Chain(("split", "power", "assemble", "rbf", "lr", "auc"))
+    params = {p.name: p for p in chain.bounded(rows, ["x", "y"]).space.params}
+    assert params["power.code"].high == 33.0 and params["rbf.k"].high == 30.0

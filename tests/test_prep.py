@@ -246,3 +246,28 @@ def test_csv_reader(spark, tmp_path):
     assert typed.filter("b IS NULL").count() == 1
     with pytest.raises(ValueError):
         as_training_table(df.drop("label"))
+
+
+def test_exact_quantiles_of_infinite_and_far_values(spark):
+    inf = float("inf")
+    rng = random.Random(9)
+    values = [inf] * 3 + [-inf] * 2 + [1.7e308, -1.7e308, 5e-324, 0.0, -0.0] + [rng.gauss(0, 1e-300) for _ in range(40)] + [rng.gauss(0, 1) for _ in range(51)]
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    points = [0.0, 0.01, 0.02, 0.05, 0.25, 0.5, 0.75, 0.97, 0.98, 1.0]
+    ranked = sorted(values)
+    expected = [ranked[min(max(math.ceil(p * len(values)), 1), len(values)) - 1] for p in points]
+    assert columns.exact_quantiles(df, ["a"], points) == {"a": expected}
+
+
+def test_bucket_precision_follows_the_count(spark):
+    df = spark.range(20000).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("label"))
+    done = QuantileBuckets(1000, rel_error=0.01).fit(df)
+    assert done.transform(df).select("x_rank").distinct().count() == 1000
+
+
+def test_select_columns_takes_one_name_and_dotted_names(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "`a.b` double, c double")
+    assert columns.select_columns(df, ["a.b"]).columns == ["a.b"]
+    assert columns.exact_quantiles(df.withColumnRenamed("a.b", "ab"), ["ab"], [0.5]) == {"ab": [1.0]}
+    with pytest.raises(ValueError):
+        columns.select_columns(df, [])

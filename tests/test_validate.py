@@ -92,3 +92,12 @@ def test_objective_presets(spark):
         validate.objective(F.lit(0.8), F.lit(0.9)).alias("g"), validate.objective(F.lit(0.8), F.lit(0.9), "squared_gap").alias("s")
     ).first()
     assert row["g"] == pytest.approx(0.85) and row["s"] == pytest.approx(0.64 + 0.81)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-7, -1e9])
+def test_hot_group_is_spread_at_any_scale(spark, scale):
+    rows = spark.range(60000).select(F.lit(1).alias("g"), (F.rand(3) * scale).alias("score"), (F.rand(4) < 0.5).cast("double").alias("label"))
+    counts = validate.score_counts(rows, ["g"])
+    assert counts.groupBy("d1", "d2").count().agg(F.max("count")).first()[0] < 600
+    order = [(r["d1"], r["d2"]) for r in counts.orderBy("score").collect()]
+    assert order == sorted(order)

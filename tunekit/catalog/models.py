@@ -81,7 +81,7 @@ def select_lasso(spark, sf_dir):
 @query("select_greedy")
 def select_greedy(spark, sf_dir):
     df = _prepared(spark, sf_dir)
-    found, gain, depth = select.backward_beam(df.filter(F.col("split") == "A"), max_depth=1)
+    found, gain, depth = select.backward_beam(df.filter(F.col("split") == "A"), select.depth_limit(select.GAIN, 0.5))
     df.unpersist()
     return found.table(df).withColumn("gain", F.lit(gain)).withColumn("depth", F.lit(depth))
 
@@ -89,10 +89,9 @@ def select_greedy(spark, sf_dir):
 # ---------------------------------------------------------------- training
 
 
-def _cross_validated(spark, sf_dir, estimator, folds=3):
+def _cross_validated(spark, sf_dir, estimator, folds=train.FOLDS):
     df = _prepared(spark, sf_dir)
-    marked = df.withColumn("fold", F.col("fold") % folds)
-    pairs, fit = train.cross_validate(marked, estimator, folds)
+    pairs, fit = train.cross_validate(df, estimator, folds)
     values = pairs.collect()  # one row per fold
     df.unpersist()
     out = spark.createDataFrame([tuple(r) for r in values], pairs.schema)
@@ -106,12 +105,12 @@ def train_logistic(spark, sf_dir):
 
 @query("train_forest")
 def train_forest(spark, sf_dir):
-    return _cross_validated(spark, sf_dir, train.forest(subset=5, ratio=0.5, trees=10))[0]
+    return _cross_validated(spark, sf_dir, train.forest(subset=5, ratio=0.5))[0]
 
 
 @query("train_boosted")
 def train_boosted(spark, sf_dir):
-    return _cross_validated(spark, sf_dir, train.boosted(iters=5))[0]
+    return _cross_validated(spark, sf_dir, train.boosted())[0]
 
 
 @query("cross_validate")
@@ -128,7 +127,7 @@ def cross_validate(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     df = _prepared(spark, sf_dir)
     rows = df.filter(F.col("split") == "A")
-    fits = train.fit_all(rows, [train.Job(0, train.FINAL, train.boosted(iters=3)), train.Job(1, train.FINAL, train.logistic(0.2))])
+    fits = train.fit_all(rows, [train.Job(0, train.FINAL, train.boosted()), train.Job(1, train.FINAL, train.logistic(0.2))])
     df.unpersist()
     found = [(f.trial_id, n, v) for f in fits for n, v in train.importances(f, FEATURES)]
     return spark.createDataFrame(found, "trial_id int, feature string, importance double")
@@ -140,7 +139,7 @@ def rbf_fit(spark, sf_dir):
     df = columns.assemble(
         vectors(spark, sf_dir).select(*[F.col("x")[i].alias(f"e{i}") for i in range(64)], (F.col("label") < 5).cast("double").alias("label"))
     )
-    fitted = RadialBasis(k=8, max_iter=10).fit(df)
+    fitted = RadialBasis(k=10, max_iter=20).fit(df)
     out = fitted.transform(df).select(vector_to_array("features").alias("x"))
     return (
         out.select(F.posexplode("x").alias("centre", "v"))
@@ -152,7 +151,7 @@ def rbf_fit(spark, sf_dir):
 @query("model_save_load")
 def model_save_load(spark, sf_dir):
     """Save a fitted chain, load it, and compare the scores row by row."""
-    chain = Chain(("split", "fill", "clip", "assemble", "minmax", "lasso", "lr", "auc"), n_features=4, folds=2)
+    chain = Chain(("split", "fill", "clip", "assemble", "minmax", "lasso", "lr", "auc"), n_features=4)
     df = train_wide(spark, sf_dir)
     marked = chain.marked(df, FEATURES, KEYS)
     params = start_params(chain)
@@ -233,7 +232,7 @@ def surrogate_linear(spark, sf_dir):
 def surrogate_blended(spark, sf_dir):
     """Linear and boosted surrogate over all studies: error of the blend per study."""
     df = trials(spark, sf_dir)
-    fitted = fit_surrogate(df, 3, rounds=5)
+    fitted = fit_surrogate(df, 3)
     scored = fitted.predict(df)
     return scored.groupBy("study_id").agg(F.count(F.lit(1)).alias("n"), r4(F.avg(F.abs(F.col("prediction") - F.col("objective")))).alias("error"))
 
@@ -257,7 +256,7 @@ def _outcomes(spark, done):
 @query("generation_shared_prefix")
 def generation_shared_prefix(spark, sf_dir):
     """Three candidates that share one prepared table and one scoring pass."""
-    chain = Chain(("split", "assemble", "minmax", "lasso", "lr", "auc"), n_features=4, folds=2)
+    chain = Chain(("split", "assemble", "minmax", "lasso", "lr", "auc"), n_features=4)
     base = start_params(chain)
     candidates = [(i, [*base[:-1], lam]) for i, lam in enumerate((0.05, 0.2, 0.8))]
     return _outcomes(spark, run_candidates(chain.marked(train_wide(spark, sf_dir), FEATURES, KEYS), chain, candidates))
@@ -266,7 +265,7 @@ def generation_shared_prefix(spark, sf_dir):
 @query("generation_candidates")
 def generation_candidates(spark, sf_dir):
     """One accepted candidate per study and slot for all studies of the log."""
-    df = next_candidates(trials(spark, sf_dir), SPACE, slots=2, attempts=5, surrogate=fit_surrogate(trials(spark, sf_dir), 3, rounds=3))
+    df = next_candidates(trials(spark, sf_dir), SPACE, surrogate=fit_surrogate(trials(spark, sf_dir), 3))
     return df.select("study_id", "slot", "attempt", "strategy", *cells("params", P), r4(F.col("estimate")).alias("estimate"))
 
 

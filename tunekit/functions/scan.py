@@ -2,7 +2,7 @@
 
 A plain window keeps a whole group in one task.  Here a group is first cut into chunks by an
 order-preserving function of the order column; windows then run per chunk, over the (far fewer) chunk
-totals, and per chunk again.  The chunk number comes from exact aggregates only (count, min, max), so a
+totals, and per chunk again.  The cuts are quantiles of the group, written to a table before they are used, so a
 recomputed task puts every row into the same chunk.
 """
 
@@ -13,46 +13,70 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunekit.sources.session import through_table
+
 CHUNK_ROWS = 65536
 DIGIT_BASE = 1024
+CUTS = 1000
+CUT_ACCURACY = 50_000
 
 _MERGE = {"sum": F.sum, "max": F.max}
 
 
-def digits(value: Column, low: float = 0.0, high: float = 1.0, base: int = DIGIT_BASE) -> tuple[Column, Column]:
-    """Two leading digits of `value` in base `base` over [low, high]; both never fall as value rises.
+def exponent(value: Column) -> Column:
+    """An integer of bounded range that never falls as a double rises: sign and binary exponent, 0 for zero."""
+    size = F.when(F.abs(value) == F.lit(float("inf")), F.lit(3000)).otherwise(F.floor(F.log2(F.abs(value))) + 1100)
+    return F.when(value == 0, F.lit(0)).when(value < 0, -size).otherwise(size).cast("int")
+
+
+def digits(value: Column, base: int = DIGIT_BASE) -> tuple[Column, Column]:
+    """Two integers that together never fall as `value` rises.
 
-    Values outside the range go to the end digits: order, hence exactness, is kept; only balance is not.
+    The first has the sign, the binary exponent and `base` parts of each power of two, the second the next sixteen bits, so
+    values of any size are told apart by their leading 26 bits.
     """
-    unit = (value - F.lit(float(low))) / F.lit(float(high) - float(low))
-    unit = F.greatest(F.least(unit, F.lit(1.0 - 2.0**-30)), F.lit(0.0))
-    first = F.floor(unit * F.lit(float(base)))
-    second = F.floor((unit * F.lit(float(base)) - first) * F.lit(float(base)))
-    return first.cast("int"), second.cast("int")
+    code = exponent(value)
+    power = F.pow(F.lit(2.0), (F.abs(code) - 1100).cast("double"))
+    share = F.when((code == 0) | (F.abs(code) == 3000), F.lit(0.0)).otherwise((F.abs(value) / power - 1.0) * F.lit(float(base)))
+    first = F.floor(share)
+    second = F.floor((share - first) * F.lit(65536.0))
+    sign = F.signum(code.cast("double"))
+    return (
+        (sign * (F.abs(code) * F.lit(base) + first)).cast("int"),
+        F.when(sign < 0, F.lit(65535) - second).otherwise(second).cast("int"),
+    )
 
 
-def with_chunks(df: DataFrame, keys: Sequence[str], order: Column, rows: int = CHUNK_ROWS) -> DataFrame:
+def with_chunks(df: DataFrame, keys: Sequence[str], order: Column, rows: int = CHUNK_ROWS, cuts: int = CUTS) -> DataFrame:
     """Add `chunk` and `chunk2`: two levels of order-preserving chunk numbers per group.
 
-    A group of n rows gets about n / rows chunks of equal width; each is cut again in equal widths when
-    rows crowd together.  Groups up to `rows` rows keep one chunk.
+    A group is cut at quantiles of its own values into parts of about `rows` rows, `cuts` parts at most, so bursts and far
+    values do not crowd a chunk, and each part of such a group again in equal widths.  Equal values
+    stay together.  The quantiles are a sketch of bounded size per group; they are written down before use, so that
+    a recomputed task puts every row into the same chunk.
     """
     keys = list(keys)
     df = df.withColumn("_order", order.cast("double"))
+    points = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
     size = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_lo"), F.max("_order").alias("_hi")
-    )
-    width = F.col("_hi") - F.col("_lo")
-    parts = F.ceil(F.col("_n") / F.lit(float(rows))).cast("double")
-    unit = F.when((width > 0) & (parts > 1), (F.col("_order") - F.col("_lo")) / width).otherwise(F.lit(0.0))
-    scaled = F.least(unit, F.lit(1.0 - 2.0**-30)) * parts
-    chunk = F.floor(scaled)
-    fine = F.when(parts > 1, F.floor((scaled - chunk) * F.lit(float(DIGIT_BASE)))).otherwise(F.lit(0))
+        F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_lo"), F.max("_order").alias("_hi"),
+        F.percentile_approx("_order", points, CUT_ACCURACY).alias("_cuts"),
+    )
+    parts = F.least(F.ceil(F.col("_n") / F.lit(float(rows))), F.lit(cuts)).cast("int")
+    inner = F.sequence(F.lit(1), F.greatest(parts - 1, F.lit(1)))
+    own = F.array_distinct(F.transform(inner, lambda i: F.element_at("_cuts", F.round(i * cuts / parts).cast("int"))))
+    size = size.withColumn("_cuts", F.when(parts > 1, own).otherwise(F.array().cast("array<double>")))
+    size = through_table(size, "cuts")
+    below = F.filter("_cuts", lambda c: c <= F.col("_order"))
+    low = F.coalesce(F.try_element_at(below, F.lit(-1)), F.col("_lo"))
+    high = F.coalesce(F.get("_cuts", F.size(below)), F.col("_hi"))
+    unit = F.when((high > low) & (F.size("_cuts") > 0), (F.col("_order") - low) / (high - low)).otherwise(F.lit(0.0))
+    fine = F.floor(F.least(unit, F.lit(1.0 - 2.0**-30)) * F.lit(float(DIGIT_BASE)))
     return (
         df.join(size, keys)
-        .withColumn("chunk", chunk.cast("long"))
+        .withColumn("chunk", F.size(below).cast("long"))
         .withColumn("chunk2", fine.cast("long"))
-        .drop("_n", "_lo", "_hi", "_order")
+        .drop("_n", "_lo", "_hi", "_order", "_cuts")
     )
 
 

@@ -11,6 +11,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunekit.functions.arrays import quoted
+from tunekit.functions.scan import exponent
+
 _STATS = {
     "avg": F.avg,
     "max": F.max,
@@ -23,7 +26,7 @@ _STATS = {
 
 def present(name: str) -> Column:
     """The column with NaN turned into null, so that aggregates skip both kinds of missing value."""
-    return F.nanvl(F.col(name), F.lit(None).cast("double"))
+    return F.nanvl(F.col(quoted(name)), F.lit(None).cast("double"))
 
 
 def feature_columns(df: DataFrame, label: str = "label", keep: Sequence[str] = ()) -> list[str]:
@@ -38,8 +41,10 @@ def assemble(df: DataFrame, features: Sequence[str] | None = None, label: str =
 
 
 def select_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Projection by name; with at most one name the table comes back as it is."""
-    return df if len(names) <= 1 else df.select(*names)
+    """Projection by name; at least one name is needed."""
+    if not names:
+        raise ValueError("no columns to select")
+    return df.select(*[F.col(quoted(n)) for n in names])
 
 
 def feature_names(df: DataFrame, column: str = "features") -> list[str]:
@@ -98,10 +103,11 @@ def exact_quantiles(
 ) -> dict[str, list[float]]:
     """Exact quantiles (smallest value whose cumulative count reaches p * n) by narrowing histograms.
 
-    Each pass counts `bins` equal-width bins inside the current value range of every open target and keeps
-    the bin that holds the wanted rank, until its smallest and largest value agree.  No task holds more than
-    `bins` counters per range and one bin per target reaches the driver; a few passes suffice, because each
-    divides the range by `bins`.  The feature columns are cached (spilling to disk) for the passes.
+    The first pass counts values by sign and binary exponent, each further one by `bins` equal-width bins inside the
+    current value range of every open target, and keeps the bin that holds the wanted rank, until its smallest and largest
+    value agree.  Inside one exponent there are 2^52 values, so five passes suffice, whatever outliers and infinities
+    the column holds.  No task holds more than `bins` counters per range and one bin per target reaches the driver.
+    The feature columns are cached (spilling to disk) for the passes.
     """
     narrow = df.select(*[present(c).alias(c) for c in features]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -123,6 +129,7 @@ def _narrowed(df: DataFrame, features: list[str], probabilities: list[float], bi
                 found[i, j] = None
             else:
                 targets[i, j] = (lo, hi, min(max(math.ceil(p * n), 1), n))
+    whole = True
     while True:
         found.update({t: lo for t, (lo, hi, _) in targets.items() if lo == hi})
         targets = {t: v for t, v in targets.items() if t not in found}
@@ -132,7 +139,10 @@ def _narrowed(df: DataFrame, features: list[str], probabilities: list[float], bi
         cells = []
         for r, (i, lo, hi) in enumerate(ranges):
             x = F.col(features[i])
-            place = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))), F.lit(bins - 1))
+            if whole:
+                place = exponent(x)
+            else:
+                place = F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))), F.lit(bins - 1))
             cell = F.struct(F.lit(r).alias("r"), place.cast("int").alias("bin"), x.alias("x"))
             cells.append(F.when(x.between(F.lit(lo), F.lit(hi)), cell))
         hist = (
@@ -140,6 +150,7 @@ def _narrowed(df: DataFrame, features: list[str], probabilities: list[float], bi
             .groupBy("s.r", "s.bin")
             .agg(F.count(F.lit(1)).alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi"))
         )
+        whole = False
         upto = F.sum("n").over(Window.partitionBy("r").orderBy("bin"))
         order = list(targets)
         picks = []

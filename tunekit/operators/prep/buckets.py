@@ -29,7 +29,8 @@ class FittedBuckets(Fitted):
 class QuantileBuckets(Prep):
     """Add `<feature>_rank` in 0..n-1 for every feature and keep the feature itself.
 
-    The outer buckets are open-ended, equal quantiles merge, missing values get a bucket of their own.
+    The outer buckets are open-ended, equal quantiles merge, missing values get a bucket of their own.  The error of the
+    quantiles is `rel_error` at most and a tenth of a bucket at most; 0 means exact ones.
     """
 
     def __init__(self, buckets: int = 2, rel_error: float = 0.001, **kw):
@@ -37,7 +38,7 @@ class QuantileBuckets(Prep):
         if buckets < 2:
             raise ValueError("need at least two buckets")
         self.buckets = int(buckets)
-        self.rel_error = rel_error
+        self.rel_error = min(rel_error, 0.1 / self.buckets)
 
     def fit_rows(self, df: DataFrame) -> Fitted:
         names = self.inputs(df)

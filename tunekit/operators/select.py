@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,44 +91,44 @@ def remembered_gain(gain: float, total: float, depth: int) -> float:
 
 
 def backward_beam(
-    df: DataFrame, max_depth: int = 2, beam: int = BEAM, gain: float = GAIN, parallelism: int = 4, held_out: int = 0
+    df: DataFrame, max_depth: int | None = None, beam: int = BEAM, gain: float = GAIN, parallelism: int = 4, held_out: int = 0
 ) -> tuple[Selected, float, int]:
     """Drop features one at a time while the held-out AUC of an unregularised regression grows by `gain`.
 
-    `df` needs a `fold` column: fold `held_out` is scored, the others are fitted.  All children of a
-    generation are fitted together and scored in one job.  Returns (selection, total gain, generations).
+    `df` needs a `fold` column: fold `held_out` is scored, the others are fitted.  A generation is a table of children
+    (a parent without one of its features) with their scores, fitted together, scored in one job and ranked by
+    `beam_topk`.  Generations are made while one gains, `max_depth` at most where it is given.  Returns (selection, total gain, generations that gained).
     """
     names = feature_names(df)
     data = df.withColumn("split", F.when(F.col("fold") == held_out, "B").otherwise("A"))
     train = data.filter(F.col("split") == "A")
+    scored: dict[tuple[int, ...], float] = {}
 
-    def scores(sets: list[tuple[int, ...]]) -> dict[tuple[int, ...], float]:
+    def score(sets: list[tuple[int, ...]]) -> None:
         jobs = [Job(i, FINAL, logistic(0.0), list(s)) for i, s in enumerate(sets)]
         fits = fit_all(train, jobs, parallelism)
         if not fits:
             raise RuntimeError(jobs[0].error)
         found = validate.auc(stacked_scores(data, fits).filter(F.col("split") == "B"), ["trial_id"]).collect()
-        return {sets[r["trial_id"]]: r["auc"] for r in found}
-
-    everything = tuple(range(len(names)))
-    parents = scores([everything])
-    total, depth, per_parent = 0.0, 0, beam
-    while depth <= max_depth:
-        pairs = [(p, tuple(i for i in p if i != d)) for p in parents if len(p) > 1 for d in p]
-        if not pairs:
+        scored.update({sets[r["trial_id"]]: r["auc"] for r in found})
+
+    beams = [tuple(range(len(names)))]
+    score(beams)
+    total, depth = 0.0, 0
+    for generation in count() if max_depth is None else range(max_depth):
+        pairs = [(i, p[:d] + p[d + 1 :]) for i, p in enumerate(beams) if len(p) > 1 for d in range(len(p))]
+        fresh = sorted({c for _, c in pairs} - scored.keys())
+        if fresh:
+            score(fresh)
+        rows = [(i, list(c), scored[c]) for i, c in pairs if c in scored and scored[c] > scored[beams[i]] + gain]
+        if not rows:
             break
-        found = scores(sorted({c for _, c in pairs}))
-        best: dict[tuple[int, ...], float] = {}
-        for p, own in parents.items():
-            better = [(found[c], c) for q, c in pairs if q == p and c in found and found[c] > own + gain]
-            best.update({c: v for v, c in sorted(better, key=lambda t: (-t[0], t[1]))[:per_parent]})
-        if not best:
-            break
-        ranked = sorted(best.items(), key=lambda t: (-t[1], t[0]))[:beam]
-        total += ranked[0][1] - max(parents.values())
-        parents = dict(ranked)
-        per_parent = math.ceil(len(parents) / beam)
+        children = df.sparkSession.createDataFrame(rows, "parent int, features array<int>, score double")
+        ranked = beam_topk(children, [], "parent", "features", "score", beam if generation == 0 else 1, beam)
+        best = [tuple(r["features"]) for r in ranked.orderBy("rank").collect()]  # at most `beam` rows
+        total += scored[best[0]] - max(scored[b] for b in beams)
+        beams = best
         depth += 1
-    chosen = max(parents.items(), key=lambda t: t[1])[0]
-    score = [(n, 1.0 if i in chosen else 0.0) for i, n in enumerate(names)]
-    return Selected([names[i] for i in chosen], list(chosen), score), total, depth
+    chosen = max(beams, key=lambda b: scored[b])
+    shares = [(n, 1.0 if i in chosen else 0.0) for i, n in enumerate(names)]
+    return Selected([names[i] for i in chosen], list(chosen), shares), total, depth

@@ -104,6 +104,20 @@ def sliced(df: DataFrame, indices: Sequence[int] | None, target: str) -> DataFra
     return VectorSlicer(inputCol="features", outputCol=target, indices=list(indices)).transform(df)
 
 
+def reason(error: Exception) -> str:
+    """The message of an error; for one of the JVM its own message and that of its root cause."""
+    cause = getattr(error, "java_exception", None)
+    if cause is None:
+        return f"{type(error).__name__}: {error}".split("\n")[0][:500]
+    parts = []
+    while cause is not None:
+        text = str(cause.toString()).split("\n")[0]
+        if text not in parts:
+            parts.append(text)
+        cause = cause.getCause()
+    return (parts[0] if len(parts) == 1 else f"{parts[0]}; caused by {parts[-1]}")[:500]
+
+
 def fit_all(train: DataFrame, jobs: Sequence[Job], parallelism: int = 4) -> list[Fit]:
     """Fit all jobs on one prepared (cached) training table, at most `parallelism` at once.
 
@@ -119,7 +133,7 @@ def fit_all(train: DataFrame, jobs: Sequence[Job], parallelism: int = 4) -> list
                 estimator.setFeaturesCol("_picked")
             return Fit(job.trial_id, job.fold, estimator.fit(rows), job.indices)
         except Exception as e:  # noqa: BLE001 - a failed trial must not end the study
-            job.error = str(e).split("\n")[0][:500]
+            job.error = reason(e)
             return None
 
     if not jobs:

@@ -98,11 +98,15 @@ def near_duplicates(candidates: DataFrame, trials: DataFrame, eps: float = SAME)
     )
     past = cells(seen).select(*STUDY, "c1", "c2", F.col("params").alias("old"), F.col("norm").alias("old_norm"))
     limit = F.col("span") * F.lit(float(eps))
-    hits = probe.join(past, STUDY + ["c1", "c2"]).filter(
+    past = past.select(*[F.col(c).alias(f"_{c}") for c in (*STUDY, "c1", "c2")], "old", "old_norm")
+    same = [F.col(c) == F.col(f"_{c}") for c in (*STUDY, "c1", "c2")]
+    near = (
         (F.abs(F.col("norm") - F.col("old_norm")) < limit)
         & (arrays.distance(F.col("params"), F.col("old")) < limit)
         & (F.col("parent").isNull() | (arrays.distance(F.col("old"), F.col("parent")) >= limit))
     )
+    # one past trial is enough, so no pair is ever put out
+    hits = probe.join(past, [*same, near], "left_semi")
     return hits.select(*STUDY, "slot").distinct()
 
 

@@ -17,12 +17,12 @@ from tunekit.functions.scan import digits
 
 
 def score_counts(
-    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", low: float = 0.0, high: float = 1.0
+    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label"
 ) -> DataFrame:
     """(keys..., score, pos, neg, d1, d2) with one row per distinct score."""
     s = F.col(score).cast("double")
     y = F.col(label).cast("double")
-    d1, d2 = digits(F.col("score"), low, high)
+    d1, d2 = digits(F.col("score"))
     counted = (
         scores.select(*keys, (s + F.lit(0.0)).alias("score"), y.alias("_y"))
         .groupBy(*keys, "score")
@@ -36,16 +36,15 @@ def _before(part: Sequence[str], order: str) -> Window:
 
 
 def auc(
-    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", low: float = 0.0, high: float = 1.0
+    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label"
 ) -> DataFrame:
     """(keys..., auc, n_pos, n_neg): exact area under the ROC curve, ties counted half.
 
     The number of (positive, negative) pairs in the right order is a sum over nested parts: pairs inside a
     part plus positives of a part times negatives of the parts below it.  A group with one class only gets 0.
-    [low, high] is where most scores lie; it affects balance, not the result.
     """
     keys = list(keys)
-    level = score_counts(scores, keys, score, label, low, high).withColumn("pairs", F.col("pos") * F.col("neg") / 2.0)
+    level = score_counts(scores, keys, score, label).withColumn("pairs", F.col("pos") * F.col("neg") / 2.0)
     for part, order in ((keys + ["d1", "d2"], "score"), (keys + ["d1"], "d2"), (keys, "d1")):
         below = F.coalesce(F.sum("neg").over(_before(part, order)), F.lit(0.0))
         level = (
@@ -59,14 +58,14 @@ def auc(
 
 
 def ks(
-    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", low: float = 0.0, high: float = 1.0
+    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label"
 ) -> DataFrame:
     """(keys..., ks): largest distance between the score distributions of the two classes.
 
     Needs the class sizes up front (one row per group); then a maximum of running sums over nested parts.
     """
     keys = list(keys)
-    counts = score_counts(scores, keys, score, label, low, high)
+    counts = score_counts(scores, keys, score, label)
     whole = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
     step = F.coalesce(F.col("neg") / F.nullif(F.col("_q"), F.lit(0.0)), F.lit(0.0)) - F.coalesce(
         F.col("pos") / F.nullif(F.col("_p"), F.lit(0.0)), F.lit(0.0)

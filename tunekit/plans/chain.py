@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -24,6 +25,7 @@ DEFAULT_CHAIN = ("split", "assemble", "minmax", "lasso", "lr", "auc")
 WIDE = ("fill", "clip", "power", "buckets")
 VECTOR = ("minmax", "standardize", "rbf")
 SELECTION = ("lasso", "greedy")
+MOST_CENTRES = 1e5  # bound on RBF centres of a chain that has not been bound to data
 KNOWN = ("split", "balance", "evaluate", "assemble", *WIDE, *VECTOR, *SELECTION, *train.TRAINERS, "auc")
 
 
@@ -45,18 +47,21 @@ class Prepared:
 class Chain:
     """Operators by name, in order, with the data-dependent bounds of their parameters.
 
+    `n_features` bounds the codes of `power`, `n_rows` the centres of `rbf`; `bounded` takes them from a table, as studies do; `memory` is the gain that searches of `greedy` remember.
     Transforms of wide tables come before `assemble`, transforms of vectors and the selection after it, the
     trainer last.  `split` must come first: everything fitted looks at split 'A' only.
     """
 
     ops: Sequence[str] = DEFAULT_CHAIN
-    n_features: int = 1
-    n_rows: float = 1e5
+    n_features: int | None = None
+    n_rows: float | None = None
+    partitions: int | None = None
     ab_ratio: float = 1.0
     folds: int = train.FOLDS
     rel_error: float = 0.01
     rbf_mode: str = "sq"
     seed: int = 7
+    memory: float = select.GAIN
 
     def __post_init__(self) -> None:
         unknown = [o for o in self.ops if o not in KNOWN]
@@ -86,7 +91,14 @@ class Chain:
 
     @property
     def space(self) -> Space:
-        return chain_space(self.ops, self.n_features, self.n_rows)
+        return chain_space(self.ops, self.n_features or 1, self.n_rows or MOST_CENTRES)
+
+    def bounded(self, df: DataFrame, features: Sequence[str]) -> Chain:
+        """The chain with the bounds that are not given taken from a training table."""
+        rows = self.n_rows
+        if rows is None and "rbf" in self.ops:
+            rows = float(df.count())
+        return replace(self, n_features=self.n_features or len(features), n_rows=rows)
 
     def values(self, params: Sequence[float], op: str) -> list[float]:
         """The parameters of one operator out of the chain's vector."""
@@ -119,12 +131,12 @@ class Chain:
         return RadialBasis(max(int(v[1]), 2), max(int(v[2]), 1), max(v[3], 0.01), self.rbf_mode, self.seed, enabled=on)
 
     def marked(self, df: DataFrame, features: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
-        """(features..., label, split, fold), a projection of the input: one pass, no shuffle unless it is small.
+        """(features..., label, split, fold), a projection of the input: one pass, and no shuffle unless `partitions` is set.
 
         With `key` the draws are those any SQL engine repeats; otherwise all columns are hashed.
         """
         portable = key is not None
-        df = spread(df)
+        df = spread(df, self.partitions)
         out = split.ab_split(df, self.ab_ratio, key, f"a{self.seed}", portable)
         cols = list(key) if key else df.columns
         draw = uniform(cols, f"f{self.seed}") if portable else uniform_fast(cols, self.seed + 1)
@@ -182,7 +194,9 @@ class Chain:
             if op == "lasso":
                 found = select.lasso(view, self.values(params, op)[0], feature_names(view))
             else:
-                found, _, _ = select.backward_beam(view, parallelism=parallelism)
+                depth = select.depth_limit(self.memory, random.Random(f"{self.seed}/{list(params)}").random())
+                found, total, done = select.backward_beam(view, depth, parallelism=parallelism)
+                self.memory = select.remembered_gain(self.memory, total, done)
             chosen = found.indices if chosen is None else [chosen[i] for i in found.indices]
         return chosen
 

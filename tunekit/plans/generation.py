@@ -87,7 +87,7 @@ def run_candidates(
             prepared = chain.prepare(marked, out[members[0]].params)
         except Exception as e:  # noqa: BLE001 - a failed trial must not end the study
             for t in members:
-                out[t].error = str(e).split("\n")[0][:500]
+                out[t].error = train.reason(e)
             continue
         try:
             _run_group(prepared, chain, [out[t] for t in members], preset, parallelism)
@@ -103,7 +103,7 @@ def _run_group(prepared: Prepared, chain: Chain, group: list[Outcome], preset: s
         try:
             return chain.select(prepared, o.params, parallelism)
         except Exception as e:  # noqa: BLE001
-            o.error = str(e).split("\n")[0][:500]
+            o.error = train.reason(e)
             return None
 
     pool = ThreadPool(max(1, min(parallelism, len(group))))

@@ -33,6 +33,7 @@ class Limits:
     max_steady: int = tl.MAX_STEADY
     tolerance: float = tl.TOLERANCE
     max_generations: int | None = None
+    max_failed: int = 3  # generations in a row without any trial that ran to the end
 
 
 @dataclass
@@ -60,6 +61,8 @@ class Study:
         self.spark = self.data.sparkSession
         if self.log_path is None:
             self.log_path = f"{shared_folder(self.spark)}/trials-{uuid.uuid4().hex}"
+        self.chain = self.chain.bounded(self.data, self.features)
+        self.failed = 0
         self.marked = self.chain.marked(self.data, self.features, self.key)
         self.ratio, self.factor = 0.2, 1.0
         self.generation = 0
@@ -120,6 +123,7 @@ class Study:
         )
         self._append(outcomes, how)
         self._remember(outcomes)
+        self.failed = 0 if any(o.objective is not None for o in outcomes) else self.failed + 1
         self.next_trial += len(chosen)
         self.generation += 1
         return outcomes
@@ -131,6 +135,8 @@ class Study:
     def finished(self) -> bool:
         if self.limits.max_generations is not None and self.generation >= self.limits.max_generations:
             return True
+        if self.next_trial >= self.limits.max_trials or self.failed >= self.limits.max_failed:
+            return True
         if self.next_trial <= self.limits.min_trials:
             return False
         return tl.convergence_summary(self.convergence()).filter("stop_run IS NOT NULL").limit(1).count() > 0

@@ -25,29 +25,19 @@ def as_training_table(
 ) -> DataFrame:
     """Cast the features and the label to double once; `keep` columns (row keys) pass through unchanged.
 
-    Without `features`, all columns but the label and `keep` count as features.
+    Without `features`, all columns but the label and `keep` count as features.  Rows without a label are left out.
     """
     if label not in df.columns:
         raise ValueError(f"no column '{label}' to use as the label")
     features = list(features) if features is not None else [c for c in df.columns if c != label and c not in keep]
     doubles = [F.col(c).cast("double").alias(c) for c in features]
-    return df.select(*keep, *doubles, F.col(label).cast("double").alias("label"))
+    rows = df.select(*keep, *doubles, F.col(label).cast("double").alias("label"))
+    return rows.where(F.col("label").isNotNull() & ~F.isnan("label"))
 
 
-SPREAD_BYTES = 1 << 30
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """`df` in `partitions` parts, or as it is without a number.
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a table; nothing is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, limit: int = SPREAD_BYTES) -> DataFrame:
-    """Give a small table at least one partition per core.
-
-    A small file comes as one partition, and every pass of an iterative fit would then run on one core.  Above
-    `limit` bytes the table has enough partitions of its own and passes through without a shuffle.
+    For files whose row groups are too few for the cores that passes over the data should use; the caller knows.
     """
-    if estimated_bytes(df) > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df if partitions is None else df.repartition(partitions)
