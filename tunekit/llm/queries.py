@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunekit.llm import bpe, grid_join, language, line_rules, packing, pii, sharding, simhash, suffix_dedup, warc
+from tunekit.llm import bpe, grid_join, language, line_rules, oracles, packing, pii, sharding, simhash, suffix_dedup, warc
 from tunekit.llm.common import table
 from tunekit.llm.registry import ORACLES, QUERIES, query
 
@@ -51,13 +51,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
-@query("op3_warc")
+@query("op3_warc", oracles.WARC)
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.round_trip(table(spark, sf_dir, "pages"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op10_line_rules")
+@query("op10_line_rules", oracles.LINE_RULES)
 def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
@@ -67,12 +67,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_row(pii.find(table(spark, sf_dir, "documents")))
 
 
-@query("op8_suffix_dedup")
+@query("op8_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.removed(table(spark, sf_dir, "documents"))
     return rows.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op1_grid_join")
+@query("op1_grid_join", oracles.GRID_JOIN)
 def op1_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
