@@ -242,3 +242,17 @@ def test_bounds_come_from_the_data(spark):
     chain = Chain(("split", "power", "assemble", "rbf", "lr", "auc"))
     params = {p.name: p for p in chain.bounded(rows, ["x", "y"]).space.params}
     assert params["power.code"].high == 33.0 and params["rbf.k"].high == 30.0
+
+
+def test_a_study_leaves_only_its_log_behind(spark, tmp_path):
+    from pathlib import Path
+
+    from tunekit.sources.session import shared_folder
+
+    rows = spark.range(80).select(F.col("id").cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"), (F.col("id") % 2).cast("double").alias("label"))
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    chain = Chain(("split", "assemble", "minmax", "lr", "auc"), folds=2)
+    study = Study(rows, ["x", "y"], chain, slots=2, limits=Limits(max_generations=2), log_path=f"{tmp_path}/log", attempts=2).run()
+    assert study.log().count() >= 3
+    assert set(folder.iterdir()) == before

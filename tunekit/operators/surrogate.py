@@ -23,6 +23,7 @@ from tunekit.operators.trials import STUDY
 from tunekit.sources.session import through_table
 
 LAMBDA, ELASTIC = 0.1, 0.5
+SWEEPS, SETTLED = 2000, 1e-12
 BOOST_ROUNDS = 10
 
 
@@ -52,8 +53,10 @@ def moments(trials: DataFrame, n_params: int) -> DataFrame:
     )
 
 
-def _elastic_net(cov: np.ndarray, cov_y: np.ndarray, var_y: np.ndarray, lam: float, elastic: float) -> np.ndarray:
-    """Coefficients of many small regressions at once by coordinate descent on standardised moments.
+def _elastic_net(
+    cov: np.ndarray, cov_y: np.ndarray, var_y: np.ndarray, lam: float, elastic: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients of many small regressions at once by coordinate descent on standardised moments, and which have settled.
 
     Shapes (s, d, d), (s, d), (s,).  Minimises |y - Xw|^2 / 2n plus the elastic-net penalty on standardised columns.
     """
@@ -67,19 +70,23 @@ def _elastic_net(cov: np.ndarray, cov_y: np.ndarray, var_y: np.ndarray, lam: flo
     reg = lam / safe_y
     l1, l2 = elastic * reg, (1.0 - elastic) * reg
     w = np.zeros_like(rho)
-    for _ in range(2000):
+    moved = np.zeros(len(w))
+    for _ in range(SWEEPS):
         before = w.copy()
         for j in range(rho.shape[1]):
             part = rho[:, j] - np.einsum("sd,sd->s", corr[:, j, :], w) + corr[:, j, j] * w[:, j]
             shrunk = np.sign(part) * np.maximum(np.abs(part) - l1, 0.0)
             w[:, j] = np.where(live[:, j], shrunk / (1.0 + l2), 0.0)
-        if np.max(np.abs(w - before), initial=0.0) < 1e-12:
+        moved = np.abs(w - before).max(axis=1, initial=0.0)
+        if moved.max(initial=0.0) < SETTLED:
             break
-    return w * inv * safe_y[:, None]
+    return w * inv * safe_y[:, None], moved < SETTLED
 
 
 def linear_surrogate(trials: DataFrame, n_params: int, lam: float = LAMBDA, elastic: float = ELASTIC) -> DataFrame:
-    """(study_id, coefs, intercept, importances): one elastic-net regression per study.
+    """(study_id, coefs, intercept, importances, converged): one elastic-net regression per study.
+
+    `converged` is false where the coefficients still moved after `SWEEPS` sweeps.
 
     Importances are absolute coefficients on min-max scaled parameters, scaled to sum 1.  The penalty acts on
     standardised columns, so a fit on scaled parameters has the same coefficients times the ranges: no second fit.
@@ -93,7 +100,7 @@ def linear_surrogate(trials: DataFrame, n_params: int, lam: float = LAMBDA, elas
                 continue
             s = len(pdf)
             stack = lambda c: np.array(pdf[c].tolist(), dtype=float)
-            coefs = _elastic_net(stack("cov").reshape(s, n_params, n_params), stack("cov_y"), pdf["var_y"].to_numpy(float), lam, elastic)
+            coefs, settled = _elastic_net(stack("cov").reshape(s, n_params, n_params), stack("cov_y"), pdf["var_y"].to_numpy(float), lam, elastic)
             weight = np.abs(coefs) * stack("range")
             whole = weight.sum(axis=1, keepdims=True)
             share = np.where(whole > 0, weight / np.where(whole > 0, whole, 1.0), 1.0 / n_params)
@@ -103,10 +110,11 @@ def linear_surrogate(trials: DataFrame, n_params: int, lam: float = LAMBDA, elas
                     "coefs": list(coefs),
                     "intercept": pdf["mean_y"].to_numpy(float) - np.einsum("sd,sd->s", coefs, stack("mean")),
                     "importances": list(share),
+                    "converged": settled,
                 }
             )
 
-    schema = f"study_id {study_type}, coefs array<double>, intercept double, importances array<double>"
+    schema = f"study_id {study_type}, coefs array<double>, intercept double, importances array<double>, converged boolean"
     return table.mapInPandas(solve, schema)
 
 

@@ -15,7 +15,7 @@ from tunekit.operators import trials as tl
 from tunekit.operators.surrogate import fit_surrogate
 from tunekit.plans.chain import Chain
 from tunekit.plans.generation import Outcome, next_candidates, run_candidates
-from tunekit.sources.session import shared_folder
+from tunekit.sources.session import scratch, shared_folder
 from tunekit.sources.sinks import append_table
 
 LOG_SCHEMA = (
@@ -112,7 +112,11 @@ class Study:
         return [(r["slot"], r["strategy"], r["parent"], list(r["params"])) for r in rows]
 
     def step(self) -> list[Outcome]:
-        """Run one generation."""
+        """Run one generation; the tables it writes on the way are removed, the log stays."""
+        with scratch():
+            return self._step()
+
+    def _step(self) -> list[Outcome]:
         chosen = self._first() if self.next_trial == 0 or not self.best else self._next()
         if not chosen:
             chosen = self._first()
@@ -139,7 +143,8 @@ class Study:
             return True
         if self.next_trial <= self.limits.min_trials:
             return False
-        return tl.convergence_summary(self.convergence()).filter("stop_run IS NOT NULL").limit(1).count() > 0
+        with scratch():
+            return tl.convergence_summary(self.convergence()).filter("stop_run IS NOT NULL").limit(1).count() > 0
 
     def run(self) -> "Study":
         self.data.persist()

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,9 +42,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Remove the tables that `through_table` writes inside the block when it ends; results must be taken out before."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            system, inner = fs.FileSystem.from_uri(path)
+            if system.get_file_info(inner).type == fs.FileType.Directory:
+                system.delete_dir(inner)
+
+
 def through_table(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` into the shared folder and read it back: the result no longer depends on its inputs."""
+    """Write `df` into the shared folder and read it back: the result no longer depends on its inputs.
+
+    The table stays until the caller's `scratch` block ends; without one the caller's cluster clears the shared folder.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
