@@ -256,3 +256,16 @@ def test_a_study_leaves_only_its_log_behind(spark, tmp_path):
     study = Study(rows, ["x", "y"], chain, slots=2, limits=Limits(max_generations=2), log_path=f"{tmp_path}/log", attempts=2).run()
     assert study.log().count() >= 3
     assert set(folder.iterdir()) == before
+
+
+def test_an_operator_may_stand_twice_in_a_chain(spark):
+    rows = spark.range(60).select((F.col("id") + 1).cast("double").alias("x"), (F.col("id") % 7 + 1).cast("double").alias("y"), (F.col("id") % 2).cast("double").alias("label"))
+    chain = Chain(("split", "power", "power", "assemble", "minmax", "lr", "auc"), folds=2).bounded(rows, ["x", "y"])
+    params = [1.0, 8.0, 1.0, 25.0, 1.0, 0.2]
+    assert [chain.transform_for(i, params).code for i in (1, 2)] == [8, 25]
+    marked = chain.marked(rows, ["x", "y"])
+    prepared = chain.prepare(marked, params)
+    # the transformed feature moves to the end, where the second code finds it
+    assert prepared.names == ["y", "x_boxcox_8_boxcox_8"] and [op for op, _ in prepared.fitted] == ["power", "power", "minmax"]
+    prepared.release()
+    assert chain.prep_key(params) != chain.prep_key([*params[:3], 24.0, *params[4:]])

@@ -81,8 +81,8 @@ class Chain:
             raise ValueError("a chain needs exactly one trainer")
         if "auc" not in ops[ops.index(self.trainer) :]:
             raise ValueError("a chain needs a validation after its trainer")
-        first = min((ops.index(o) for o in ops if o in SELECTION), default=len(ops))
-        if any(ops.index(o) > first for o in ops if o in VECTOR):
+        first = min((i for i, o in enumerate(ops) if o in SELECTION), default=len(ops))
+        if any(i > first for i, o in enumerate(ops) if o in VECTOR):
             raise ValueError("transforms of vectors come before the selection")
 
     @property
@@ -100,21 +100,18 @@ class Chain:
             rows = float(df.count())
         return replace(self, n_features=self.n_features or len(features), n_rows=rows)
 
-    def values(self, params: Sequence[float], op: str) -> list[float]:
-        """The parameters of one operator out of the chain's vector."""
-        at = 0
-        for name, own in zip(self.ops, self.space.ops):
-            if name == op:
-                return list(params[at : at + len(own)])
-            at += len(own)
-        return []
+    def values(self, params: Sequence[float], at: int) -> list[float]:
+        """The parameters of the operator at one place of the chain; an operator may stand in it several times."""
+        sizes = [len(own) for own in self.space.ops]
+        start = sum(sizes[:at])
+        return list(params[start : start + sizes[at]])
 
     def prep_key(self, params: Sequence[float]) -> tuple:
         """Equal for candidates that share their prepared table."""
-        return tuple((op, tuple(self.values(params, op))) for op in self.ops if op in WIDE or op in VECTOR)
+        return tuple((op, tuple(self.values(params, i))) for i, op in enumerate(self.ops) if op in WIDE or op in VECTOR)
 
-    def transform_for(self, op: str, params: Sequence[float]) -> Prep:
-        v = self.values(params, op)
+    def transform_for(self, at: int, params: Sequence[float]) -> Prep:
+        op, v = self.ops[at], self.values(params, at)
         if op == "fill":
             return Fill("median" if v[0] == 1 else "mean", self.rel_error)
         on = v[0] >= 1
@@ -163,10 +160,10 @@ class Chain:
         extra = ("split", "fold")
         names = [c for c in df.columns if c not in (*extra, "label")]
         wide_names, fitted, evaluation = names, [], []
-        for op in self.ops:
+        for at, op in enumerate(self.ops):
             rows = df.filter(F.col("split") == "A")
             if op in WIDE:
-                prep = self.transform_for(op, params)
+                prep = self.transform_for(at, params)
                 prep.features = names
                 done = prep.fit(rows)
                 df, names = done.transform(df), done.names
@@ -177,7 +174,7 @@ class Chain:
             elif op == "assemble":
                 df = assemble(df, names, keep=extra)
             elif op in VECTOR:
-                done = self.transform_for(op, params).fit(rows)
+                done = self.transform_for(at, params).fit(rows)
                 df, names = done.transform(df), done.names
                 fitted.append((op, done))
         table = df.select("features", "label", *extra).persist(StorageLevel.MEMORY_AND_DISK)
@@ -187,12 +184,12 @@ class Chain:
         """Indices of the selected features; None without a selection operator."""
         chosen: list[int] | None = None
         rows = prepared.table.filter(F.col("split") == "A")
-        for op in self.ops:
+        for at, op in enumerate(self.ops):
             if op not in SELECTION:
                 continue
             view = rows if chosen is None else select.slice_features(rows, [prepared.names[i] for i in chosen])
             if op == "lasso":
-                found = select.lasso(view, self.values(params, op)[0], feature_names(view))
+                found = select.lasso(view, self.values(params, at)[0], feature_names(view))
             else:
                 depth = select.depth_limit(self.memory, random.Random(f"{self.seed}/{list(params)}").random())
                 found, total, done = select.backward_beam(view, depth, parallelism=parallelism)
@@ -201,7 +198,7 @@ class Chain:
         return chosen
 
     def estimator(self, params: Sequence[float]):
-        values = self.values(params, self.trainer)
+        values = self.values(params, list(self.ops).index(self.trainer))
         extra = {} if self.trainer == "lr" else {"seed": self.seed}
         return train.TRAINERS[self.trainer](*values, **extra)
 
@@ -209,10 +206,10 @@ class Chain:
         """The fitted chain as stock stages on the wide input: it can be saved, loaded and applied as it is."""
         stages = [s for op, f in prepared.fitted if op in WIDE for s in f.stages()]
         inputs = prepared.wide_names
-        for op, f in prepared.fitted:
+        for place, (op, f) in enumerate(prepared.fitted):
             if op in VECTOR and f.enabled:
                 cells = f.cells(inputs)
-                inputs = [f"{op}_{i}" for i in range(len(cells))]
+                inputs = [f"{op}{place}_{i}" for i in range(len(cells))]
                 added = ", ".join(f"{e} AS {quoted(c)}" for c, e in zip(inputs, cells))
                 stages.append(SQLTransformer(statement=f"SELECT *, {added} FROM __THIS__"))
         stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error"))

@@ -56,11 +56,11 @@ def fitted_report(chain: Chain, marked: DataFrame, outcomes: Sequence[Outcome],
             continue
         prepared = chain.prepare(marked, o.params)
         try:
-            fitted = dict(prepared.fitted)
+            fitted = iter(prepared.fitted)  # in the order of the chain
             for i, op in enumerate(chain.ops):
                 base = (study_id, rank, i, op)
                 if op in WIDE or op in VECTOR:
-                    f = fitted[op]
+                    _, f = next(fitted)
                     rows.append((*base, f.enabled, "on", float(f.enabled), None))
                     rows += [(*base, f.enabled, f"{c}.{k}", float(v), None) for c, k, v in f.constants]
                 elif op == "evaluate":
