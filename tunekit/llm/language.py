@@ -23,6 +23,7 @@ ORDER = 3
 BITS = 21
 ROWS_PER_LANGUAGE = 250
 LANDMARKS_PER_LANGUAGE = 40
+PARTS = 32
 RIDGE = 1e-3
 UNKNOWN = "und"
 CHUNK = 1 << 20
@@ -98,9 +99,12 @@ def training_rows(docs: DataFrame, lang: str, text: str, rows: int = ROWS_PER_LA
     """
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     labelled = labelled.where("lang is not null and text is not null")
-    first = Window.partitionBy("lang").orderBy("h")
-    ranked = labelled.select("lang", "h").distinct().withColumn("place", F.row_number().over(first))
-    last = ranked.where(F.col("place") <= rows).groupBy("lang").agg(F.max("h").alias("last"))
+    places = labelled.select("lang", "h").distinct()
+    # a language may hold most rows: its leading hashes are found in parts first, so that the last task sees a fixed number
+    for part in (["lang", F.pmod("h", F.lit(PARTS))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*part).orderBy("h"))
+        places = places.withColumn("place", place).where(F.col("place") <= rows).drop("place")
+    last = places.groupBy("lang").agg(F.max("h").alias("last"))
     bounds = {r["lang"]: r["last"] for r in last.collect()}
     if not bounds:
         return labelled.select("lang", "text").where(F.lit(False))
