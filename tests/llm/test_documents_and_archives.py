@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -107,6 +108,26 @@ def test_repeated_strings_on_documents(spark, sf_dir):
     assert removal(df) == plain_removal([tuple(r) for r in df.collect()])
 
 
+def test_bins_do_not_hold_every_context_of_a_frequent_phrase(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    phrase, passage = word(45), word(120)
+    rows = [(i, word(60) + (phrase if i % 3 else passage) + word(60)) for i in range(3000)]
+    rows += [(7000 + i, rows[i][1][20:130]) for i in range(0, 60, 2)] + [(7000, rows[1][1]), (None, rows[5][1]), (9000, phrase * 4)]
+    repeated, sizes = bwt.repeated, tmp_path / "sizes"
+    sizes.mkdir()
+
+    def noted(strings, windows, width):
+        (sizes / f"{hash(strings[0])}-{len(strings)}").touch()
+        return repeated(strings, windows, width)
+
+    monkeypatch.setattr(suffix_dedup, "bwt", SimpleNamespace(repeated=noted))  # workers get it with the functions that use it
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 200, raising=False)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removal(df) == plain_removal(rows)
+    assert max(int(f.name.rpartition("-")[2]) for f in sizes.iterdir()) < 1000
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_merged_transforms_give_sorted_intervals(seed, monkeypatch):
     rng = random.Random(seed)
