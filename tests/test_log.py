@@ -7,12 +7,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tunekit.catalog.log import SPACE
 from tunekit.functions import arrays, scan
 from tunekit.functions.draws import normal, uniform, uniform_fast
 from tunekit.operators import propose as pr
 from tunekit.operators import trials as tl
 from tunekit.operators.prep import clip_method_index
 from tunekit.operators.space import BOOLEAN, INT, Param, Space, chain_space
+from tunekit.operators.surrogate import fit_surrogate
+from tunekit.plans.generation import next_candidates
 
 LOG = "study_id bigint, trial_id bigint, ts timestamp_ntz, strategy string, params array<double>, objective double"
 START = dt.datetime(2024, 1, 1)
@@ -295,3 +298,30 @@ def test_far_values_do_not_crowd_a_chunk(spark):
     sizes = cut.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("chunk").collect()
     assert max(r["n"] for r in sizes) < 1200
     assert all(x["b"] < y["a"] for x, y in zip(sizes, sizes[1:]))
+
+
+class Hostile:
+    """Rates every candidate far below the current trial."""
+
+    def __init__(self, fitted):
+        self.importances = fitted.importances
+
+    def predict(self, df):
+        return df.withColumn("prediction", F.lit(-1e9) - F.col("slot"))
+
+
+def test_every_slot_gets_a_candidate(spark, log, monkeypatch):
+    studies = log.select("study_id").distinct().orderBy("study_id").limit(12)
+    some = log.join(studies, "study_id", "left_semi").persist()
+    calls, drop = [], tl.drop_duplicates
+
+    def all_duplicates_at_first(candidates, trials, *rest):
+        calls.append(1)
+        fresh = drop(candidates, trials, *rest)
+        return fresh if len(calls) > 1 else fresh.where("slot % 20 >= 10 and slot % 3 = 0")
+
+    monkeypatch.setattr(tl, "drop_duplicates", all_duplicates_at_first)
+    surrogate = Hostile(fit_surrogate(some, len(SPACE)))
+    found = next_candidates(some, SPACE, slots=4, surrogate=surrogate, ratio=0.0).collect()
+    assert sorted((r["study_id"], r["slot"]) for r in found) == [(r[0], s) for r in studies.orderBy("study_id").collect() for s in range(4)]
+    assert len(calls) > 1 and all(r["attempt"] == 0 for r in found if r["slot"] % 2)  # the fresh ones are numbered, the first rates best

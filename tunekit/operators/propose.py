@@ -314,13 +314,21 @@ def acceptance(estimate: Column, current: Column, ratio: Column | float, attempt
     return (estimate >= current) | (loss <= wide * u)
 
 
-def screen(candidates: DataFrame, ratio: Column | float, salt: str = "screen") -> DataFrame:
-    """First accepted attempt per (study, slot), from (study_id, slot, attempt, estimate, current_objective, params, ...)."""
+def screen(candidates: DataFrame, ratio: Column | float, salt: str = "screen", fallback: bool = False) -> DataFrame:
+    """First accepted attempt per (study, slot), from (study_id, slot, attempt, estimate, current_objective, params, ...).
+
+    With `fallback` a slot without an accepted attempt gets the one of the best estimate, of equal ones the first.
+    """
     ok = acceptance(
         F.col("estimate"), F.col("current_objective"), ratio, F.col("attempt"), uniform([*KEY, "attempt"], salt)
     )
     rest = [c for c in candidates.columns if c not in (*KEY, "attempt")]
-    kept = candidates.filter(ok).groupBy(*KEY).agg(F.min(F.struct("attempt", *rest)).alias("r"))
+    row = F.struct("attempt", *rest)
+    if fallback:
+        worth = F.struct(F.nanvl(F.col("estimate"), F.lit(float("-inf"))), -F.col("attempt"))
+        kept = candidates.groupBy(*KEY).agg(F.coalesce(F.min(F.when(ok, row)), F.max_by(row, worth)).alias("r"))
+    else:
+        kept = candidates.filter(ok).groupBy(*KEY).agg(F.min(row).alias("r"))
     return kept.select(*KEY, "r.*")
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunekit.operators import propose as pr
@@ -32,26 +32,42 @@ def next_candidates(
     names: Sequence[str] = pr.STRATEGIES,
     screened: bool = True,
 ) -> DataFrame:
-    """(study_id, slot, attempt, strategy, params, parent, estimate): one accepted candidate per slot, all studies at once.
+    """(study_id, slot, attempt, strategy, params, parent, estimate): one candidate per slot, all studies at once.
 
     Each slot gets `attempts` proposals from strategies drawn by reward; near-duplicates of past trials drop
-    out, then the surrogate screens the rest.  Slots without an accepted attempt are missing.
+    out, the rest are numbered, then the surrogate screens them.  A slot without an accepted attempt gets the one of the
+    best estimate.  Slots with nothing but duplicates are proposed again with other draws and doubled steps, `pr.TRIES`
+    times; what is missing then belongs to a study whose space holds no new point within reach.
     With `screened=False` the attempts that are no duplicates come back instead.
     """
     surrogate = surrogate or fit_surrogate(trials, len(space))
     state = pr.states(trials, space, slots * attempts, surrogate.importances())
     dead = ["crossover"] if len(space) <= 1 else []
     table = pr.strategy_table(trials.select(*tl.STUDY).distinct(), pr.rewards(trials), names)
-    picks = pr.pick_strategy(table, slots * attempts, names, dead, f"{salt}/pick")
-    # written once: each strategy reads only its own rows of it
-    drawn = through_table(state.join(picks, pr.KEY), "states")
-    parts = [pr.propose(n, drawn.filter(F.col("strategy") == n), trials, space, salt, factor) for n in names]
-    proposals = through_table(reduce(DataFrame.unionByName, parts), "proposals")
-    fresh = tl.drop_duplicates(proposals, trials)
-    current = drawn.select(*pr.KEY, F.col("current.objective").alias("current_objective"))
-    scored = surrogate.predict(fresh).withColumnRenamed("prediction", "estimate").join(current, pr.KEY)
-    numbered = scored.withColumn("attempt", F.col("slot") % attempts).withColumn("slot", F.floor(F.col("slot") / attempts).cast("int"))
-    return pr.screen(numbered, ratio, f"{salt}/screen") if screened else numbered
+    real = F.floor(F.col("slot") / attempts).cast("int")
+    found, missing = [], None
+    for again in range(pr.TRIES + 1):
+        own = f"{salt}/again{again}" if again else salt
+        rows = state.join(pr.pick_strategy(table, slots * attempts, names, dead, f"{own}/pick"), pr.KEY)
+        if missing is not None:
+            rows = rows.withColumn("real", real).join(missing, ["study_id", "real"], "left_semi").drop("real")
+        # written once: each strategy reads only its own rows of it
+        drawn = through_table(rows, "states")
+        parts = [pr.propose(n, drawn.filter(F.col("strategy") == n), trials, space, own, factor * 2.0**again) for n in names]
+        proposals = through_table(reduce(DataFrame.unionByName, parts), "proposals")
+        fresh = tl.drop_duplicates(proposals, trials)
+        current = drawn.select(*pr.KEY, F.col("current.objective").alias("current_objective"))
+        scored = surrogate.predict(fresh).withColumnRenamed("prediction", "estimate").join(current, pr.KEY)
+        scored = through_table(scored, "proposals")
+        found.append(scored)
+        have = scored.select("study_id", real.alias("real"))
+        missing = through_table(drawn.select("study_id", real.alias("real")).distinct().join(have, ["study_id", "real"], "left_anti"), "proposals")
+        if missing.isEmpty():
+            break
+    order = Window.partitionBy("study_id", "real").orderBy("slot")
+    numbered = reduce(DataFrame.unionByName, found).withColumn("real", real)
+    numbered = numbered.withColumn("attempt", F.row_number().over(order) - 1).withColumn("slot", F.col("real")).drop("real")
+    return pr.screen(numbered, ratio, f"{salt}/screen", fallback=True) if screened else numbered
 
 
 @dataclass
