@@ -284,5 +284,14 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir):
     assert ids["packed"] == ids["personal_data"]
 
 
+def test_personal_data_of_rows_without_an_id_is_redacted(spark):
+    import corpus_pipeline
+
+    rows = [(None, "write to a@b.cd", "en", "s", 15), (None, "or e@f.gh now", "en", "s", 13), (None, None, "en", "s", None), (1, "me x@y.zz", "en", "s", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted((tuple(r) for r in corpus_pipeline.personal_data(spark, docs, "").select("doc_id", "text").collect()), key=str)
+    assert out == sorted([(None, "write to [EMAIL]"), (None, "or [EMAIL] now"), (None, None), (1, "me [EMAIL]")], key=str)
+
+
 def before_ids(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()
