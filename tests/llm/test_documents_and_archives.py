@@ -207,6 +207,26 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert [tuple(r) for r in pii.bootstrap(sample).collect()] == [("new", "email")]
 
 
+def test_contexts_discover_identifiers_with_blanks(spark):
+    def checked(digits):
+        return next(digits + str(c) for c in range(10) if luhn(digits + str(c)))
+
+    def grouped(digits):
+        return " ".join(digits[i : i + 4] for i in range(0, 16, 4))
+
+    cards = [grouped(checked(f"4111{i:04d}1111{i:03d}")) for i in range(30)]
+    rows = [(i, f"order {i} by card: {cards[i]} today, phone +1 ({100 + i}) 555-77{i:02d}, thanks") for i in range(30)]
+    wrong = cards[3][:-1] + str((int(cards[3][-1]) + 1) % 10)
+    unseen = [(100, f"paid by card: {wrong}.", wrong, "card"), (101, "her phone +1 (17) 5-77, or not", "+1 (17) 5-77", "phone"), (102, f"size {wrong[:9]} 12", "", "")]
+    df = spark.createDataFrame(rows + [u[:2] for u in unseen] + [(103, f"again {wrong}")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find(df).collect()}
+    for i, text, value, kind in unseen[:2]:
+        at = text.index(value)
+        assert found[i]["base"] == [] and [tuple(s) for s in found[i]["spans"]] == [(at, pii.KINDS.index(kind), kind, at + len(value))]
+    assert found[102]["spans"] == [] and [s["kind"] for s in found[103]["spans"]] == ["card"]
+    assert all([s["kind"] for s in found[i]["spans"]] == ["card", "phone"] for i in range(30))
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é a@b.cd, call +1 415 555 0199 or 1.2.3.4!"), (2, "none"), (3, None)], "doc_id long, text string")
     text = F.coalesce("text", F.lit(""))

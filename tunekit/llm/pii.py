@@ -1,8 +1,8 @@
 """Personal data in texts, in DataFrame operations only.
 
 Four kinds have patterns and checks of their own (base spans).  They are the seeds of a bootstrapping that finds further
-identifiers by their context: words with digits or `@` are the instances; the word before, or the key before `=` or `:`,
-with the instance's shape is a lexical pattern.  Over the graph of patterns and instances, patterns are scored by the
+identifiers by their context: words with digits or `@`, runs of numbers joined by blanks and base spans that hold blanks are
+the instances; the word before, or the key before `=` or `:`, with the instance's shape is a lexical pattern.  Over the graph of patterns and instances, patterns are scored by the
 share of known instances they occur with, instances by a noisy-or of their patterns, for a fixed number of rounds;
 instances of high score become spans of that kind wherever they occur.
 
@@ -29,6 +29,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 WORD = "[^\\x20\\x09-\\x0D]"
 INSTANCE = "(?<!" + WORD + ")[^\\x20\\x09-\\x0D0-9@]*+[0-9@]" + WORD + "*+"
+_NUMBER = "[+(]*+[0-9][^\\x20\\x09-\\x0DA-Za-z@]*+(?!" + WORD + ")"
+RUN = "(?<!" + WORD + ")(?:[^\\x20\\x09-\\x0D0-9@=:]*+[=:])?+" + _NUMBER + "(?:(?<![,;:!?])\\x20" + _NUMBER + ")++"
 KEY = "^([^0-9@=:]*[=:]).+$"
 TRIMMED = "[.,;:!?)\\]}\"'>]+$"
 
@@ -74,10 +76,10 @@ def located(text: Column, regex: str, make: Callable[[Column, Column, Column, Co
     return let(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), scan)
 
 
-def base_spans(text: Column) -> Column:
-    """Array of (start, ord, kind, end) of the four kinds, each leftmost and non-overlapping; failing matches dropped."""
+def _rules(text: Column) -> dict[str, tuple[str, Column, Callable[[Column], Column]]]:
+    """kind: (expression, whether the text may hold a match, check of a match)."""
     digits = lambda m: F.regexp_replace(m, "[^0-9]", "")
-    rules = {
+    return {
         "email": (EMAIL, text.contains("@"), lambda m: F.lit(True)),
         "ip": (IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), lambda m: m.rlike(rf"^(?:{_BYTE}\.){{3}}{_BYTE}$")),
         "card": (
@@ -87,7 +89,11 @@ def base_spans(text: Column) -> Column:
         ),
         "phone": (PHONE, text.contains("+"), lambda m: F.char_length(digits(m)).between(9, 15)),
     }
-    arrays = []
+
+
+def base_spans(text: Column) -> Column:
+    """Array of (start, ord, kind, end) of the four kinds, each leftmost and non-overlapping; failing matches dropped."""
+    rules, arrays = _rules(text), []
     for order, kind in enumerate(KINDS):
         regex, may_hold, keep = rules[kind]
 
@@ -100,25 +106,46 @@ def base_spans(text: Column) -> Column:
 
 
 def instances(text: Column) -> Column:
-    """Array of (start, end, value, pattern): words with a digit or `@`, without a key before and marks behind them."""
+    """Array of (start, end, value, pattern, kind), without a key before and marks behind the value.
 
-    def make(start: Column, end: Column, hit: Column, seg: Column) -> Column:
-        key = F.regexp_extract(hit, KEY, 1)
-        bare = F.substr(hit, F.char_length(key) + 1)
-        value = F.regexp_replace(bare, TRIMMED, "")
-        begin = start + F.char_length(key)
-        before = F.substring_index(F.rtrim(F.translate(seg, "\n\r\t\x0b\x0c", "     ")), " ", -1)
+    Words with a digit or `@` and longest runs of numbers joined by single blanks have no kind yet; cards and phones that
+    hold blanks are instances as a whole, with their kind.
+    """
+    made = "array<struct<start:int,end:int,value:string,pattern:string,kind:string>>"
+
+    def described(begin: Column, value: Column, context: Column, kind: Column) -> Column:
         shape = F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), "[^\\W\\d_]+", "a")
-        pattern = F.concat_ws("\x1f", F.lower(F.when(key != "", key).otherwise(before)), shape)
         return F.struct(
             begin.alias("start"),
             (begin + F.char_length(value)).alias("end"),
             value.alias("value"),
-            F.sha2(pattern, 256).alias("pattern"),
+            F.sha2(F.concat_ws("\x1f", F.lower(context), shape), 256).alias("pattern"),
+            kind.alias("kind"),
         )
 
-    kind = "array<struct<start:int,end:int,value:string,pattern:string>>"
-    return located(text, INSTANCE, make, kind, lambda hit: F.char_length(hit) >= LEAST_CHARS)
+    def word_before(seg: Column) -> Column:
+        return F.substring_index(F.rtrim(F.translate(seg, "\n\r\t\x0b\x0c", "     ")), " ", -1)
+
+    def make(start: Column, end: Column, hit: Column, seg: Column) -> Column:
+        key = F.regexp_extract(hit, KEY, 1)
+        bare = F.substr(hit, F.char_length(key) + 1)
+        value = F.regexp_replace(bare, TRIMMED, "")
+        begin = start + F.char_length(key)
+        return described(begin, value, F.when(key != "", key).otherwise(word_before(seg)), F.lit(None).cast("string"))
+
+    long_enough = lambda hit: F.char_length(hit) >= LEAST_CHARS
+    arrays = [located(text, INSTANCE, make, made, long_enough)]
+    arrays.append(F.when(text.rlike(RUN), located(text, RUN, make, made, long_enough)))
+    rules = _rules(text)
+    for kind in ("card", "phone"):
+        regex, may_hold, keep = rules[kind]
+
+        def whole(start, end, hit, seg, kind=kind):
+            return described(start, hit, word_before(seg), F.lit(kind))
+
+        found = located(text, regex, whole, made, lambda hit, keep=keep: hit.contains(" ") & keep(hit))
+        arrays.append(F.when(may_hold, found))
+    return F.concat(*[F.coalesce(a, F.array().cast(made)) for a in arrays])
 
 
 def bootstrap(found: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, accepted: float = ACCEPTED) -> DataFrame:
@@ -186,7 +213,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     words = through_table(
         words.select(
             "body", "start", "end", "value", "pattern",
-            F.get(inside, 0)["kind"].alias("kind"), (F.size("over") > 0).alias("covered"),
+            F.when(F.col("value").contains(" "), F.col("kind")).otherwise(F.get(inside, 0)["kind"]).alias("kind"),
+            (F.size("over") > 0).alias("covered"),
         ),
         "words",
     )
