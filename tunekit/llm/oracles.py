@@ -85,3 +85,92 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coales
   sha256(unhex(k)) AS kept_sha256
 FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
 """
+
+MIX = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, md5('11:' || coalesce(doc_id::VARCHAR, '')) AS mark,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
+w AS (SELECT *, no % 3 + 1 AS weight, 3 * size AS cap FROM s),
+round(i, rest, open) AS (
+  SELECT 0, sum(size)::BIGINT, sum(weight)::BIGINT FROM w
+  UNION ALL
+  SELECT i + 1, (SELECT sum(size)::BIGINT FROM w) - coalesce(sum(cap) FILTER (weight * rest >= cap * open), 0)::BIGINT,
+    (SELECT sum(weight)::BIGINT FROM w) - coalesce(sum(weight) FILTER (weight * rest >= cap * open), 0)::BIGINT
+  FROM round, w WHERE i < 40 GROUP BY i, rest, open),
+share AS (SELECT rest, open FROM round ORDER BY i DESC LIMIT 1),
+aim AS (
+  SELECT source, no, size, CASE WHEN weight * rest >= cap * greatest(open, 1) THEN cap::DOUBLE
+    ELSE weight::DOUBLE * rest::DOUBLE / greatest(open, 1)::DOUBLE END AS target FROM w, share),
+quotient AS (
+  SELECT no, target / (2 * j - 1) AS q, j FROM (SELECT no, target, unnest(range(1, 3 * ((size + 15) // 16) + 1)) AS j FROM aim)),
+quota AS (
+  SELECT no, count(*) AS blocks FROM (SELECT no FROM quotient WHERE q > 0 ORDER BY q DESC, no, j
+    LIMIT (SELECT (sum(size)::BIGINT + 8) // 16 FROM s)) GROUP BY no),
+cell AS (
+  SELECT no, source, shard, words, sum(words) OVER (PARTITION BY no ORDER BY shard) - words AS start FROM (
+    SELECT no, s.source, ('0x' || mark[1:2])::INT AS shard, sum(d.size)::BIGINT AS words
+    FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source GROUP BY ALL)),
+block AS (
+  SELECT no, source, shard, b, b - min(b) OVER (PARTITION BY no, shard) AS i, count(*) OVER (PARTITION BY no, shard) AS n FROM (
+    SELECT no, source, shard, unnest(range((start::BIGINT + 15) // 16, (start::BIGINT + words + 15) // 16)) AS b FROM cell)),
+own AS (
+  SELECT no, shard, count(*) AS won FROM (
+    SELECT no, shard, row_number() OVER (PARTITION BY no ORDER BY n / (2 * j - 1) DESC, shard, j) AS place FROM (
+      SELECT no, shard, n, unnest(range(1, 3 * n + 1)) AS j FROM (SELECT DISTINCT no, shard, n FROM block)))
+  JOIN quota USING (no) WHERE place <= blocks GROUP BY no, shard),
+times AS (
+  SELECT no, b, won // n + (i + turn + 1) * (won % n) // n - (i + turn) * (won % n) // n AS times FROM (
+    SELECT no, b, i, n, coalesce(won, 0) AS won, ('0x' || md5('11:' || coalesce(source, '') || ':' || shard)[1:8])::BIGINT % n AS turn
+    FROM block LEFT JOIN own USING (no, shard))),
+place AS (
+  SELECT doc_id, no, d.size, s.size AS source_size,
+    sum(d.size) OVER (PARTITION BY no ORDER BY mark, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - d.size AS pos
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+part AS (
+  SELECT doc_id, no, size, pos, unnest(range(pos // 16, (pos + size + 15) // 16)) AS b FROM place WHERE size > 0),
+got AS (
+  SELECT doc_id, no, size, pos, sum(times * (least(pos + size, 16 * b + 16) - greatest(pos, 16 * b)))::BIGINT AS taken
+  FROM part JOIN times USING (no, b) GROUP BY doc_id, no, size, pos)
+SELECT p.doc_id, p.size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, aim.source
+FROM place p JOIN aim ON aim.no = p.no LEFT JOIN got g ON g.doc_id IS NOT DISTINCT FROM p.doc_id AND g.no = p.no AND g.pos = p.pos AND g.size = p.size
+"""
+
+VARIANTS = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+own AS (
+  SELECT doc_id, w, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[a-z\x{C0}-\x{FF}]+')) AS w FROM documents)
+  WHERE length(w) >= 7 GROUP BY ALL),
+code AS (
+  SELECT w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS h FROM own),
+step(w, n, h, i, c) AS (
+  SELECT w, n, h, 0, 4294967295::BIGINT FROM code
+  UNION ALL
+  SELECT w, n, h, i + 1, xor(t[(xor(c, ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) & 255) + 1], c >> 8) FROM step, crc WHERE 2 * i < length(h)),
+hashed AS (SELECT w, n, xor(c, 4294967295) AS c FROM step WHERE 2 * i = length(h)),
+words AS (
+  SELECT CASE WHEN c % 31 = 0 THEN substr(w, 1, (c % length(w))::INT) || substr(w, (c % length(w))::INT + 2) ELSE w END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM words GROUP BY word HAVING length(word) >= 7 AND sum(n) >= 2),
+part AS (
+  SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS key FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+pair AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM part a JOIN part b ON a.key = b.key AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT a.word, v.word, v.n FROM part a JOIN v ON a.key = v.word
+  UNION ALL SELECT v.word, a.word, a.n FROM part a JOIN v ON a.key = v.word),
+near AS (SELECT DISTINCT word, other, m FROM pair),
+best AS (
+  SELECT word, count(*)::BIGINT AS n_near, max(m) AS m FROM near GROUP BY word),
+form AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 10 * v.n THEN m END AS form_n,
+    CASE WHEN m >= 10 * v.n THEN (SELECT min(other) FROM near WHERE near.word = v.word AND near.m = best.m) END AS form
+  FROM v LEFT JOIN best USING (word)),
+walk(word, root) AS (
+  SELECT word, word FROM form UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON form.word = walk.root WHERE form.form IS NOT NULL),
+last AS (SELECT walk.word, root FROM walk JOIN form ON form.word = root WHERE form.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN last USING (word)
+"""

@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunekit.llm import bpe, grid_join, language, line_rules, oracles, packing, pii, sharding, simhash, suffix_dedup, warc
+from tunekit.llm import (
+    bpe, grid_join, language, line_rules, mixing, oracles, packing, pii, runs, sharding, simhash, spelling, suffix_dedup, warc,
+)
 from tunekit.llm.common import table
 from tunekit.llm.registry import ORACLES, QUERIES, query
 
@@ -76,3 +78,18 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_grid_join", oracles.GRID_JOIN)
 def op1_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_mixing", oracles.MIX)
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+@query("op12_runs")
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.find(table(spark, sf_dir, "documents"), plant=True).drop("runs", "collapsed")
+
+
+@query("op13_spelling", oracles.VARIANTS)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
