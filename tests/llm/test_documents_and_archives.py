@@ -117,9 +117,9 @@ def test_bins_do_not_hold_every_context_of_a_frequent_phrase(spark, tmp_path, mo
     repeated, sizes = bwt.repeated, tmp_path / "sizes"
     sizes.mkdir()
 
-    def noted(strings, windows, width):
+    def noted(strings, windows, width, owners):
         (sizes / f"{hash(strings[0])}-{len(strings)}").touch()
-        return repeated(strings, windows, width)
+        return repeated(strings, windows, width, owners)
 
     monkeypatch.setattr(suffix_dedup, "bwt", SimpleNamespace(repeated=noted))  # workers get it with the functions that use it
     monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 200, raising=False)
@@ -142,6 +142,24 @@ def test_merged_transforms_give_sorted_intervals(seed, monkeypatch):
     assert all((found[i] == found[i + 1]) == (interval[i] == interval[i + 1]) for i in range(len(found) - 1))
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_merge_drops_only_intervals_of_one_owner(seed):
+    rng = random.Random(seed)
+    width = rng.choice([3, 5, 8])
+    strings = list(dict.fromkeys(bytes(rng.choices(b"ab", k=rng.randint(width, 40))) for _ in range(40)))
+    windows = np.array([len(s) - width + 1 for s in strings])
+    owners = np.array([rng.randrange(6) for _ in strings])
+    holders = {}
+    for s, o in zip(strings, owners.tolist()):
+        for p in range(len(s) - width + 1):
+            holders.setdefault(s[p : p + width], set()).add(o)
+    string, place, interval = bwt.repeated(strings, windows, width, owners)
+    found = [strings[a][b : b + width] for a, b in zip(string, place)]
+    every = [s[p : p + width] for s in strings for p in range(len(s) - width + 1)]
+    assert sorted(found) == found == sorted(w for w in every if len(holders[w]) > 1)
+    assert all((found[i] == found[i + 1]) == (interval[i] == interval[i + 1]) for i in range(len(found) - 1))
+
+
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",

@@ -1,5 +1,6 @@
 """Operators on vectors, fingerprints, languages and tokens against brute force."""
 
+import json
 import random
 import zlib
 
@@ -194,6 +195,42 @@ def test_differencing_is_near_equal_and_complete(seed):
     assert all(sum(sizes[i] for i in w) <= 512 for w in packing.balanced(sizes, 512))
 
 
+def plain_differencing(sizes, windows):
+    """The textbook method: partitions as lists of all their sums, merged fullest with emptiest."""
+    parts = [(-size, i, [size] + [0] * (windows - 1)) for i, size in enumerate(sizes)]
+    turn = len(parts)
+    while len(parts) > 1:
+        parts.sort()
+        a, b = parts.pop(0), parts.pop(0)
+        sums = sorted((x + y for x, y in zip(a[2], reversed(b[2]))), reverse=True)
+        parts.append((sums[-1] - sums[0], turn, sums))
+        turn += 1
+    return parts[0][2]
+
+
+def test_differencing_is_the_textbook_method():
+    rng = random.Random(11)
+    assert sorted(sum([10, 2, 1, 1][i] for i in w) for w in packing.differencing([10, 2, 1, 1], 2)) == [4, 10]
+    for _ in range(300):
+        sizes = [rng.choice([rng.randint(1, 9), rng.randint(1, 256), 256]) for _ in range(rng.randint(1, 60))]
+        windows = rng.randint(2, 12)
+        dealt = packing.differencing(sizes, windows)
+        assert sorted((sum(sizes[i] for i in w) for w in dealt), reverse=True) == plain_differencing(sizes, windows)
+
+
+def test_a_tokenizer_that_differs_from_the_rank_file_is_refused():
+    full = Tokenizer.from_file(BPE[0])
+    table = bpe.read_ranks(BPE[1])
+    spec = json.loads(full.to_str())
+    packing.check_same(spec, full, table, BPE[2])
+    swapped = dict(table)
+    a, b = list(table)[400:402]
+    swapped[a], swapped[b] = table[b], table[a]
+    for bad in ((spec | {"normalizer": {"type": "Lowercase"}}, table, BPE[2]), (spec, swapped, BPE[2]), (spec, table, BPE[2] + "|x")):
+        with pytest.raises(ValueError):
+            packing.check_same(bad[0], full, bad[1], bad[2])
+
+
 def test_packing_keeps_every_id_once(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a <|endoftext|> b"), (-4, "ab " * 20000)], "doc_id long, text string")

@@ -10,6 +10,7 @@ that could hold the ids, and rises by one whenever a window exceeds the capacity
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,40 +30,40 @@ PIECE = 256
 GROUP_IDS = 1 << 20
 END_ID = 1
 
+# Fixed value: the split of byte-level tokenizers.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 )
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
-    """Deal items over `windows` windows with near-equal sums; the item numbers of each window."""
+    """Deal items over `windows` windows with near-equal sums; the item numbers of each window.
+
+    A partial partition lists its filled windows, fullest first; the rest are empty.  Ties of imbalance go to the older one.
+    """
     if windows == 1:
         return [list(range(len(sizes)))]
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    heap = []
-    # the first merges of the method join `windows` single items into one partition without a choice
-    for turn, a in enumerate(range(0, len(order), windows)):
-        part = order[a : a + windows]
-        sums = np.zeros(windows, np.int64)
-        sums[: len(part)] = [sizes[i] for i in part]
-        slots = [(i,) for i in part] + [()] * (windows - len(part))
-        heap.append((int(sums.min() - sums.max()), turn, sums, slots))
+    heap = [(-size, i, [(size, i)]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     turn = len(heap)
     while len(heap) > 1:
-        _, _, left, left_slots = heapq.heappop(heap)
-        _, _, right, right_slots = heapq.heappop(heap)
-        sums = left + right[::-1]
-        slots = list(zip(left_slots, right_slots[::-1]))
-        by_size = np.argsort(-sums, kind="stable")
-        sums = sums[by_size]
-        slots = [slots[i] for i in by_size.tolist()]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), turn, sums, slots))
+        _, _, left = heapq.heappop(heap)
+        _, _, right = heapq.heappop(heap)
+        # window i of one takes window `windows` - 1 - i of the other: from `free` on both may be filled
+        free = min(len(left), windows - len(right))
+        both = [(a + b, (x, y)) for (a, x), (b, y) in zip(left[free:], right[windows - 1 - free :: -1])]
+        parts = left[:free] + right[: windows - len(left)] + both
+        parts.sort(key=lambda p: -p[0])
+        least = parts[-1][0] if len(parts) == windows else 0
+        heapq.heappush(heap, (least - parts[0][0], turn, parts))
         turn += 1
-    return [_flat(s) for s in heap[0][3]] if heap else [[] for _ in range(windows)]
+    dealt = [_flat(slot) for _, slot in heap[0][2]] if heap else []
+    return dealt + [[] for _ in range(windows - len(dealt))]
 
 
-def _flat(tree: tuple) -> list[int]:
+def _flat(tree: tuple | int) -> list[int]:
     """The item numbers in nested pairs."""
     out, stack = [], [tree]
     while stack:
@@ -112,14 +113,41 @@ def joined(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 @lru_cache(maxsize=2)
 def _tokenizer(vocabulary: str, ranks: str, pattern: str) -> tuple[Tokenizer, tuple[str, ...], tiktoken.Encoding]:
     full = Tokenizer.from_file(vocabulary)
+    table = bpe.read_ranks(ranks)
+    check_same(json.loads(full.to_str()), full, table, pattern)
     special = tuple(t.content for t in full.get_added_tokens_decoder().values())
-    return full, special, tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={})
+    return full, special, tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+
+def check_same(spec: dict, full: Tokenizer, table: dict[bytes, int], pattern: str) -> None:
+    """Raise unless the tokenizer is plain byte-level BPE with the vocabulary, the merges and the pattern of the rank file."""
+    split = spec["pre_tokenizer"] or {}
+    plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex")
+    plain = plain and not split.get("add_prefix_space") and pattern == BYTE_LEVEL_PATTERN
+    model = spec["model"]
+    plain = plain and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+    letters = {c: b for b, c in byte_letters().items()}
+    raw = lambda token: bytes(letters[c] for c in token)
+    added = set(full.get_added_tokens_decoder())
+    same = plain and {raw(t): i for t, i in model["vocab"].items() if i not in added} == table
+    # the rank of a pair is that of its whole, so merges must stand in the order of their results
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    results = [table.get(raw(a) + raw(b), -1) for a, b in pairs] if same else [-1]
+    if not same or results[:1] == [-1] or any(a >= b for a, b in zip(results, results[1:])):
+        raise ValueError("the tokenizer and the rank file do not give the same ids")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter of every byte in vocabularies of byte-level tokenizers: itself, or one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 def token_ids(text: str, vocabulary: str, ranks: str, pattern: str) -> np.ndarray:
     """Ids of the tokenizer in the file `vocabulary`, without special tokens added.
 
-    `ranks` holds the same vocabulary as a rank file, with which the same ids are found several times faster.  Texts that
+    `ranks` holds the same vocabulary as a rank file (checked once per process), with which the same ids are found several times faster.  Texts that
     hold the string of a special token, which the tokenizer finds in plain text too, go to the tokenizer itself.
     """
     full, special, fast = _tokenizer(vocabulary, ranks, pattern)
