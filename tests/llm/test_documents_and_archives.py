@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from types import SimpleNamespace
 
 import numpy as np
@@ -66,6 +67,23 @@ def test_shards_are_near_equal_and_slots_gapless(spark):
     assert sharding.shard_documents(same, 4).count() == 50
 
 
+def test_shards_hold_equal_bytes_when_rows_repeat(spark):
+    rng = random.Random(2)
+    rows = [(1, "r" * 100)] * 400 + [(10 + i, "t" * 100) for i in range(400)] + [(None, None)] * 300
+    rows += [(1000 + i, "é" * rng.randint(0, 200)) for i in range(300)] + [(2000, "long " * 4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sharding.shard_documents(df, 4).collect()
+    sizes = [sum(r["size"] for r in out if r["shard"] == s) for s in range(4)]
+    assert max(sizes) - min(sizes) <= 20008 and sum(sizes) == sum(len((t or "").encode()) + 8 for _, t in rows)
+    expected = sorted((d or -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in out) == expected
+    for s in range(4):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    equal = spark.createDataFrame([(1, "r" * 100)] * 400 + [(10 + i, "t" * 100) for i in range(400)], "doc_id long, text string")
+    sizes = [r["s"] for r in sharding.shard_documents(equal, 4).groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 4 and max(sizes) <= 1.02 * min(sizes)
+
+
 def plain_removal(rows, width=50):
     first = {}
     for d, t in rows:

@@ -247,6 +247,25 @@ def test_variants_against_brute_force(spark):
     assert spelling.variants(df.limit(0)).count() == 0
 
 
+def test_pairs_of_short_words_against_brute_force(spark):
+    rng = random.Random(12)
+    words = {"".join(rng.choice("abc") for _ in range(rng.randint(4, 8))) for _ in range(400)}
+    words |= {"".join(rng.choice("aab") for _ in range(rng.randint(14, 16))) for _ in range(300)}
+    words |= {"a" * n for n in range(4, 20)} | {"ab" * n for n in range(2, 10)} | {"ab" * n + "b" for n in range(2, 10)}
+    words = sorted(words)
+    df = spark.createDataFrame([(w, 2) for w in words], "word string, n long")
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    expected = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if near(a, b)}
+    assert {(r["a"], r["b"]) for r in spelling.near_pairs(df).collect()} == expected
+
+
 def test_pivots_are_the_lightest_disjoint_pair():
     rng = random.Random(9)
     for _ in range(300):

@@ -173,7 +173,7 @@ def shard_plan(shards: DataFrame, aims: DataFrame, most: int, block: int, seed:
         F.lit((words + block // 2) // block).cast("long").alias("blocks"),
         (F.ceil(F.col("size") / F.lit(block)) * most).cast("long").alias("most"),
     )
-    dealt = apportioned(dealt, "all", "no", "target", "blocks", "most")
+    dealt = apportioned(through_table(dealt, "sources"), "all", "no", "target", "blocks", "most")
     own = dealt.select(F.col("source").alias("_s"), "no", "size", "target", F.col("quota").alias("blocks"))
     rows = shards.join(own, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     before = Window.partitionBy("no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)

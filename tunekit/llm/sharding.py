@@ -5,7 +5,8 @@ dimension in which it is widest relative to the whole table; a leaf holds one sh
 All nodes of a level are split together.  A weighted median is found by narrowing: rows carry one ordered 64-bit
 position per dimension (the value, then a hash of the row's identity), each pass sums the weights of a fixed number of
 equal position ranges per node, and only these sums reach the driver.  Equal values are thus divided by the hash, so
-a group of copies of any size is split where the cut falls into it, and stays together elsewhere.
+a group of copies of any size is split where the cut falls into it, and stays together elsewhere.  Rows that are equal in
+everything get a hash of their own place in the table, which is written down before it is used, so that cuts divide them too.
 """
 
 from __future__ import annotations
@@ -113,17 +114,22 @@ def assign(rows: DataFrame, dims: Sequence[str], weight: str, tie: Sequence[str]
     """`rows` with `shard` and `slot` (gapless from 0 in each shard).
 
     `dims` are non-negative whole numbers below 2^32.  `tie` names the columns that tell rows apart; rows equal in all of them
-    are interchangeable.  Slots count by cells of bounded size: a shard is cut by the hash of `tie`, cells are
+    are interchangeable: each takes its own hash, so they are spread over the cells and divided by cuts like any others.  Slots count by cells of bounded size: a shard is cut by the hash of `tie`, cells are
     counted, and a row's slot is its place in the cell behind the rows of the cells before it.
     """
-    mark = F.xxhash64(*tie)
+    rows = through_table(rows, "rows")
+    same = [F.col(t).eqNullSafe(F.col(f"_t_{t}")) for t in tie]
+    again = rows.groupBy(*tie).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    again = again.select(*[F.col(t).alias(f"_t_{t}") for t in tie], "_copies")
+    rows_ = rows.withColumn("_place", F.monotonically_increasing_id()).join(again, reduce(Column.__and__, same), "left")
+    mark = F.when(F.col("_copies") > 1, F.xxhash64(*tie, "_place")).otherwise(F.xxhash64(*tie))
     places = [
         F.shiftleft(F.coalesce(F.col(d), F.lit(0)).cast("long"), TIE_BITS)
         .bitwiseOR(F.shiftrightunsigned(mark, 64 - TIE_BITS))
         .alias(f"_at_{d}")
         for d in dims
     ]
-    spread = through_table(rows.select("*", *places, mark.alias("_mark")), "positions")
+    spread = through_table(rows_.select(*rows.columns, *places, mark.alias("_mark")), "positions")
     tree = grow(spread, [f"_at_{d}" for d in dims], weight, shards)
     cells = max(1, ceil(spread.count() / (shards * CELL_ROWS)))
     placed = spread.select(
@@ -133,8 +139,8 @@ def assign(rows: DataFrame, dims: Sequence[str], weight: str, tie: Sequence[str]
     counts = placed.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("shard", "_cell").orderBy("_mark", *[F.col(t).asc_nulls_first() for t in tie])
-    numbered = placed.withColumn("_place", F.row_number().over(inside) - 1)
-    slot = (F.col("_before") + F.col("_place")).cast("long").alias("slot")
+    numbered = placed.withColumn("_within", F.row_number().over(inside) - 1)
+    slot = (F.col("_before") + F.col("_within")).cast("long").alias("slot")
     return numbered.join(offsets, ["shard", "_cell"]).select(*rows.columns, "shard", slot)
 
 

@@ -1,11 +1,15 @@
 """Spelling variants: words one edit apart, found by pivotal grams.
 
-The bigrams of a word are put in a global order, rare ones first.  The first three (with all places of the third) are its
-prefix; two disjoint ones of them, the pair with the smallest summed frequency, are its pivots.  One edit spoils one of two disjoint
-bigrams at most, so of two near words the one whose prefix ends first has a pivot that stands in the other's prefix.  The edit
-is then wholly right of that bigram, and both words agree up to its end, or wholly left of it, and they agree from it on:
-the place of a bigram, counted from the side that agrees, and that side itself are part of the join key.  Pairs of the index are
-verified by their edit distance inside the join.
+The bigrams of a word are put in a global order, rare ones first, equal ones from the left.  The first three are its prefix; two
+disjoint ones of them, the pair with the smallest summed frequency, are its pivots.  One edit spoils one of two disjoint bigrams at
+most, so of two near words the one whose prefix ends first has a pivot that the other's prefix holds, if that is filled up with
+equal bigrams: an edit makes two new ones at most, so with the first five places of each.
+
+Places are limited by what the edit leaves alone.  If it is right of the first pivot, both words agree up to the end of that
+bigram; else it is left of the second, and they agree from there on.  The rest of the word is cut into a few intervals, by the length
+of the word that is looked for: with the edit in one of them, the letters before it and those behind it agree.  A row of the index
+is therefore a hash of a bigram, its place from the side that agrees, a length, an interval and the letters that agree.  What
+meets is verified by edit distance inside the join.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +35,7 @@ RATIO = 10
 PIVOTS = 2
 HELD = 1 << 17
 
-INDEX = "word string, n long, last int, pivot boolean, gram int, side int, place int, part long"
+INDEX = "word string, n long, last int, pivot boolean, key long"
 
 
 def spoiled(word: bytes, doc_id: str, every: int) -> bytes:
@@ -122,50 +127,86 @@ def pivots(places: list[int], weights: list[int], count: int = PIVOTS) -> list[i
     return list(best[-1][1])
 
 
+def keys_of(word: bytes, at: int, length: int, side: int) -> list[int]:
+    """Hashes for the bigram at `at` of a word, if the edit that makes a word of `length` letters is behind that bigram.
+
+    One per interval that may hold the edit: behind the bigram, in the third and in the last quarter of the word.  With it from
+    letter a on and before letter b, the first a letters agree, and the last `length` - b - 1.  For what is before a bigram
+    the word is turned round (`side` 1).
+    """
+    cuts = [at + 2, max(at + 2, length // 2), max(at + 2, 3 * length // 4), length + 1]
+    out = []
+    for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            behind = max(length - b - 1, 0)
+            text = b"%d %d %d %d %s %s" % (side, at, length, part, word[:a], word[len(word) - behind :])
+            out.append(xxhash.xxh64_intdigest(text) >> 1)
+    return out
+
+
+def index_keys(word: bytes, places: list[int], first: int, second: int) -> tuple[list[int], list[int]]:
+    """The keys of a word's pivots, for the three lengths that one edit can give, and of its prefix, for its own length."""
+    n, turned = len(word), word[::-1]
+    own: list[int] = []
+    for length in (n - 1, n, n + 1):
+        own += keys_of(word, first, length, 0) + keys_of(turned, n - 2 - second, length, 1)
+    sought: list[int] = []
+    for p in places:
+        sought += keys_of(word, p, n, 0) + keys_of(turned, n - 2 - p, n, 1)
+    return own, sought
+
+
+def first_places(ranks: np.ndarray, places: np.ndarray, most: int = PIVOTS + 3) -> list[int]:
+    """The first `most` places of every bigram, from places in order of (rank, place)."""
+    heads = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1])))
+    ordinal = np.arange(len(ranks)) - np.repeat(heads, np.diff(np.append(heads, len(ranks))))
+    return places[ordinal < most].tolist()
+
+
 def indexed(rank: np.ndarray, frequency: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows of the index for (word, n) batches: per pivot and per bigram of the prefix, one for each side of it."""
+    """Rows of the index for (word, n) batches."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                out: list[tuple] = []
-                for word, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    codes = np.frombuffer(word.encode("latin-1"), np.uint8)
+            for start, end in slices(batch.column(0), 1 << 18, 4096):
+                part = batch.slice(start, end - start)
+                keys: list[int] = []
+                last: list[int] = []
+                sizes: list[tuple[int, int]] = []
+                for word in part.column(0).to_pylist():
+                    text = word.encode("latin-1")
+                    codes = np.frombuffer(text, np.uint8)
                     ranks = rank[codes[:-1], codes[1:]]
-                    last = int(np.partition(ranks, PIVOTS)[PIVOTS])
-                    places = np.flatnonzero(ranks <= last).tolist()
-                    weights = frequency[codes[:-1], codes[1:]][places].tolist()
-                    chosen = pivots(places, weights)
-                    for pivot, listed in ((True, chosen), (False, places)):
-                        for p in listed:
-                            gram = int(ranks[p])
-                            out.append((word, n, last, pivot, gram, 0, p, hash_of(word[:p])))
-                            out.append((word, n, last, pivot, gram, 1, len(word) - p, hash_of(word[p + 2 :])))
-                columns = list(zip(*out)) if out else [[]] * 8
-                kinds = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-                names = ["word", "n", "last", "pivot", "gram", "side", "place", "part"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                    last.append(int(np.partition(ranks, PIVOTS)[PIVOTS]))
+                    places = np.flatnonzero(ranks <= last[-1])
+                    places = places[np.argsort(ranks[places], kind="stable")]
+                    prefix = np.sort(places[: PIVOTS + 1])
+                    weights = frequency[codes[prefix], codes[prefix + 1]]
+                    own, sought = index_keys(text, first_places(ranks[places], places), *pivots(prefix.tolist(), weights.tolist()))
+                    keys += own
+                    keys += sought
+                    sizes.append((len(own), len(sought)))
+                each = np.array(sizes, np.int64).reshape(-1, 2)
+                of = pa.array(np.repeat(np.arange(len(each)), each.sum(1)))
+                pivot = np.repeat(np.tile([True, False], len(each)), each.ravel())
+                columns = [part.column(0).take(of), part.column(1).take(of), pa.array(last, pa.int32()).take(of)]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(pivot), pa.array(keys, pa.int64())], ["word", "n", "last", "pivot", "key"]
+                )
 
     return index
 
 
-def hash_of(text: str) -> int:
-    """32 bits of a text; equal ones only add pairs to be verified."""
-    return zlib.crc32(text.encode())
-
-
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b), each pair of words one edit apart once; `words` has distinct words of 4 letters or more and their n."""
     rank, frequency = gram_order(words)
     parts = fan_out(words.sparkSession)
     rows = through_table(words.repartition(parts, "word").mapInArrow(indexed(rank, frequency), INDEX), "grams")
-    key = ["gram", "side", "place", "part"]
 
     def side(of: DataFrame, name: str) -> DataFrame:
-        return of.select(*key, F.col("word").alias(name), F.col("n").alias(f"n_{name}"), F.col("last").alias(f"last_{name}"))
+        return of.select("key", F.col("word").alias(name), F.col("n").alias(f"n_{name}"), F.col("last").alias(f"last_{name}"))
 
-    pairs = side(rows.where("pivot"), "a").join(side(rows.where("not pivot"), "b"), key)
+    pairs = side(rows.where("pivot"), "a").join(side(rows.where("not pivot"), "b"), "key")
     near = pairs.where("a <> b and last_a <= last_b and abs(length(a) - length(b)) <= 1").where(F.levenshtein("a", "b", 1) == 1)
     first = F.col("a") < F.col("b")
 
