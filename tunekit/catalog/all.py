@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from tunekit.catalog import data, log, models, proposals, validation  # noqa: F401
+from tunekit.catalog import data, log, models, proposals, search, validation  # noqa: F401
 from tunekit.catalog.models import flagship
 from tunekit.catalog.registry import ORACLES, QUERIES
 

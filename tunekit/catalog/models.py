@@ -81,7 +81,7 @@ def select_lasso(spark, sf_dir):
 @query("select_greedy")
 def select_greedy(spark, sf_dir):
     df = _prepared(spark, sf_dir)
-    found, gain, depth = select.backward_beam(df.filter(F.col("split") == "A"), select.depth_limit(select.GAIN, 0.5))
+    found, gain, depth = select.backward_beam(df.filter(F.col("split") == "A"))
     df.unpersist()
     return found.table(df).withColumn("gain", F.lit(gain)).withColumn("depth", F.lit(depth))
 

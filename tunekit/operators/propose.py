@@ -43,8 +43,13 @@ def states(
     `importances` is (study_id, importances, weights) of a surrogate; studies without a row, or all of them
     without the table, get equal importances and zero weights.
     """
-    n = len(space)
     base = tl.latest_trials(trials).join(tl.best_sets(trials, k), tl.STUDY)
+    return slotted(base, space, slots, importances)
+
+
+def slotted(base: DataFrame, space: Space, slots: int, importances: DataFrame | None = None) -> DataFrame:
+    """A row per slot of every study state, with the surrogate's importances and weights."""
+    n = len(space)
     equal, none = uniform_importances(n), arrays.lit_array([0.0] * n)
     if importances is not None:
         base = base.join(importances, tl.STUDY, "left")
@@ -162,7 +167,8 @@ def climb(params: Column, weights: Column, step: Column, space: Space) -> Column
 def boundary_expand(state: DataFrame, trials: DataFrame, space: Space, salt: str = "expand") -> DataFrame:
     """One parameter moved beyond the range tried so far; parameters tried up to both bounds are out."""
     n = len(space)
-    state = state.join(tl.param_ranges(trials, n), tl.STUDY)
+    if "low" not in state.columns:
+        state = state.join(tl.param_ranges(trials, n), tl.STUDY)
     full = F.zip_with(
         F.arrays_zip("low", "high"),
         F.arrays_zip(space.array("low").alias("a"), space.array("high").alias("b")),
@@ -185,18 +191,30 @@ def gap_midpoint(state: DataFrame, trials: DataFrame, space: Space, salt: str =
     No proposal where the history is even and reaches both bounds.  Only the chosen columns of the log are scanned.
     """
     chosen = bind(state, _i=pick_param(raised(F.col("importances")), uniform(KEY, f"{salt}/idx"), len(space)))
+    if "gaps" in state.columns:
+        kept = [c for c in chosen.columns if c not in ("low", "high", "gaps")]
+        both = chosen.select(*kept, F.get("gaps", F.col("_i")).alias("_g"))
+        low, high, ends = F.col("_g.low"), F.col("_g.high"), (F.col("_g.lower"), F.col("_g.upper"))
+        return _gap_filled(both, space, F.col("_g.balanced"), low, high, ends)
     wanted = chosen.select(*tl.STUDY, "_i").distinct()
     history = trials.join(wanted, tl.STUDY).select(*tl.STUDY, "_i", "trial_id", F.element_at("params", F.col("_i") + 1).alias("v"))
     gaps = tl.largest_gap(history, [*tl.STUDY, "_i"], "v", "trial_id").drop("n")
     both = chosen.join(gaps, [*tl.STUDY, "_i"])
+    return _gap_filled(both, space, F.col("balanced"), F.col("low"), F.col("high"), (F.col("lower.v"), F.col("upper.v")))
+
+
+def _gap_filled(both: DataFrame, space: Space, balanced: Column, low: Column, high: Column, ends: tuple[Column, Column]) -> DataFrame:
     idx = F.col("_i")
-    done = F.col("balanced") & (F.col("low") <= spec_at(space, idx, "low")) & (F.col("high") >= spec_at(space, idx, "high"))
-    middle = (F.col("lower.v") + F.col("upper.v")) / 2.0
+    done = balanced & (low <= spec_at(space, idx, "low")) & (high >= spec_at(space, idx, "high"))
+    middle = (ends[0] + ends[1]) / 2.0
     proposed = F.when(~done, with_param(F.col("current.params"), idx, middle))
     return finish(both, proposed, space, "gap")
 
 
 def _ignited(state: DataFrame, trials: DataFrame) -> DataFrame:
+    if "pair" in state.columns:
+        both = state.select("*", F.col("pair.first").alias("_p"), F.col("pair.second").alias("_q"))
+        return bind(both, _mid=arrays.midpoint(F.col("_p.params"), F.col("_q.params")))
     pairs = tl.farthest_pairs(trials).select(*tl.STUDY, F.col("lower.payload").alias("_p"), F.col("upper.payload").alias("_q"))
     return bind(state.join(pairs, tl.STUDY), _mid=arrays.midpoint(F.col("_p.params"), F.col("_q.params")))
 
@@ -289,8 +307,13 @@ def strategy_table(studies: DataFrame, reward: DataFrame, names: Sequence[str] =
 def pick_strategy(
     table: DataFrame, slots: int, names: Sequence[str] = STRATEGIES, dead: Sequence[str] = (), salt: str = "strategy"
 ) -> DataFrame:
-    """(study_id, slot, strategy): a roulette over jittered rewards above the smallest one; `dead` ones never."""
+    """(study_id, slot, strategy): a roulette over jittered rewards above the smallest one; `dead` ones never.
+
+    With a column `alive` (1 or 0 per strategy) a study never draws those that have nothing left to propose in it.
+    """
     alive = F.array(*[F.lit(0.0 if n in dead else 1.0) for n in names])
+    if "alive" in table.columns:
+        alive = F.zip_with("alive", alive, lambda a, b: a * b)
     low = F.array_min("rewards")
     df = bind(table, _floor=low - F.lit(1e-6) * F.abs(low)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
     floor = F.col("_floor")

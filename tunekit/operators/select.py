@@ -109,7 +109,8 @@ def backward_beam(
         fits = fit_all(train, jobs, parallelism)
         if not fits:
             raise RuntimeError(jobs[0].error)
-        found = validate.auc(stacked_scores(data, fits).filter(F.col("split") == "B"), ["trial_id"]).collect()
+        held = stacked_scores(data, fits).filter(F.col("split") == "B")
+        found = validate.auc(held, ["trial_id"], weight="weight" if "weight" in data.columns else None).collect()
         scored.update({sets[r["trial_id"]]: r["auc"] for r in found})
 
     beams = [tuple(range(len(names)))]

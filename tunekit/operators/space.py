@@ -136,8 +136,15 @@ def _gated(op: str, name: str, start, low, high, pace, kind=DOUBLE) -> Param:
     return Param(f"{op}.{name}", start, low, high, pace, kind, needs=(f"{op}.on", 1.0))
 
 
+#: Parameters of registered operators that are not stock: name to a function of the number of features and rows.
+OWN_PARAMS: dict[str, Callable[[int, float], Sequence[Param]]] = {}
+
+
 def op_params(op: str, n_features: int = 1, n_rows: float = 1e5) -> tuple[Param, ...]:
     """Parameters of an operator by its chain name; bounds that depend on the data take its sizes."""
+    if op in OWN_PARAMS:
+        return tuple(OWN_PARAMS[op](n_features, n_rows))
+    # Fixed values from here on: start, bounds and pace of the stock parameters.
     if op in ("minmax", "standardize"):
         return (switch(op),)
     if op == "fill":
@@ -179,7 +186,7 @@ def op_params(op: str, n_features: int = 1, n_rows: float = 1e5) -> tuple[Param,
             Param("gbt.step", 0.1, 1e-4, 1.0, 1e-4),
             Param("gbt.sample", 1.0, 0.5, 1.0, 0.02),
         )
-    return ()  # split, assemble, greedy and the validations have none
+    return ()  # steps, greedy and the validations have none
 
 
 def chain_space(ops: Sequence[str], n_features: int = 1, n_rows: float = 1e5) -> Space:

@@ -38,8 +38,11 @@ def k_fold(
 
 
 def class_counts(df: DataFrame, label: str = "label") -> dict[float, int]:
-    """Rows per class (the label is binary: two rows come back)."""
-    return {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    """Rows per class; raises if the label has more than two values, of which three at most come back."""
+    found = df.groupBy(label).count().limit(3).collect()
+    if len(found) > 2:
+        raise ValueError(f"{label!r} has more than two values")
+    return {r[label]: r["count"] for r in found}
 
 
 def downsample(
@@ -58,7 +61,11 @@ def downsample(
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Add `weight` = rows / (classes * rows of the class): every class weighs the same in a fit."""
-    counts = class_counts(df, label)
+    return with_class_weights(df, class_counts(df, label), label)
+
+
+def with_class_weights(df: DataFrame, counts: dict[float, int], label: str = "label") -> DataFrame:
+    """Add `weight` from the rows per class of another table, such as the training side."""
     whole = sum(counts.values())
     weight = F.lit(None).cast("double")
     for value, n in counts.items():

@@ -1,8 +1,8 @@
 """Surrogate models: predict a trial's objective from its parameters, per study, from the trial log.
 
 The linear surrogate needs only means and covariances, so one aggregation serves all studies however large the log;
-what reaches Python is one d x d matrix per study.  The boosted surrogate is one model over all given studies with
-the study's mean objective as an extra input, which is constant, hence unused, when there is a single study.
+what reaches Python is one d x d matrix per study.  The boosted surrogate is one model per study as well, all grown
+together level by level (`operators.boost`).
 """
 
 from __future__ import annotations
@@ -12,19 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.functions import arrays
+from tunekit.operators.boost import DEPTH, ROUNDS, boosted_prediction, boosted_surrogates
 from tunekit.operators.trials import STUDY
 from tunekit.sources.session import through_table
 
 LAMBDA, ELASTIC = 0.1, 0.5
 SWEEPS, SETTLED = 2000, 1e-12
-BOOST_ROUNDS = 10
 
 
 def moments(trials: DataFrame, n_params: int) -> DataFrame:
@@ -150,64 +147,52 @@ def blended(blend: str, learners: Sequence[str]) -> Column:
     return sum(terms[1:], terms[0])
 
 
+LEARNERS = ["_linear", "_boost"]
+
+
 @dataclass
 class Surrogate:
     """Blend of the linear and the boosted surrogate; `state` has one row per study."""
 
-    state: DataFrame  # study_id, coefs, intercept, importances, weights, blend, mean_y
-    booster: GBTRegressionModel | None
+    state: DataFrame  # study_id, coefs, intercept, importances, weights, blend and, unless left out, trees
+    depth: int = DEPTH
+
+    @property
+    def boosted(self) -> bool:
+        return "trees" in self.state.columns
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add `prediction` to a table with (study_id, params); unknown studies drop out."""
-        both = df.join(self.state, STUDY)
-        linear = both.withColumn("_linear", linear_prediction())
-        if self.booster is None:
-            scored, out = linear, F.col("_linear")
-        else:
-            scored = self.booster.transform(boost_inputs(linear))
-            out = blended("blend", ["_linear", "_boost"])
-        return scored.select(*[F.col(c) for c in df.columns], out.alias("prediction"))
+        scored = df.join(self.state, STUDY).withColumn("_linear", linear_prediction())
+        if not self.boosted:
+            return scored.select(*[F.col(c) for c in df.columns], F.col("_linear").alias("prediction"))
+        scored = scored.withColumn("_boost", boosted_prediction(F.col("trees"), F.col("params"), self.depth))
+        return scored.select(*[F.col(c) for c in df.columns], blended("blend", LEARNERS).alias("prediction"))
 
     def importances(self) -> DataFrame:
         """(study_id, importances, weights) as `propose.states` takes it."""
         return self.state.select(*STUDY, "importances", "weights")
 
 
-def boost_inputs(df: DataFrame) -> DataFrame:
-    """Add the boosted surrogate's input vector: the parameters and the study's mean objective."""
-    whole = F.concat(F.col("params"), F.array(F.col("mean_y")))
-    return df.withColumn("features", array_to_vector(whole))
-
-
-def fit_surrogate(
-    trials: DataFrame, n_params: int, boost: bool = True, rounds: int = BOOST_ROUNDS, seed: int = 7, depth: int = 5
-) -> Surrogate:
-    """Fit both learners on a log of (study_id, params, objective) and weigh them per study.
+def fit_surrogate(trials: DataFrame, n_params: int, boost: bool = True, rounds: int = ROUNDS, depth: int = DEPTH) -> Surrogate:
+    """Fit both learners on a log of (study_id, params, objective) and weigh them per study by their errors on it.
 
-    The boosted learner is left out for logs of fewer than two trials or with `boost=False`.
+    Importances are those of both learners, weighed like their predictions; `boost=False` leaves the boosted one out.
     """
-    means = trials.groupBy(*STUDY).agg(F.avg("objective").alias("mean_y"))
-    # written once: one row per study, read by the fit, by the weights and by every later prediction
-    state = through_table(linear_surrogate(trials, n_params).join(means, STUDY), "surrogate")
-    if not boost or len(trials.take(2)) < 2:
-        state = state.withColumn("weights", F.col("coefs")).withColumn("blend", arrays.lit_array([1.0]))
-        return Surrogate(state, None)
-    both = boost_inputs(trials.select(*STUDY, "params", "objective").join(state, STUDY)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = GBTRegressor(
-            maxIter=rounds, maxDepth=depth, seed=seed, lossType="squared", featuresCol="features", labelCol="objective", predictionCol="_boost"
-        ).fit(both.select("features", "objective"))
-        scored = model.transform(both.withColumn("_linear", linear_prediction()))
-        blend = through_table(blend_weights(scored, ["_linear", "_boost"]), "blend")
-    finally:
-        both.unpersist()
-    tree = [float(v) for v in model.featureImportances.toArray()][:n_params]
-    whole = sum(tree)
-    tree = [v / whole if whole > 0 else 1.0 / n_params for v in tree]
+    linear = linear_surrogate(trials, n_params)
+    if not boost:
+        state = linear.withColumn("weights", F.col("coefs")).withColumn("blend", arrays.lit_array([1.0]))
+        return Surrogate(through_table(state, "surrogate"), depth)
+    # written once: one row per study, read by the weights and by every later prediction
+    state = through_table(linear.join(boosted_surrogates(trials, n_params, rounds, depth), STUDY), "surrogate")
+    scored = trials.select(*STUDY, "params", "objective").join(state, STUDY).withColumn("_linear", linear_prediction())
+    scored = scored.withColumn("_boost", boosted_prediction(F.col("trees"), F.col("params"), depth))
+    blend = blend_weights(scored, LEARNERS)
     a, b = F.element_at("blend", 1), F.element_at("blend", 2)
     state = (
         state.join(blend, STUDY)
-        .withColumn("importances", F.zip_with("importances", arrays.lit_array(tree), lambda x, t: a * x + b * t))
+        .withColumn("importances", F.zip_with("importances", "tree_importances", lambda x, t: a * x + b * t))
         .withColumn("weights", F.transform("coefs", lambda c: a * c))  # trees have no slopes
+        .drop("tree_importances")
     )
-    return Surrogate(state, model)
+    return Surrogate(through_table(state, "surrogate"), depth)

@@ -8,20 +8,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.feature import SQLTransformer, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunekit.operators import validate
+from tunekit.operators import registry, validate
 
 FINAL = -1  # fold number of the model fitted on all training rows
 FOLDS = 5
+POSITIVE = "positive_score"  # what a saved boosted chain adds: the positive class by the margin rule
 
 # Feature-subset strategies of the forest by code; code 5 takes a share of the features.
 SUBSETS = ["auto", "all", "onethird", "sqrt", "log2"]
@@ -119,7 +122,7 @@ def reason(error: Exception) -> str:
 
 
 def fit_all(train: DataFrame, jobs: Sequence[Job], parallelism: int = 4) -> list[Fit]:
-    """Fit all jobs on one prepared (cached) training table, at most `parallelism` at once.
+    """Fit all jobs on one prepared (cached) training table, at most `parallelism` at once; a column `weight` weighs its rows.
 
     A job that fails keeps its message in `error` and gives no fit; the others go on.
     """
@@ -128,6 +131,8 @@ def fit_all(train: DataFrame, jobs: Sequence[Job], parallelism: int = 4) -> list
         try:
             rows = _rows_for(train, job.fold)
             estimator = job.estimator.copy()
+            if "weight" in train.columns:
+                estimator.setWeightCol("weight")
             if job.indices is not None:
                 rows = sliced(rows, job.indices, "_picked")
                 estimator.setFeaturesCol("_picked")
@@ -192,7 +197,7 @@ def positive_score(fit: Fit, output: Column) -> Column:
 
 
 def stacked_scores(df: DataFrame, fits: Sequence[Fit]) -> DataFrame:
-    """(trial_id, fold, split, score, label): every row once per model that trained or is tested on it.
+    """(trial_id, fold, split, score, label): every row once per model that trained or is tested on it, with its `weight` if it has one.
 
     `df` holds features, label, fold and split ('A' training, 'B' test).  A fold model is trained on the other
     folds of 'A' and tested on its own; the final model is trained on 'A' and tested on 'B'.
@@ -209,14 +214,29 @@ def stacked_scores(df: DataFrame, fits: Sequence[Fit]) -> DataFrame:
             positive_score(f, F.col(f"_o{i}")).alias("score"),
         )
         cells.append(cell if f.fold == FINAL else F.when(train, cell))
-    rows = scored.select("label", F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s"))
-    return rows.select("s.trial_id", "s.fold", "s.split", "s.score", "label")
+    own = ["label", *(["weight"] if "weight" in df.columns else [])]
+    rows = scored.select(*own, F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s"))
+    return rows.select("s.trial_id", "s.fold", "s.split", "s.score", *own)
 
 
-def validate_fits(df: DataFrame, fits: Sequence[Fit]) -> DataFrame:
-    """(trial_id, fold, train_value, test_value): AUC pairs of all fits from one grouped job."""
-    found = validate.auc(stacked_scores(df, fits), ["trial_id", "fold", "split"])
-    return validate.train_test_pairs(found, ["trial_id", "fold"])
+def validate_fits(df: DataFrame, fits: Sequence[Fit], metrics: Sequence[str] | None = None) -> DataFrame:
+    """(trial_id, fold, train_value, test_value): AUC pairs of all fits from one grouped job.
+
+    With `metrics` (trial_id, fold, metric, train_value, test_value): those that `validate.measures` knows come from one pass, registered ones
+    from their own.  Rows count with their `weight` if `df` has one.
+    """
+    scores = stacked_scores(df, fits)
+    keys, weight = ["trial_id", "fold", "split"], "weight" if "weight" in df.columns else None
+    if metrics is None:
+        return validate.train_test_pairs(validate.auc(scores, keys, weight=weight), ["trial_id", "fold"])
+    stock = [m for m in metrics if not registry.known(m) or registry.lookup(m).build is None]
+    parts = [validate.measures(scores, keys, stock, weight=weight)] if stock else []
+    for m in metrics:
+        if m not in stock:
+            own = registry.lookup(m).build(scores, keys, weight)
+            parts.append(own.select(*keys, F.lit(m).alias("metric"), F.col("value").cast("double").alias("value")))
+    found = reduce(DataFrame.unionByName, parts)
+    return validate.train_test_pairs(found, ["trial_id", "fold", "metric"], "value")
 
 
 def cross_validate(
@@ -233,28 +253,55 @@ def cross_validate(
     return validate_fits(df, fits), next(f for f in fits if f.fold == FINAL)
 
 
-def trial_values(pairs: DataFrame, preset: str = "generalize") -> DataFrame:
-    """(trial_id, cv, final, objective, train_value, test_value) from `validate_fits` rows."""
-    fold_w, final_w, _ = validate.OBJECTIVES[preset]
-    x, y = F.col("train_value"), F.col("test_value")
+def trial_values(pairs: DataFrame, preset: str | validate.Objective = "generalize") -> DataFrame:
+    """(trial_id, cv, final, objective, train_value, test_value) from `validate_fits` rows.
+
+    The blended value of every fold and of the final model are those of `validate.blend_metrics`; `cv` is the mean over the folds.  The last
+    two columns are the final model's pair of the objective's first metric.  Rows without a `metric` are AUC pairs.
+    """
+    goal = validate.as_objective(preset)
+    if "metric" not in pairs.columns:
+        pairs = pairs.withColumn("metric", F.lit("auc"))
     last = F.col("fold") == FINAL
-    values = pairs.groupBy("trial_id").agg(
-        F.avg(F.when(~last, validate.blend(x, y, fold_w))).alias("cv"),
-        F.max(F.when(last, validate.blend(x, y, final_w))).alias("final"),
-        F.max(F.when(last, x)).alias("train_value"),
-        F.max(F.when(last, y)).alias("test_value"),
+    folds = validate.blend_metrics(pairs.filter(~last), goal.fold, ["trial_id", "fold"])
+    ends = pairs.filter(last)
+    first = F.col("metric") == goal.first
+    final = validate.blend_metrics(ends, goal.final, ["trial_id"]).select("trial_id", F.col("blended").alias("final"))
+    shown = ends.groupBy("trial_id").agg(
+        F.max(F.when(first, F.col("train_value"))).alias("train_value"), F.max(F.when(first, F.col("test_value"))).alias("test_value")
     )
-    objective = validate.objective(F.col("cv"), F.col("final"), preset)
+    values = validate.fold_mean(folds).join(final.join(shown, "trial_id"), "trial_id", "full_outer")
+    objective = validate.blend(F.col("cv"), F.col("final"), goal.pair)
     return values.select("trial_id", "cv", "final", objective.alias("objective"), "train_value", "test_value")
 
 
-def importances(fit: Fit, names: Sequence[str]) -> list[tuple[str, float]]:
-    """(feature, importance): tree importances, or absolute coefficients scaled to sum 1."""
+def margin_stage(low: float, high: float) -> SQLTransformer:
+    """A stage behind boosted trees that replaces their probability by the margin rule with the stored range of training margins."""
+    # a vector's text holds its numbers so that they read back as they were; SQL has no other way into it
+    margin = "CAST(trim(TRAILING ']' FROM split(CAST(rawPrediction AS STRING), ',')[1]) AS DOUBLE)"
+    top, bottom = (f"CAST('{float(v)!r}' AS DOUBLE)" for v in (high, low))
+    up = "0.5D" if high <= 0 else f"CASE WHEN m > {top} THEN 1.0D ELSE 0.5D * m / {top} + 0.5D END"
+    down = "0.5D" if low >= 0 else f"CASE WHEN m < {bottom} THEN 0.0D ELSE 0.5D * ({bottom} - m) / {bottom} END"
+    rule = f"element_at(transform(array({margin}), m -> CASE WHEN m >= 0 THEN {up} ELSE {down} END), 1)"
+    return SQLTransformer(statement=f"SELECT *, {rule} AS {POSITIVE} FROM __THIS__")
+
+
+def importances(fit: Fit, names: Sequence[str], rows: DataFrame | None = None) -> list[tuple[str, float]]:
+    """(feature, importance): tree importances, or absolute coefficients scaled to sum 1.
+
+    With `rows`, the table that the model was fitted on, a coefficient counts times its column's deviation, so columns of
+    different units can be compared.
+    """
     kept = [names[i] for i in fit.indices] if fit.indices is not None else list(names)
     if hasattr(fit.model, "featureImportances"):
         values = [float(v) for v in fit.model.featureImportances.toArray()]
     else:
         values = [abs(float(v)) for v in fit.model.coefficients.toArray()]
+        if rows is not None:
+            spread = sliced(rows, fit.indices, "_picked").select(
+                Summarizer.metrics("std").summary(F.col("features" if fit.indices is None else "_picked")).alias("s")
+            )
+            values = [v * float(d) for v, d in zip(values, spread.select("s.std").first()[0].toArray())]
         whole = sum(values)
         values = [v / whole if whole > 0 else 0.0 for v in values]
     return list(zip(kept, values))

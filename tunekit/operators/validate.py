@@ -9,6 +9,7 @@ up to 1024 x 1024 parts, and nothing is joined back to the rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,73 +18,130 @@ from tunekit.functions.scan import digits
 
 
 def score_counts(
-    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label"
+    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None
 ) -> DataFrame:
-    """(keys..., score, pos, neg, d1, d2) with one row per distinct score."""
+    """(keys..., score, pos, neg, d1, d2) with one row per distinct score; with `weight` sums of that column instead of counts."""
     s = F.col(score).cast("double")
-    y = F.col(label).cast("double")
+    hit = F.col(label).cast("double") > 0.5
     d1, d2 = digits(F.col("score"))
+    one = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     counted = (
-        scores.select(*keys, (s + F.lit(0.0)).alias("score"), y.alias("_y"))
+        scores.select(*keys, (s + F.lit(0.0)).alias("score"), hit.alias("_y"), one.alias("_w"))
         .groupBy(*keys, "score")
-        .agg(F.sum(F.when(F.col("_y") > 0.5, 1.0).otherwise(0.0)).alias("pos"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum(F.when(F.col("_y"), F.col("_w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("_y"), 0.0).otherwise(F.col("_w"))).alias("neg"))
     )
-    return counted.select(*keys, "score", "pos", (F.col("_n") - F.col("pos")).alias("neg"), d1.alias("d1"), d2.alias("d2"))
+    return counted.select(*keys, "score", "pos", "neg", d1.alias("d1"), d2.alias("d2"))
 
 
 def _before(part: Sequence[str], order: str) -> Window:
     return Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _nested(counts: DataFrame, keys: Sequence[str], pairs: bool, moves: bool, thresholds: Sequence[float] = ()) -> DataFrame:
+    """One row per group from `score_counts`, by three nested aggregations: pos and neg; `pairs` in the right order; the largest and
+    smallest (`top`, `bottom`) running difference of the two distributions; per threshold the positives and negatives at or above it."""
+    keys = list(keys)
+    sums = ["pos", "neg", *[f"_tp{i}" for i in range(len(thresholds))], *[f"_fp{i}" for i in range(len(thresholds))]]
+    level = counts
+    for i, t in enumerate(thresholds):
+        hit = F.col("score") >= F.lit(float(t))
+        level = level.withColumn(f"_tp{i}", F.when(hit, F.col("pos")).otherwise(0.0))
+        level = level.withColumn(f"_fp{i}", F.when(hit, F.col("neg")).otherwise(0.0))
+    if pairs:
+        level = level.withColumn("pairs", F.col("pos") * F.col("neg") / 2.0)
+        sums.append("pairs")
+    if moves:  # needs the class sizes up front: one row per group
+        whole = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
+        share = lambda c, w: F.coalesce(F.col(c) / F.nullif(F.col(w), F.lit(0.0)), F.lit(0.0))
+        level = level.join(whole, keys).withColumn("move", share("neg", "_q") - share("pos", "_p"))
+        level = level.withColumn("top", F.col("move")).withColumn("bottom", F.col("move"))
+        sums.append("move")
+    for part, order in ((keys + ["d1", "d2"], "score"), (keys + ["d1"], "d2"), (keys, "d1")):
+        before = _before(part, order)
+        if pairs:
+            level = level.withColumn("pairs", F.col("pairs") + F.col("pos") * F.coalesce(F.sum("neg").over(before), F.lit(0.0)))
+        if moves:
+            level = level.withColumn("_b", F.coalesce(F.sum("move").over(before), F.lit(0.0)))
+        cells = [F.sum(c).alias(c) for c in sums]
+        if moves:
+            cells += [F.max(F.col("_b") + F.col("top")).alias("top"), F.min(F.col("_b") + F.col("bottom")).alias("bottom")]
+        level = level.groupBy(*part).agg(*cells)
+    return level
+
+
+def _auc_value() -> Column:
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    return F.when(both, F.col("pairs") / (F.col("pos") * F.col("neg"))).otherwise(F.lit(0.0))
+
+
+def _ks_value() -> Column:
+    return F.greatest(F.abs("top"), F.abs("bottom"))
+
+
 def auc(
-    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label"
+    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None
 ) -> DataFrame:
     """(keys..., auc, n_pos, n_neg): exact area under the ROC curve, ties counted half.
 
     The number of (positive, negative) pairs in the right order is a sum over nested parts: pairs inside a
     part plus positives of a part times negatives of the parts below it.  A group with one class only gets 0.
+    With `weight` a pair counts the product of its weights; the counts are then the summed weights without their fractions.
     """
     keys = list(keys)
-    level = score_counts(scores, keys, score, label).withColumn("pairs", F.col("pos") * F.col("neg") / 2.0)
-    for part, order in ((keys + ["d1", "d2"], "score"), (keys + ["d1"], "d2"), (keys, "d1")):
-        below = F.coalesce(F.sum("neg").over(_before(part, order)), F.lit(0.0))
-        level = (
-            level.withColumn("pairs", F.col("pairs") + F.col("pos") * below)
-            .groupBy(*part)
-            .agg(F.sum("pairs").alias("pairs"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        )
-    both = (F.col("pos") > 0) & (F.col("neg") > 0)
-    value = F.when(both, F.col("pairs") / (F.col("pos") * F.col("neg"))).otherwise(F.lit(0.0))
-    return level.select(*keys, value.alias("auc"), F.col("pos").cast("long").alias("n_pos"), F.col("neg").cast("long").alias("n_neg"))
+    level = _nested(score_counts(scores, keys, score, label, weight), keys, pairs=True, moves=False)
+    return level.select(*keys, _auc_value().alias("auc"), F.col("pos").cast("long").alias("n_pos"), F.col("neg").cast("long").alias("n_neg"))
 
 
 def ks(
-    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label"
+    scores: DataFrame, keys: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None
 ) -> DataFrame:
-    """(keys..., ks): largest distance between the score distributions of the two classes.
+    """(keys..., ks): largest distance between the score distributions of the two classes, with `weight` of the weighted ones.
 
     Needs the class sizes up front (one row per group); then a maximum of running sums over nested parts.
     """
     keys = list(keys)
-    counts = score_counts(scores, keys, score, label)
-    whole = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
-    step = F.coalesce(F.col("neg") / F.nullif(F.col("_q"), F.lit(0.0)), F.lit(0.0)) - F.coalesce(
-        F.col("pos") / F.nullif(F.col("_p"), F.lit(0.0)), F.lit(0.0)
-    )
-    level = counts.join(whole, keys).select(*keys, "d1", "d2", "score", step.alias("move"))
-    level = level.withColumn("top", F.col("move")).withColumn("bottom", F.col("move"))
-    for part, order in ((keys + ["d1", "d2"], "score"), (keys + ["d1"], "d2"), (keys, "d1")):
-        before = F.coalesce(F.sum("move").over(_before(part, order)), F.lit(0.0))
-        level = (
-            level.withColumn("_b", before)
-            .groupBy(*part)
-            .agg(
-                F.max(F.col("_b") + F.col("top")).alias("top"),
-                F.min(F.col("_b") + F.col("bottom")).alias("bottom"),
-                F.sum("move").alias("move"),
-            )
-        )
-    return level.select(*keys, F.greatest(F.abs("top"), F.abs("bottom")).alias("ks"))
+    level = _nested(score_counts(scores, keys, score, label, weight), keys, pairs=False, moves=True)
+    return level.select(*keys, _ks_value().alias("ks"))
+
+
+RATES = ("sensitivity", "specificity", "precision", "f1")
+
+
+def measures(
+    scores: DataFrame, keys: Sequence[str], metrics: Sequence[str], score: str = "score", label: str = "label", weight: str | None = None
+) -> DataFrame:
+    """(keys..., metric, value) for several metrics from one pass over the counted scores.
+
+    Metrics are `auc`, `ks` and, at a threshold, `sensitivity@0.5`, `specificity@0.5`, `precision@0.5` and `f1@0.5`.
+    """
+    keys = list(keys)
+    rates = {m: (m.partition("@")[0], float(m.partition("@")[2])) for m in metrics if "@" in m}
+    unknown = [m for m in metrics if m not in ("auc", "ks") and (m not in rates or rates[m][0] not in RATES)]
+    if unknown or not metrics:
+        raise ValueError(f"unknown metrics {unknown}" if unknown else "no metrics")
+    levels = sorted({t for _, t in rates.values()})
+    counts = score_counts(scores, keys, score, label, weight)
+    row = _nested(counts, keys, "auc" in metrics, "ks" in metrics, levels)
+    cells = []
+    for m in metrics:
+        if m in rates:
+            kind, t = rates[m]
+            i = levels.index(t)
+            value = rate(kind, F.col(f"_tp{i}"), F.col(f"_fp{i}"), F.col("pos"), F.col("neg"))
+        else:
+            value = _auc_value() if m == "auc" else _ks_value()
+        cells.append(F.struct(F.lit(m).alias("metric"), value.alias("value")))
+    return row.select(*keys, F.explode(F.array(*cells)).alias("m")).select(*keys, "m.metric", "m.value")
+
+
+def rate(kind: str, tp: Column, fp: Column, p: Column, q: Column) -> Column:
+    """A rate of a threshold from its hits among p positives and q negatives; 0 where its denominator is."""
+
+    def share(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
+
+    terms = {"sensitivity": (tp, p), "specificity": (q - fp, q), "precision": (tp, tp + fp), "f1": (2.0 * tp, p + tp + fp)}
+    return share(*terms[kind])
 
 
 THRESHOLDS = [i / 10 for i in range(1, 10)]
@@ -113,18 +171,8 @@ def threshold_metrics(
     ]
     long = flat.select(*keys, "_p", "_q", F.explode(F.array(*rows)).alias("r")).select(*keys, "_p", "_q", "r.*")
 
-    def share(a: Column, b: Column) -> Column:
-        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
-
-    tp, fp, p, q = (F.col(c) for c in ("tp", "fp", "_p", "_q"))
-    return long.select(
-        *keys,
-        "threshold",
-        share(tp, p).alias("sensitivity"),
-        share(q - fp, q).alias("specificity"),
-        share(tp, tp + fp).alias("precision"),
-        share(2.0 * tp, p + tp + fp).alias("f1"),
-    )
+    cells = [F.col(c) for c in ("tp", "fp", "_p", "_q")]
+    return long.select(*keys, "threshold", *[rate(kind, *cells).alias(kind) for kind in RATES])
 
 
 def blend(x: Column, y: Column, w: Sequence[float] | Sequence[Column]) -> Column:
@@ -157,6 +205,46 @@ OBJECTIVES: dict[str, tuple[tuple[float, ...], tuple[float, ...], tuple[float, .
 }
 
 
+@dataclass(frozen=True)
+class Objective:
+    """What a trial is worth, from any number of metrics.
+
+    `fold` and `final` name a five-tuple per metric for its (train, test) pair (see `blend`), in every fold and for the final model; the terms
+    of all metrics are added up.  `pair` blends the mean over the folds with the final value.  Metrics are chain metrics or names that
+    `measures` knows.
+    """
+
+    fold: dict[str, Sequence[float]]
+    final: dict[str, Sequence[float]]
+    pair: Sequence[float] = (0.0, 0.0, 0.0, 0.5, 0.5)
+
+    def __post_init__(self) -> None:
+        tuples = [*self.fold.values(), *self.final.values(), self.pair]
+        if not self.fold or not self.final or any(len(w) != 5 for w in tuples):
+            raise ValueError("an objective needs five weights per metric, for the folds and for the final model")
+
+    @property
+    def metrics(self) -> list[str]:
+        return list(dict.fromkeys([*self.final, *self.fold]))
+
+    @property
+    def first(self) -> str:
+        return next(iter(self.final))
+
+
+def as_objective(preset: str | Objective, metric: str = "auc") -> Objective:
+    """A preset by name, for one metric."""
+    if isinstance(preset, Objective):
+        return preset
+    fold, final, pair = OBJECTIVES[preset]
+    return Objective({metric: fold}, {metric: final}, pair)
+
+
+def fold_mean(folds: DataFrame, value: str = "blended") -> DataFrame:
+    """(trial_id, cv, n_folds): the mean of the folds' values."""
+    return folds.groupBy("trial_id").agg(F.avg(value).alias("cv"), F.count(value).alias("n_folds"))
+
+
 def objective(cv: Column, final: Column, preset: str = "generalize") -> Column:
     """One number for a trial from its cross-validated and its final blended value."""
     return blend(cv, final, OBJECTIVES[preset][2])

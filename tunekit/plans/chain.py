@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
@@ -13,20 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.functions.draws import uniform, uniform_fast
-from tunekit.operators import select, split, train
-from tunekit.operators.columns import assemble, feature_names
+from tunekit.operators import registry, select, split, train
+from tunekit.operators.columns import assemble
 from tunekit.operators.evaluate import correlations
-from tunekit.operators.prep import Clip, Fill, MinMax, Power, Prep, QuantileBuckets, RadialBasis, Standardize
+from tunekit.operators.prep import Prep
 from tunekit.operators.prep.base import Fitted, quoted
+from tunekit.operators.registry import METRIC, SELECTION, TRAINER, VECTOR, WIDE, place_of
 from tunekit.operators.space import Space, chain_space
+from tunekit.plans import stock  # noqa: F401 - registers the stock operators
 from tunekit.sources.readers import spread
 
 DEFAULT_CHAIN = ("split", "assemble", "minmax", "lasso", "lr", "auc")
-WIDE = ("fill", "clip", "power", "buckets")
-VECTOR = ("minmax", "standardize", "rbf")
-SELECTION = ("lasso", "greedy")
-MOST_CENTRES = 1e5  # bound on RBF centres of a chain that has not been bound to data
-KNOWN = ("split", "balance", "evaluate", "assemble", *WIDE, *VECTOR, *SELECTION, *train.TRAINERS, "auc")
 
 
 @dataclass
@@ -43,13 +39,36 @@ class Prepared:
         self.table.unpersist()
 
 
+@dataclass
+class Partial:
+    """A table on its way through the transforms of a chain: what the operators before `at` have made of it."""
+
+    table: DataFrame
+    names: list[str]
+    wide_names: list[str]
+    fitted: list[tuple[str, Fitted]] = field(default_factory=list)
+    evaluation: list[tuple[str, float]] = field(default_factory=list)
+    cached: bool = False
+
+    def keep(self) -> None:
+        """Cache the table (spilling to disk), as several continuations will read it."""
+        self.table, self.cached = self.table.persist(StorageLevel.MEMORY_AND_DISK), True
+
+    def release(self) -> None:
+        if self.cached:
+            self.table.unpersist()
+            self.cached = False
+
+
 @dataclass
 class Chain:
     """Operators by name, in order, with the data-dependent bounds of their parameters.
 
-    `n_features` bounds the codes of `power`, `n_rows` the centres of `rbf`; `bounded` takes them from a table, as studies do; `memory` is the gain that searches of `greedy` remember.
-    Transforms of wide tables come before `assemble`, transforms of vectors and the selection after it, the
-    trainer last.  `split` must come first: everything fitted looks at split 'A' only.
+    Names are those of `operators.registry`, stock or registered by the user.  `n_features` bounds the codes of `power`, `n_rows` the
+    centres of `rbf`; `bounded` takes them from a table, as studies do, and the space of a chain that needs one of them must be bounded
+    first.  `memory` is the gain that searches of `greedy` remember.  Transforms of wide tables come before `assemble`,
+    transforms of vectors and the selection after it, then the trainer and its metrics.  `split` must come first: everything fitted
+    looks at split 'A' only.
     """
 
     ops: Sequence[str] = DEFAULT_CHAIN
@@ -64,34 +83,45 @@ class Chain:
     memory: float = select.GAIN
 
     def __post_init__(self) -> None:
-        unknown = [o for o in self.ops if o not in KNOWN]
+        unknown = [o for o in self.ops if not registry.known(o)]
         if unknown:
             raise ValueError(f"unknown operators {unknown}")
         ops = list(self.ops)
+        places = [place_of(o) for o in ops]
         if not ops or ops[0] != "split":
             raise ValueError("a chain starts with 'split'")
         if "assemble" not in ops:
             raise ValueError("a chain needs 'assemble'")
         at = ops.index("assemble")
-        late = [o for o in ops[at:] if o in WIDE]
-        early = [o for o in ops[:at] if o in VECTOR or o in SELECTION]
+        late = [o for o, p in zip(ops[at:], places[at:]) if p == WIDE]
+        early = [o for o, p in zip(ops[:at], places[:at]) if p in (VECTOR, SELECTION)]
         if late or early:
             raise ValueError(f"on the wrong side of 'assemble': {late + early}")
-        if sum(o in train.TRAINERS for o in ops) != 1:
+        if places.count(TRAINER) != 1:
             raise ValueError("a chain needs exactly one trainer")
-        if "auc" not in ops[ops.index(self.trainer) :]:
+        if not self.metrics:
             raise ValueError("a chain needs a validation after its trainer")
-        first = min((i for i, o in enumerate(ops) if o in SELECTION), default=len(ops))
-        if any(i > first for i, o in enumerate(ops) if o in VECTOR):
+        if METRIC in places[: places.index(TRAINER)]:
+            raise ValueError("validations come after the trainer")
+        first = min((i for i, p in enumerate(places) if p == SELECTION), default=len(ops))
+        if VECTOR in places[first:]:
             raise ValueError("transforms of vectors come before the selection")
 
     @property
     def trainer(self) -> str:
-        return next(o for o in self.ops if o in train.TRAINERS)
+        return next(o for o in self.ops if place_of(o) == TRAINER)
+
+    @property
+    def metrics(self) -> list[str]:
+        """The validations behind the trainer, in their order."""
+        after = list(self.ops)[list(self.ops).index(self.trainer) :]
+        return [o for o in after if place_of(o) == METRIC]
 
     @property
     def space(self) -> Space:
-        return chain_space(self.ops, self.n_features or 1, self.n_rows or MOST_CENTRES)
+        if ("power" in self.ops and self.n_features is None) or ("rbf" in self.ops and self.n_rows is None):
+            raise ValueError("bounds depend on the data: use `bounded`, or give n_features and n_rows")
+        return chain_space(self.ops, self.n_features or 1, self.n_rows or 1.0)
 
     def bounded(self, df: DataFrame, features: Sequence[str]) -> Chain:
         """The chain with the bounds that are not given taken from a training table."""
@@ -106,26 +136,15 @@ class Chain:
         start = sum(sizes[:at])
         return list(params[start : start + sizes[at]])
 
+    def is_transform(self, at: int) -> bool:
+        return place_of(self.ops[at]) in (WIDE, VECTOR)
+
     def prep_key(self, params: Sequence[float]) -> tuple:
         """Equal for candidates that share their prepared table."""
-        return tuple((op, tuple(self.values(params, i))) for i, op in enumerate(self.ops) if op in WIDE or op in VECTOR)
+        return tuple((op, tuple(self.values(params, i))) for i, op in enumerate(self.ops) if self.is_transform(i))
 
     def transform_for(self, at: int, params: Sequence[float]) -> Prep:
-        op, v = self.ops[at], self.values(params, at)
-        if op == "fill":
-            return Fill("median" if v[0] == 1 else "mean", self.rel_error)
-        on = v[0] >= 1
-        if op == "clip":
-            return Clip.from_index(int(v[1]), rel_error=self.rel_error, enabled=on)
-        if op == "power":
-            return Power(code=int(v[1]), enabled=on)
-        if op == "buckets":
-            return QuantileBuckets(max(int(v[1]), 2), self.rel_error, enabled=on)
-        if op == "minmax":
-            return MinMax(enabled=on)
-        if op == "standardize":
-            return Standardize(enabled=on)
-        return RadialBasis(max(int(v[1]), 2), max(int(v[2]), 1), max(v[3], 0.01), self.rbf_mode, self.seed, enabled=on)
+        return registry.lookup(self.ops[at]).build(self.values(params, at), self)
 
     def marked(self, df: DataFrame, features: Sequence[str], key: Sequence[str] | None = None) -> DataFrame:
         """(features..., label, split, fold), a projection of the input: one pass, and no shuffle unless `partitions` is set.
@@ -140,7 +159,10 @@ class Chain:
         out = out.withColumn("fold", F.floor(draw * F.lit(float(self.folds))).cast("int"))
         if "balance" in self.ops:
             out = self._balanced(out, cols, portable)
-        return out.select(*features, "label", "split", "fold")
+        if "weigh" in self.ops:
+            counts = split.class_counts(out.filter(F.col("split") == "A"))
+            out = split.with_class_weights(out, counts)
+        return out.select(*features, "label", "split", "fold", *(["weight"] if "weigh" in self.ops else []))
 
     def _balanced(self, df: DataFrame, cols: Sequence[str], portable: bool) -> DataFrame:
         """Thin the larger class of the training rows; test rows stay."""
@@ -154,60 +176,82 @@ class Chain:
             share = F.when(F.col("label") == F.lit(value), F.lit(least / n)).otherwise(share)
         return df.filter((F.col("split") != "A") | (draw < share))
 
+    def start(self, marked: DataFrame) -> Partial:
+        """The table from `marked` before any transform."""
+        names = [c for c in marked.columns if c not in (*self._extra(marked), "label")]
+        return Partial(marked, names, names)
+
+    @staticmethod
+    def _extra(df: DataFrame) -> list[str]:
+        return [c for c in ("split", "fold", "weight") if c in df.columns]
+
+    def advance(self, partial: Partial, at: int, params: Sequence[float]) -> Partial:
+        """Fit the operator at one place on split 'A' and apply it to all rows; places without preparation change nothing."""
+        op, df, names = self.ops[at], partial.table, partial.names
+        wide, fitted, evaluation = partial.wide_names, partial.fitted, partial.evaluation
+        rows = df.filter(F.col("split") == "A")
+        if self.is_transform(at):
+            prep = self.transform_for(at, params)
+            if place_of(op) == WIDE:
+                prep.features = names
+            done = prep.fit(rows)
+            df, names = done.transform(df), done.names
+            wide = names if place_of(op) == WIDE else wide
+            fitted = [*fitted, (op, done)]
+        elif op == "evaluate" and "features" not in df.columns:
+            evaluation = [(r["feature"], r["corr"]) for r in correlations(rows, names).collect()]
+        elif op == "assemble":
+            df = assemble(df, names, keep=self._extra(df))
+        return Partial(df, names, wide, fitted, evaluation)
+
+    def finish(self, partial: Partial) -> Prepared:
+        table = partial.table.select("features", "label", *self._extra(partial.table)).persist(StorageLevel.MEMORY_AND_DISK)
+        return Prepared(table, partial.names, partial.fitted, partial.wide_names, partial.evaluation)
+
     def prepare(self, marked: DataFrame, params: Sequence[float]) -> Prepared:
         """Fit the transforms on split 'A', apply them to all rows and cache the outcome (spilling to disk)."""
-        df = marked
-        extra = ("split", "fold")
-        names = [c for c in df.columns if c not in (*extra, "label")]
-        wide_names, fitted, evaluation = names, [], []
-        for at, op in enumerate(self.ops):
-            rows = df.filter(F.col("split") == "A")
-            if op in WIDE:
-                prep = self.transform_for(at, params)
-                prep.features = names
-                done = prep.fit(rows)
-                df, names = done.transform(df), done.names
-                wide_names = names
-                fitted.append((op, done))
-            elif op == "evaluate" and "features" not in df.columns:
-                evaluation = [(r["feature"], r["corr"]) for r in correlations(rows, names).collect()]
-            elif op == "assemble":
-                df = assemble(df, names, keep=extra)
-            elif op in VECTOR:
-                done = self.transform_for(at, params).fit(rows)
-                df, names = done.transform(df), done.names
-                fitted.append((op, done))
-        table = df.select("features", "label", *extra).persist(StorageLevel.MEMORY_AND_DISK)
-        return Prepared(table, names, fitted, wide_names, evaluation)
-
-    def select(self, prepared: Prepared, params: Sequence[float], parallelism: int = 4) -> list[int] | None:
-        """Indices of the selected features; None without a selection operator."""
+        partial = self.start(marked)
+        for at in range(len(self.ops)):
+            partial = self.advance(partial, at, params)
+        return self.finish(partial)
+
+    def select(
+        self, prepared: Prepared, params: Sequence[float], parallelism: int = 4, gains: list[tuple[float, int]] | None = None
+    ) -> list[int] | None:
+        """Indices of the selected features; None without a selection operator.
+
+        What searches gained is added to `gains` for the caller to remember; without that list the chain remembers it at once.
+        """
         chosen: list[int] | None = None
         rows = prepared.table.filter(F.col("split") == "A")
+        noted: list[tuple[float, int]] = []
         for at, op in enumerate(self.ops):
-            if op not in SELECTION:
+            if place_of(op) != SELECTION:
                 continue
             view = rows if chosen is None else select.slice_features(rows, [prepared.names[i] for i in chosen])
-            if op == "lasso":
-                found = select.lasso(view, self.values(params, at)[0], feature_names(view))
-            else:
-                depth = select.depth_limit(self.memory, random.Random(f"{self.seed}/{list(params)}").random())
-                found, total, done = select.backward_beam(view, depth, parallelism=parallelism)
-                self.memory = select.remembered_gain(self.memory, total, done)
+            build, values = registry.lookup(op).build, self.values(params, at)
+            found = build(view, values, self, params, parallelism, noted) if op == "greedy" else build(view, values, self)
             chosen = found.indices if chosen is None else [chosen[i] for i in found.indices]
+        if gains is not None:
+            gains += noted
+        else:
+            self.remember(noted)
         return chosen
 
+    def remember(self, gains: Sequence[tuple[float, int]]) -> None:
+        for total, done in gains:
+            self.memory = select.remembered_gain(self.memory, total, done)
+
     def estimator(self, params: Sequence[float]):
-        values = self.values(params, list(self.ops).index(self.trainer))
-        extra = {} if self.trainer == "lr" else {"seed": self.seed}
-        return train.TRAINERS[self.trainer](*values, **extra)
+        at = list(self.ops).index(self.trainer)
+        return registry.lookup(self.trainer).build(self.values(params, at), self)
 
     def pipeline(self, prepared: Prepared, fit: train.Fit) -> PipelineModel:
         """The fitted chain as stock stages on the wide input: it can be saved, loaded and applied as it is."""
-        stages = [s for op, f in prepared.fitted if op in WIDE for s in f.stages()]
+        stages = [s for op, f in prepared.fitted if place_of(op) == WIDE for s in f.stages()]
         inputs = prepared.wide_names
         for place, (op, f) in enumerate(prepared.fitted):
-            if op in VECTOR and f.enabled:
+            if place_of(op) == VECTOR and f.enabled:
                 cells = f.cells(inputs)
                 inputs = [f"{op}{place}_{i}" for i in range(len(cells))]
                 added = ", ".join(f"{e} AS {quoted(c)}" for c, e in zip(inputs, cells))
@@ -218,6 +262,8 @@ class Chain:
             stages.append(VectorSlicer(inputCol=column, outputCol="features_selected", indices=fit.indices))
             column = "features_selected"
         stages.append(fit.model.copy().setFeaturesCol(column))
+        if fit.margins is not None:
+            stages.append(train.margin_stage(*fit.margins))
         return PipelineModel(stages)
 
 

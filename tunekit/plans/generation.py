@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -15,8 +15,10 @@ from tunekit.operators import propose as pr
 from tunekit.operators import train
 from tunekit.operators import trials as tl
 from tunekit.operators.space import Space
+from tunekit.operators.state import spent, study_states
 from tunekit.operators.surrogate import Surrogate, fit_surrogate
-from tunekit.plans.chain import Chain, Prepared
+from tunekit.operators.validate import Objective, as_objective
+from tunekit.plans.chain import Chain, Partial, Prepared
 from tunekit.sources.session import through_table
 
 
@@ -41,14 +43,17 @@ def next_candidates(
     With `screened=False` the attempts that are no duplicates come back instead.
     """
     surrogate = surrogate or fit_surrogate(trials, len(space))
-    state = pr.states(trials, space, slots * attempts, surrogate.importances())
-    dead = ["crossover"] if len(space) <= 1 else []
-    table = pr.strategy_table(trials.select(*tl.STUDY).distinct(), pr.rewards(trials), names)
+    # the log is read for the states, once, and by the search for near-duplicates; proposals are projections of the states
+    base = through_table(study_states(trials, len(space)), "states")
+    state = pr.slotted(base, space, slots * attempts, surrogate.importances())
+    table = pr.strategy_table(base.select(*tl.STUDY), pr.rewards(trials), names)
+    alive = base.select(*tl.STUDY, spent(base, names, space.array("low"), space.array("high")).alias("alive"))
+    table = through_table(table.join(alive, tl.STUDY), "strategies")
     real = F.floor(F.col("slot") / attempts).cast("int")
     found, missing = [], None
     for again in range(pr.TRIES + 1):
         own = f"{salt}/again{again}" if again else salt
-        rows = state.join(pr.pick_strategy(table, slots * attempts, names, dead, f"{own}/pick"), pr.KEY)
+        rows = state.join(pr.pick_strategy(table, slots * attempts, names, salt=f"{own}/pick"), pr.KEY)
         if missing is not None:
             rows = rows.withColumn("real", real).join(missing, ["study_id", "real"], "left_semi").drop("real")
         # written once: each strategy reads only its own rows of it
@@ -86,43 +91,91 @@ class Outcome:
     names: list[str] | None = None
 
 
+def walk(
+    chain: Chain, marked: DataFrame, vectors: dict[int, list[float]], failed: Callable[[list[int], Exception], None]
+) -> Iterator[tuple[Prepared, list[int]]]:
+    """(prepared table, candidates) for all candidates, each transform fitted once for all that agree on it and on those before it.
+
+    The candidates are the leaves of a tree over the chain's transforms.  It is walked depth first; where it branches the table is cached and
+    released behind the last branch, so at most one table per branching level is held.  The caller releases what it is given.
+    Candidates behind a transform that fails are handed to `failed` with the error.
+    """
+
+    def down(partial: Partial, at: int, members: list[int]) -> Iterator[tuple[Prepared, list[int]]]:
+        while at < len(chain.ops):
+            branches: dict[tuple, list[int]] = {}
+            for t in members:
+                branches.setdefault(tuple(chain.values(vectors[t], at)) if chain.is_transform(at) else (), []).append(t)
+            if len(branches) > 1:
+                partial.keep()
+                try:
+                    for group in branches.values():
+                        try:
+                            following = chain.advance(partial, at, vectors[group[0]])
+                        except Exception as e:  # noqa: BLE001 - a failed trial must not end the study
+                            failed(group, e)
+                            continue
+                        yield from down(following, at + 1, group)
+                finally:
+                    partial.release()
+                return
+            try:
+                partial = chain.advance(partial, at, vectors[members[0]])
+            except Exception as e:  # noqa: BLE001
+                failed(members, e)
+                return
+            at += 1
+        yield chain.finish(partial), members
+
+    if vectors:
+        yield from down(chain.start(marked), 0, list(vectors))
+
+
 def run_candidates(
-    marked: DataFrame, chain: Chain, candidates: Sequence[tuple[int, Sequence[float]]], preset: str = "generalize", parallelism: int = 4
+    marked: DataFrame,
+    chain: Chain,
+    candidates: Sequence[tuple[int, Sequence[float]]],
+    preset: str | Objective = "generalize",
+    parallelism: int = 4,
 ) -> list[Outcome]:
     """Fit and validate candidates of one study.
 
-    Candidates with equal transform parameters share one cached prepared table; all their models are scored in one
-    pass and validated by one grouped job.  A candidate that fails is reported with its error.
+    Candidates that agree in their first transforms share these (`walk`); those with equal transforms share one cached prepared
+    table, all their models are scored in one pass and validated by one grouped job.  A candidate that fails is reported with its error.
+    What searches of features gained is remembered at the end, in the order of the candidates.
     """
     out = {t: Outcome(t, [float(v) for v in p]) for t, p in candidates}
-    groups: dict[tuple, list[int]] = {}
-    for t, p in candidates:
-        groups.setdefault(chain.prep_key(p), []).append(t)
-    for members in groups.values():
-        try:
-            prepared = chain.prepare(marked, out[members[0]].params)
-        except Exception as e:  # noqa: BLE001 - a failed trial must not end the study
-            for t in members:
-                out[t].error = train.reason(e)
-            continue
+    gains: dict[int, list[tuple[float, int]]] = {t: [] for t in out}
+
+    def failed(members: list[int], error: Exception) -> None:
+        for t in members:
+            out[t].error = train.reason(error)
+
+    for prepared, members in walk(chain, marked, {t: o.params for t, o in out.items()}, failed):
         try:
-            _run_group(prepared, chain, [out[t] for t in members], preset, parallelism)
+            _run_group(prepared, chain, [out[t] for t in members], preset, parallelism, gains)
         finally:
             prepared.release()
+    for t, _ in candidates:
+        chain.remember(gains[t])
     return [out[t] for t, _ in candidates]
 
 
-def _run_group(prepared: Prepared, chain: Chain, group: list[Outcome], preset: str, parallelism: int) -> None:
+def _run_group(
+    prepared: Prepared, chain: Chain, group: list[Outcome], preset: str | Objective, parallelism: int, gains: dict[int, list[tuple[float, int]]]
+) -> None:
     rows = prepared.table.filter(F.col("split") == "A")
+    goal = as_objective(preset, chain.metrics[0])
+    at_once = max(1, min(parallelism, len(group)))
 
     def pick(o: Outcome) -> list[int] | None:
         try:
-            return chain.select(prepared, o.params, parallelism)
+            return chain.select(prepared, o.params, max(1, parallelism // at_once), gains[o.trial_id])
         except Exception as e:  # noqa: BLE001
             o.error = train.reason(e)
             return None
 
-    pool = ThreadPool(max(1, min(parallelism, len(group))))
+    pool = ThreadPool(at_once)
     try:
         chosen = pool.map(inheritable_thread_target(prepared.table.sparkSession)(pick), group)
     finally:
@@ -142,7 +195,8 @@ def _run_group(prepared: Prepared, chain: Chain, group: list[Outcome], preset: s
     if not fits:
         return
     train.set_margin_ranges(rows, fits)
-    values = train.trial_values(train.validate_fits(prepared.table, fits), preset).collect()  # one row per candidate
+    pairs = train.validate_fits(prepared.table, fits, goal.metrics)
+    values = train.trial_values(pairs, goal).collect()  # one row per candidate
     for r in values:
         o = by_id[r["trial_id"]]
         o.cv, o.final, o.objective = r["cv"], r["final"], r["objective"]

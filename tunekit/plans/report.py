@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.operators import trials as tl
+from tunekit.operators.registry import METRIC, SELECTION, place_of
 from tunekit.operators.space import Space
-from tunekit.plans.chain import VECTOR, WIDE, Chain
+from tunekit.plans.chain import Chain
 from tunekit.plans.generation import Outcome
 from tunekit.sources.sinks import write_lines, write_table
 
@@ -59,13 +60,13 @@ def fitted_report(chain: Chain, marked: DataFrame, outcomes: Sequence[Outcome],
             fitted = iter(prepared.fitted)  # in the order of the chain
             for i, op in enumerate(chain.ops):
                 base = (study_id, rank, i, op)
-                if op in WIDE or op in VECTOR:
+                if chain.is_transform(i):
                     _, f = next(fitted)
                     rows.append((*base, f.enabled, "on", float(f.enabled), None))
                     rows += [(*base, f.enabled, f"{c}.{k}", float(v), None) for c, k, v in f.constants]
                 elif op == "evaluate":
                     rows += [(*base, True, f"{c}.corr", v, None) for c, v in prepared.evaluation]
-                elif op in ("lasso", "greedy"):
+                elif place_of(op) == SELECTION:
                     rows += [(*base, True, f"feature_{j}", None, n) for j, n in enumerate(o.names)]
                 elif op == chain.trainer:
                     folder = f"{path}/model-{rank}"
@@ -73,7 +74,7 @@ def fitted_report(chain: Chain, marked: DataFrame, outcomes: Sequence[Outcome],
                     rows.append((*base, True, "model", None, folder))
                     if o.fit.margins is not None:
                         rows += [(*base, True, k, float(v), None) for k, v in zip(("margin_low", "margin_high"), o.fit.margins)]
-                elif op == "auc":
+                elif place_of(op) == METRIC:
                     rows += [(*base, True, "train", o.train_value, None), (*base, True, "test", o.test_value, None)]
             rows.append((study_id, rank, -1, "study", True, "objective", o.objective, None))
         finally:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tunekit.operators import propose as pr
 from tunekit.operators import trials as tl
 from tunekit.operators.surrogate import fit_surrogate
+from tunekit.operators.validate import Objective
 from tunekit.plans.chain import Chain
 from tunekit.plans.generation import Outcome, next_candidates, run_candidates
 from tunekit.sources.session import scratch, shared_folder
@@ -49,7 +50,7 @@ class Study:
     chain: Chain
     key: Sequence[str] | None = None
     slots: int = 4
-    preset: str = "generalize"
+    preset: str | Objective = "generalize"
     limits: Limits = field(default_factory=Limits)
     study_id: int = 0
     log_path: str | None = None
