@@ -351,3 +351,23 @@ def test_personal_data_of_rows_without_an_id_is_redacted(spark):
 
 def before_ids(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()
+
+
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    texts = [" ".join(random.Random(i).choices("abcdefghijklmnop", k=60)) for i in range(3)]
+    rows = [(1, texts[0], "en", "s", 9), (1, texts[0], "de", "s", 9), (1, texts[1], "en", "s", 9), (2, texts[0], "en", "s", 9), (3, texts[2], None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted((tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert out == sorted([(1, texts[0], "de", "s", 9), (1, texts[1], "en", "s", 9), (3, texts[2], None, None, None)], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_pipeline_does_not_lose_a_corpus_without_labels(spark):
+    import corpus_pipeline
+
+    rows = [(1, "some text", None, "s", 9), (2, "12 34", None, "s", 5), (3, None, None, None, None), (4, "é", None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(tuple(r) for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [rows[0], rows[3]]
+    assert corpus_pipeline.language_id(spark, docs.limit(0), "").count() == 0
