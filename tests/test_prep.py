@@ -271,3 +271,40 @@ def test_select_columns_takes_one_name_and_dotted_names(spark):
     assert columns.exact_quantiles(df.withColumnRenamed("a.b", "ab"), ["ab"], [0.5]) == {"ab": [1.0]}
     with pytest.raises(ValueError):
         columns.select_columns(df, [])
+
+
+@pytest.mark.parametrize("mode", ["sq", "l2"])
+def test_many_centres_are_one_expression(spark, tmp_path, mode):
+    import re as _re
+
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from tunekit.operators.prep.rbf import FittedRbf, rbf_values
+
+    rng = random.Random(3)
+    centres = [[rng.random(), rng.random() * 5, -rng.random()] for _ in range(2000)]
+    radii = [0.1 + rng.random() for _ in centres]
+    fitted = FittedRbf([], centres, radii, mode)
+    rows = [(i, [rng.random(), rng.random() * 5, -rng.random()]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id int, x array<double>")
+    out = fitted.transform(df.select("id", "x", array_to_vector("x").alias("features")))
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert len(_re.findall(r"\bexp\(", plan.lower())) == 1
+    got = {r["id"]: r["v"] for r in out.select("id", vector_to_array("features").alias("v")).collect()}
+    some = [0, 777, 1999]
+    plain = df.select("id", *[c.alias(f"v{i}") for i, c in zip(some, rbf_values(F.col("x"), [centres[i] for i in some], [radii[i] for i in some], mode))])
+    for r in plain.collect():
+        assert [got[r["id"]][i] for i in some] == pytest.approx([r[f"v{i}"] for i in some], rel=1e-12)
+    inputs = ["a", "b c", "d"]
+    cells = ", ".join(f"{e} AS r{i}" for i, e in enumerate(fitted.cells(inputs, "all_")))
+    stages = [
+        SQLTransformer(statement=f"SELECT *, {fitted.prelude(inputs)} AS all_ FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, {cells} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"r{i}" for i in range(2000)], outputCol="features"),
+    ]
+    PipelineModel(stages).write().overwrite().save(f"{tmp_path}/rbf")
+    wide = df.select("id", F.col("x")[0].alias("a"), F.col("x")[1].alias("b c"), F.col("x")[2].alias("d"))
+    saved = PipelineModel.load(f"{tmp_path}/rbf").transform(wide).select("id", vector_to_array("features").alias("v"))
+    assert {r["id"]: r["v"] for r in saved.collect()} == got

@@ -42,10 +42,17 @@ class Fitted(Model):
         """Stock stages with the same effect on a wide table, for saving."""
         return []
 
-    def cells(self, inputs: Sequence[str]) -> list[str]:
-        """For transforms of vectors: the new features as SQL over the columns that hold the old ones."""
+    def cells(self, inputs: Sequence[str], place: str | None = None) -> list[str]:
+        """For transforms of vectors: the new features as SQL over the columns that hold the old ones.
+
+        With `place` they may read the column of that name, which holds the value of `prelude`.
+        """
         return list(inputs)
 
+    def prelude(self, inputs: Sequence[str]) -> str | None:
+        """For transforms of vectors: SQL of a value that `cells` can share, or None."""
+        return None
+
     def stats(self, spark: SparkSession) -> DataFrame:
         """Fitted constants as (feature, key, value)."""
         return spark.createDataFrame([(f, k, float(v)) for f, k, v in self.constants], STATS_SCHEMA)

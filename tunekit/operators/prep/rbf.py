@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tunekit.functions.arrays import lit_array, squared_distance
 from tunekit.operators.columns import feature_names, name_features
-from tunekit.operators.prep.base import Fitted, Prep, number, quoted
+from tunekit.operators.prep.base import Fitted, Prep, quoted
 
 
 def distance_to(x: Column, centre: Column, mode: str = "sq") -> Column:
@@ -41,24 +42,37 @@ def rbf_values(x: Column, centres: Sequence[Sequence[float]], radii: Sequence[fl
     return out
 
 
+def centre_table(centres: Sequence[Sequence[float]], radii: Sequence[float]) -> str:
+    """All centres, each with twice its squared radius, as the text of one SQL value of type array<struct<c, w>>."""
+    rows = ",".join(json.dumps({"c": [float(v) for v in c], "w": 2.0 * float(r) * float(r)}) for c, r in zip(centres, radii))
+    return f"from_json('[{rows}]', 'array<struct<c:array<double>,w:double>>')"
+
+
+def rbf_rule(x: str, table: str, mode: str = "sq") -> str:
+    """SQL for the values of all centres in one expression, whatever their number; the table of centres is one constant."""
+    d2 = f"aggregate(zip_with({x}, s.c, (a, b) -> (a - b) * (a - b)), 0.0D, (acc, v) -> acc + v)"
+    d = d2 if mode == "sq" else f"sqrt({d2})"
+    return f"transform({table}, s -> exp(-pow({d}, 2) / s.w))"
+
+
 class FittedRbf(Fitted):
     def __init__(self, constants, centres, radii, mode: str):
         super().__init__([str(i) for i in range(len(centres))], constants)
         self.centres, self.radii, self.mode = centres, radii, mode
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        values = F.array(*rbf_values(F.col("_x"), self.centres, self.radii, self.mode))
+        values = F.expr(rbf_rule("_x", centre_table(self.centres, self.radii), self.mode))
         rest = [c for c in dataset.columns if c != "features"]
         unpacked = dataset.select(*rest, vector_to_array("features").alias("_x"))
         return unpacked.select(*rest, name_features(array_to_vector(values), self.names))
 
-    def cells(self, inputs: Sequence[str]) -> list[str]:
-        out = []
-        for centre, r in zip(self.centres, self.radii):
-            d2 = " + ".join(f"pow({quoted(c)} - {number(v)}, 2)" for c, v in zip(inputs, centre))
-            d = f"({d2})" if self.mode == "sq" else f"sqrt({d2})"
-            out.append(f"exp(-pow({d}, 2) / {number(2.0 * r * r)})")
-        return out
+    def prelude(self, inputs: Sequence[str]) -> str:
+        x = ", ".join(f"CAST({quoted(c)} AS DOUBLE)" for c in inputs)
+        return rbf_rule(f"array({x})", centre_table(self.centres, self.radii), self.mode)
+
+    def cells(self, inputs: Sequence[str], place: str | None = None) -> list[str]:
+        whole = self.prelude(inputs) if place is None else quoted(place)
+        return [f"element_at({whole}, {i + 1})" for i in range(len(self.centres))]
 
 
 class RadialBasis(Prep):
@@ -76,7 +90,7 @@ class RadialBasis(Prep):
         model = KMeans(k=self.k, maxIter=self.max_iter, seed=self.seed, featuresCol="features", predictionCol="cluster").fit(df)
         centres = [[float(v) for v in c] for c in model.clusterCenters()]
         x, at = vector_to_array(F.col("features")), F.col("cluster")
-        own = F.element_at(F.array(*[lit_array(c) for c in centres]), at + 1)
+        own = F.get(F.expr(centre_table(centres, [1.0] * len(centres))), at)["c"]
         members = model.transform(df.select("features")).select("cluster", distance_to(x, own, self.mode).alias("dist"))
         found = {r["cluster"]: r["radius"] for r in cluster_radii(members, "dist", self.ratio).collect()}
         least = min(found.values())

@@ -24,7 +24,7 @@ class FittedScaler(Fitted):
         order = [c for c in dataset.columns if c != "features"]
         return scaled.select(*order, name_features(F.col("_scaled"), self.names))
 
-    def cells(self, inputs: Sequence[str]) -> list[str]:
+    def cells(self, inputs: Sequence[str], place: str | None = None) -> list[str]:
         return [
             number(self.constant) if k is None else f"({quoted(c)} - {number(s)}) * {number(k)}"
             for c, s, k in zip(inputs, self.shift, self.scale)

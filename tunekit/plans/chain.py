@@ -65,8 +65,8 @@ class Chain:
     """Operators by name, in order, with the data-dependent bounds of their parameters.
 
     Names are those of `operators.registry`, stock or registered by the user.  `n_features` bounds the codes of `power`, `n_rows` the
-    centres of `rbf`; `bounded` takes them from a table, as studies do, and the space of a chain that needs one of them must be bounded
-    first.  `memory` is the gain that searches of `greedy` remember.  Transforms of wide tables come before `assemble`,
+    centres of `rbf` (not at all where it is not given); `bounded` takes them from a table, as studies do, and a chain with `power` has no
+    space before that.  `memory` is the gain that searches of `greedy` remember.  Transforms of wide tables come before `assemble`,
     transforms of vectors and the selection after it, then the trainer and its metrics.  `split` must come first: everything fitted
     looks at split 'A' only.
     """
@@ -119,9 +119,9 @@ class Chain:
 
     @property
     def space(self) -> Space:
-        if ("power" in self.ops and self.n_features is None) or ("rbf" in self.ops and self.n_rows is None):
-            raise ValueError("bounds depend on the data: use `bounded`, or give n_features and n_rows")
-        return chain_space(self.ops, self.n_features or 1, self.n_rows or 1.0)
+        if "power" in self.ops and self.n_features is None:
+            raise ValueError("the codes of 'power' depend on the data: use `bounded`, or give n_features")
+        return chain_space(self.ops, self.n_features or 1, self.n_rows or float("inf"))
 
     def bounded(self, df: DataFrame, features: Sequence[str]) -> Chain:
         """The chain with the bounds that are not given taken from a training table."""
@@ -252,7 +252,9 @@ class Chain:
         inputs = prepared.wide_names
         for place, (op, f) in enumerate(prepared.fitted):
             if place_of(op) == VECTOR and f.enabled:
-                cells = f.cells(inputs)
+                if (whole := f.prelude(inputs)) is not None:
+                    stages.append(SQLTransformer(statement=f"SELECT *, {whole} AS {quoted(f'{op}{place}_all')} FROM __THIS__"))
+                cells = f.cells(inputs, f"{op}{place}_all")
                 inputs = [f"{op}{place}_{i}" for i in range(len(cells))]
                 added = ", ".join(f"{e} AS {quoted(c)}" for c, e in zip(inputs, cells))
                 stages.append(SQLTransformer(statement=f"SELECT *, {added} FROM __THIS__"))
