@@ -15,10 +15,10 @@ _KEYS = ["trial_id", "fold", "split"]
 # ---------------------------------------------------------------- boosted surrogates
 
 
-# an objective that depends on two parameters in every study, so that the chosen one differs between studies
+# an objective that depends on two parameters in every study, so that the chosen one differs between studies; its sums are exact in binary
 @query(
     "surrogate_boost_stump",
-    f"""WITH {TRIALS}, o AS (SELECT study_id, p1, p2, p3, p1 / 100.0::DOUBLE + p3 / 24.0::DOUBLE AS y FROM trials),
+    f"""WITH {TRIALS}, o AS (SELECT study_id, p1, p2, p3, p1 / 128.0::DOUBLE + p3 / 32.0::DOUBLE AS y FROM trials),
     long AS (SELECT study_id, 0 AS f, p1 AS v, y FROM o UNION ALL SELECT study_id, 1, p2, y FROM o UNION ALL SELECT study_id, 2, p3, y FROM o),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY study_id, f ORDER BY v) AS rn, count(*) OVER (PARTITION BY study_id, f) AS n FROM long),
     cut AS (SELECT DISTINCT study_id, f, v AS c FROM ranked, (SELECT unnest(range(1, 32)) AS j) WHERE rn = ceil(j / 32.0::DOUBLE * n)),
@@ -26,14 +26,14 @@ _KEYS = ["trial_id", "fold", "split"]
       FROM long JOIN cut USING (study_id, f) GROUP BY study_id, f, c),
     gain AS (SELECT *, ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) - ts * ts / tn AS g FROM side WHERE tn > ln),
     best AS (SELECT * FROM gain WHERE g > (ts * ts / tn + 1) * 1e-12 QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY round(g, 9) DESC, f, c) = 1)
-    SELECT study_id, f::INTEGER AS feature, c AS threshold, {q4('ls / ln')} AS left, {q4('(ts - ls) / (tn - ln)')} AS right FROM best""",
+    SELECT study_id, f::INTEGER AS feature, c AS threshold, ls / ln AS left, (ts - ls) / (tn - ln) AS right FROM best""",
 )
 def surrogate_boost_stump(spark, sf_dir):
     """One round of depth 1: the first split of every study and the mean objectives on both sides."""
     p = F.col("params")
-    df = trials(spark, sf_dir).withColumn("objective", p[0] / 100.0 + p[2] / 24.0)
+    df = trials(spark, sf_dir).withColumn("objective", p[0] / 128.0 + p[2] / 32.0)
     found = boost.stump_table(df, 3).where(F.col("feature") >= 0)
-    return found.select("study_id", "feature", "threshold", r4(F.col("left")).alias("left"), r4(F.col("right")).alias("right"))
+    return found.select("study_id", "feature", "threshold", "left", "right")
 
 
 @query("surrogate_boosted")
