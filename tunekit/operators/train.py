@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.operators import registry, validate
+from tunekit.sources.session import through_table
 
 FINAL = -1  # fold number of the model fitted on all training rows
 FOLDS = 5
@@ -262,6 +263,7 @@ def trial_values(pairs: DataFrame, preset: str | validate.Objective = "generaliz
     goal = validate.as_objective(preset)
     if "metric" not in pairs.columns:
         pairs = pairs.withColumn("metric", F.lit("auc"))
+    pairs = through_table(pairs, "pairs")  # a few rows per trial, read three times: the scoring behind them runs once
     last = F.col("fold") == FINAL
     folds = validate.blend_metrics(pairs.filter(~last), goal.fold, ["trial_id", "fold"])
     ends = pairs.filter(last)
