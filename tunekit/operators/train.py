@@ -220,18 +220,32 @@ def stacked_scores(df: DataFrame, fits: Sequence[Fit]) -> DataFrame:
     return rows.select("s.trial_id", "s.fold", "s.split", "s.score", *own)
 
 
+def _score_runs(df: DataFrame, fits: Sequence[Fit]) -> DataFrame:
+    """The scores of `stacked_scores` as the runs that `validate.auc_of_runs` ranks."""
+    scored = with_outputs(df, fits)
+    own = ["split", "fold", "label", *(["weight"] if "weight" in df.columns else [])]
+    outputs = [f"_s{i}" for i in range(len(fits))]
+    scored = scored.select(*own, *[positive_score(f, F.col(f"_o{i}")).cast("double").alias(o) for i, (f, o) in enumerate(zip(fits, outputs))])
+    models = [(int(f.trial_id), int(f.fold)) for f in fits]
+    return validate.wide_runs(scored, outputs, models, FINAL, weight="weight" if "weight" in df.columns else None)
+
+
 def validate_fits(df: DataFrame, fits: Sequence[Fit], metrics: Sequence[str] | None = None) -> DataFrame:
     """(trial_id, fold, train_value, test_value): AUC pairs of all fits from one grouped job.
 
     With `metrics` (trial_id, fold, metric, train_value, test_value): those that `validate.measures` knows come from one pass, registered ones
     from their own.  Rows count with their `weight` if `df` has one.
     """
-    scores = stacked_scores(df, fits)
     keys, weight = ["trial_id", "fold", "split"], "weight" if "weight" in df.columns else None
     if metrics is None:
-        return validate.train_test_pairs(validate.auc(scores, keys, weight=weight), ["trial_id", "fold"])
+        return validate.train_test_pairs(validate.auc_of_runs(_score_runs(df, fits), keys), ["trial_id", "fold"])
+    scores = stacked_scores(df, fits)
     stock = [m for m in metrics if not registry.known(m) or registry.lookup(m).build is None]
-    parts = [validate.measures(scores, keys, stock, weight=weight)] if stock else []
+    if set(stock) == {"auc"}:
+        found = validate.auc_of_runs(_score_runs(df, fits), keys)
+        parts = [found.select(*keys, F.lit("auc").alias("metric"), F.col("auc").alias("value"))]
+    else:
+        parts = [validate.measures(scores, keys, stock, weight=weight)] if stock else []
     for m in metrics:
         if m not in stock:
             own = registry.lookup(m).build(scores, keys, weight)

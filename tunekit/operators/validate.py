@@ -1,20 +1,30 @@
 """Exact validation metrics for any number of (trial, fold, split) groups in one job.
 
-Scores are first counted per (group, score), which takes out ties before the first shuffle.  Ranks are then
-built from two leading digits of the score: windows run inside a digit pair, inside a digit and over the
-digits, and each step hands on one summary row per part.  So a group with most of the rows is spread over
-up to 1024 x 1024 parts, and nothing is joined back to the rows.
+For the area under the curve scores travel as sorted runs: every task counts the ties of a buffer of rows and cuts what is left by the
+leading bits of the score, so a group with most of the rows is spread over many parts; parts that are still too
+large are cut by further bits.  A part is ranked in one task and handed on as one row.  The other metrics count scores per (group, score);
+ranks are then built from two leading digits of the score: windows run inside a digit pair, inside a digit and over the
+digits, and each step hands on one summary row per part.  Nothing is joined back to the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tunekit.functions.arrays import bind
 from tunekit.functions.scan import digits
+from tunekit.sources.session import through_table
+
+RUN_ROWS, RUN_LENGTH = 1 << 20, 512  # rows whose ties are counted together, longest run in a row
+WIDE_ROWS = 1 << 18  # the same for rows that hold the scores of several models
+PART_ROWS = 1 << 21  # distinct scores of a part, about, that one task ranks in memory
+PREFIXES = (20, 34, 48, 64)  # leading bits that cut a group into parts, level by level
 
 
 def score_counts(
@@ -30,7 +40,211 @@ def score_counts(
         .groupBy(*keys, "score")
         .agg(F.sum(F.when(F.col("_y"), F.col("_w")).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col("_y"), 0.0).otherwise(F.col("_w"))).alias("neg"))
     )
-    return counted.select(*keys, "score", "pos", "neg", d1.alias("d1"), d2.alias("d2"))
+    return bind(counted, d1=d1, d2=d2).select(*keys, "score", "pos", "neg", "d1", "d2")
+
+
+def _ordered(score: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """Integers in the order of the scores, bit by bit: missing ones first, NaN last."""
+    score = np.where(np.isnan(score), np.nan, score + 0.0)  # one NaN, one zero
+    bits = score.view(np.int64)
+    code = np.where(bits < 0, np.bitwise_xor(~bits, np.iinfo(np.int64).min), bits)
+    return np.where(missing, np.iinfo(np.int64).min, code)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    s = column.combine_chunks()
+    return _ordered(s.fill_null(0.0).to_numpy(zero_copy_only=False), s.is_null().to_numpy(zero_copy_only=False))
+
+
+def _groups(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """A number per row, equal for rows with equal keys."""
+    group, size = np.zeros(table.num_rows, np.int64), 1
+    for k in keys:
+        own = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode")
+        if size * len(own.dictionary) >= 1 << 62:
+            found, group = np.unique(group, return_inverse=True)
+            size = len(found)
+        group = group * len(own.dictionary) + own.indices.to_numpy(zero_copy_only=False)
+        size *= len(own.dictionary)
+    return group
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it in any of the columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _tallied(group: np.ndarray, code: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first row, group, code, pos, neg) of every (group, code), in their order."""
+    order = np.argsort(code)
+    order = order[np.argsort(group[order], kind="stable")] if group.any() else order
+    group, code = group[order], code[order]
+    at = _starts(group, code)
+    add = lambda x: np.add.reduceat(x[order], at) if len(at) else x[order]
+    return order[at], group[at], code[at], add(pos), add(neg)
+
+
+def _prefix(code: np.ndarray, bits: int) -> np.ndarray:
+    return code >> (64 - bits) << (64 - bits)
+
+
+def _packed(table: pa.Table, keys: Sequence[str], tallied: tuple[np.ndarray, ...], bits: int) -> pa.Table:
+    """(keys..., part, n, code, pos, neg): runs of at most RUN_LENGTH scores of one part, each column of a run as bytes."""
+    first, group, code, pos, neg = tallied
+    part = _prefix(code, bits)
+    new = _starts(group, part)
+    inside = np.arange(len(code)) - np.repeat(new, np.diff(np.append(new, len(code))))
+    at = np.flatnonzero(inside % RUN_LENGTH == 0)
+    ends = np.append(at, len(code))
+    blob = lambda x: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    cells = [table.column(k).take(pa.array(first[at])) for k in keys]
+    cells += [pa.array(part[at]), pa.array(np.diff(ends)), blob(code), blob(pos.astype(float)), blob(neg.astype(float))]
+    return pa.Table.from_arrays(cells, [*keys, "part", "n", "code", "pos", "neg"])
+
+
+def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _opened(table: pa.Table, keys: Sequence[str]) -> tuple[pa.Table, tuple[np.ndarray, ...]]:
+    """The runs of a table row by row: the table's keys with a row per score, and (group, code, pos, neg) beside them."""
+    n = table.column("n").to_numpy()
+    own = _groups(table, keys)
+    cells = [_unpacked(table.column(c), k) for c, k in (("code", np.int64), ("pos", float), ("neg", float))]
+    return np.repeat(np.arange(len(n)), n), (np.repeat(own, n), *cells)
+
+
+def _buffered(batches: Iterator[pa.RecordBatch], size, limit: int = RUN_ROWS) -> Iterator[pa.Table]:
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += size(b)
+        if rows >= limit:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _runs(scores: DataFrame, keys: Sequence[str], score: str, label: str, weight: str | None) -> DataFrame:
+    """Sorted runs of a table of scores, cut by the first of PREFIXES; ties of RUN_ROWS rows are counted before anything travels."""
+    keys = list(keys)
+    one = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    hit = F.coalesce(F.col(label).cast("double") > 0.5, F.lit(False))
+    rows = scores.select(*keys, F.col(score).cast("double").alias("_s"), hit.alias("_y"), one.alias("_w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _buffered(batches, lambda b: b.num_rows):
+            hits, w = table.column("_y").to_numpy(), table.column("_w").to_numpy()
+            tallied = _tallied(_groups(table, keys), _codes(table.column("_s")), np.where(hits, w, 0.0), np.where(hits, 0.0, w))
+            yield from _packed(table, keys, tallied, PREFIXES[0]).to_batches()
+
+    return rows.mapInArrow(run, _run_schema(rows, keys))
+
+
+def wide_runs(rows: DataFrame, outputs: Sequence[str], models: Sequence[tuple[int, int]], final: int, label: str = "label", weight: str | None = None) -> DataFrame:
+    """(trial_id, fold, split, runs...) of rows (split, fold, label, one score per model), without a row per model on the way.
+
+    `models` has the trial and the fold of every output.  A fold model counts the rows of split 'A', those of its own fold (or of none) as 'B';
+    the model of fold `final` counts all rows, with their split.
+    """
+    one = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    hit = F.coalesce(F.col(label).cast("double") > 0.5, F.lit(False))
+    train, none = F.coalesce(F.col("split") == "A", F.lit(False)), final - 1
+    cells = [F.col(o) if fold == final else F.when(train, F.col(o)).alias(o) for o, (_, fold) in zip(outputs, models)]
+    narrow = rows.select(train.alias("_a"), F.coalesce("fold", F.lit(none)).alias("_f"), hit.alias("_y"), one.alias("_w"), *cells)
+    keys, outputs, models = ["trial_id", "fold", "split"], list(outputs), list(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _buffered(batches, lambda b: b.num_rows, WIDE_ROWS):
+            a, fold, hits, w = (table.column(c).to_numpy() for c in ("_a", "_f", "_y", "_w"))
+            pos, neg = np.where(hits, w, 0.0), np.where(hits, 0.0, w)
+            for output, (trial, left_out) in zip(outputs, models):
+                code = _codes(table.column(output))
+                if left_out == final:
+                    side, own = np.where(a, 0, 1), slice(None)
+                else:
+                    side, own = np.where((fold != left_out) & (fold != none), 0, 1)[a], a
+                _, group, *rest = _tallied(side, code[own], pos[own], neg[own])
+                names = pa.table({"trial_id": pa.array([trial] * 2, pa.int64()), "fold": pa.array([left_out] * 2, pa.int32()), "split": ["A", "B"]})
+                yield from _packed(names, keys, (group, group, *rest), PREFIXES[0]).to_batches()
+
+    return narrow.mapInArrow(run, "trial_id bigint, fold int, split string, part bigint, n bigint, code binary, pos binary, neg binary")
+
+
+def _run_schema(rows: DataFrame, keys: Sequence[str]) -> str:
+    own = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return f"{own}, part bigint, n bigint, code binary, pos binary, neg binary"
+
+
+def _cut_again(runs: DataFrame, keys: Sequence[str], crowded: DataFrame, bits: int) -> DataFrame:
+    """The runs with those of crowded parts cut by more leading bits."""
+    keys = list(keys)
+    part = [*keys, "part"]
+    named = crowded.select(*[F.col(c).alias(f"_{c}") for c in part])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in part]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _buffered(batches, lambda b: int(np.sum(b.column("n").to_numpy()))):
+            row, cells = _opened(table, keys)
+            first, *rest = _tallied(*cells)
+            yield from _packed(table, keys, (row[first], *rest), bits).to_batches()
+
+    again = runs.join(named, same, "left_semi").mapInArrow(cut, _run_schema(runs, keys))
+    return runs.join(named, same, "left_anti").unionByName(again)
+
+
+def _ranked(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., part, pos, neg, pairs): one row per part, `pairs` those in the right order inside it."""
+    keys = list(keys)
+    part = [*keys, "part"]
+
+    def whole(table: pa.Table) -> pa.Table:
+        row, cells = _opened(table, part)
+        first, group, _, pos, neg = _tallied(*cells)
+        at = _starts(group)
+        below = np.cumsum(neg) - neg
+        below -= np.repeat(below[at], np.diff(np.append(at, len(group))))
+        sums = [np.add.reduceat(x, at) for x in (pos, neg, pos * (below + neg / 2.0))]
+        return pa.Table.from_arrays([*[table.column(c).take(pa.array(row[first[at]])) for c in part], *map(pa.array, sums)], [*part, "pos", "neg", "pairs"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for table in _buffered(batches, lambda b: int(np.sum(b.column("n").to_numpy()))):
+            table = table if rest is None else pa.concat_tables([rest, table])
+            last = int(_starts(_groups(table, part))[-1])  # rows come sorted: the last part may go on
+            rest = table.slice(last)
+            if last:
+                yield from whole(table.slice(0, last)).to_batches()
+        if rest is not None:
+            yield from whole(rest).to_batches()
+
+    own = ", ".join(f"`{c}` {runs.schema[c].dataType.simpleString()}" for c in part)
+    return runs.repartition(*part).sortWithinPartitions(*part).mapInArrow(rank, f"{own}, pos double, neg double, pairs double")
+
+
+def _pairs(runs: DataFrame, keys: Sequence[str], limit: int = PART_ROWS) -> DataFrame:
+    """(keys..., pos, neg, pairs) from runs.
+
+    The runs are written once, so that the scoring behind them runs once; parts of more than `limit` scores are then cut by more of their
+    bits, at most as many times as there are PREFIXES.
+    """
+    keys = list(keys)
+    part = [*keys, "part"]
+    runs = through_table(runs, "runs")
+    for bits in PREFIXES[1:]:
+        crowded = through_table(runs.groupBy(*part).agg(F.sum("n").alias("n")).filter(F.col("n") > limit), "crowded")
+        if crowded.isEmpty():
+            break
+        runs = through_table(_cut_again(runs, keys, crowded, bits), "runs")
+    level = _ranked(runs, keys)
+    below = F.coalesce(F.sum("neg").over(_before(keys, "part")), F.lit(0.0))
+    level = level.withColumn("pairs", F.col("pairs") + F.col("pos") * below)
+    return level.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "pairs")])
 
 
 def _before(part: Sequence[str], order: str) -> Window:
@@ -88,7 +302,12 @@ def auc(
     With `weight` a pair counts the product of its weights; the counts are then the summed weights without their fractions.
     """
     keys = list(keys)
-    level = _nested(score_counts(scores, keys, score, label, weight), keys, pairs=True, moves=False)
+    return auc_of_runs(_runs(scores, keys, score, label, weight), keys)
+
+
+def auc_of_runs(runs: DataFrame, keys: Sequence[str], limit: int = PART_ROWS) -> DataFrame:
+    """`auc` of the runs that `wide_runs` makes."""
+    level = _pairs(runs, keys, limit)
     return level.select(*keys, _auc_value().alias("auc"), F.col("pos").cast("long").alias("n_pos"), F.col("neg").cast("long").alias("n_neg"))
 
 
@@ -120,8 +339,10 @@ def measures(
     if unknown or not metrics:
         raise ValueError(f"unknown metrics {unknown}" if unknown else "no metrics")
     levels = sorted({t for _, t in rates.values()})
-    counts = score_counts(scores, keys, score, label, weight)
-    row = _nested(counts, keys, "auc" in metrics, "ks" in metrics, levels)
+    if set(metrics) == {"auc"}:
+        row = _pairs(_runs(scores, keys, score, label, weight), keys)
+    else:
+        row = _nested(score_counts(scores, keys, score, label, weight), keys, "auc" in metrics, "ks" in metrics, levels)
     cells = []
     for m in metrics:
         if m in rates:
