@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tunekit.operators import train, validate
+from tunekit.operators import train, trials, validate
 
 
 def brute(score, label, weight):
@@ -42,3 +42,18 @@ def test_scores_of_several_models_are_not_stacked(spark, wide):
     for a, b in zip(sorted(pairs.collect(), key=key), sorted(wanted.collect(), key=key), strict=True):
         assert key(a) == key(b) and tuple(a)[2:] == pytest.approx(tuple(b)[2:], abs=1e-12)
     df.unpersist()
+
+
+def test_most_candidates_look_into_one_cell(spark, log):
+    span = log.select(F.lit(1).alias("slot"), "params").withColumn("span", F.lit(500.0)).withColumn("norm", trials.arrays.norm(F.col("params")))
+    assert trials._probes(span, trials.SAME).count() < 1.6 * span.count()
+
+
+def test_near_duplicates_across_cell_borders(spark):
+    past = [(1, 0, [0.0, 0.0]), (1, 1, [1000.0, 0.0])] + [(1, 2 + i, [1.0 + i * 0.0021, 5.0]) for i in range(300)]
+    log = spark.createDataFrame(past, "study_id long, trial_id long, params array<double>")
+    moved = log.filter("trial_id > 1")
+    near = moved.select("study_id", F.col("trial_id").alias("slot"), F.transform("params", lambda x: x + 0.0004).alias("params"), F.lit(None).cast("array<double>").alias("parent"))
+    far = near.withColumn("params", F.transform("params", lambda x: x + 0.01)).withColumn("slot", -F.col("slot"))
+    hits = {r["slot"] for r in trials.near_duplicates(near.unionByName(far), log).collect()}
+    assert {s for s in hits if s > 0} == set(range(2, 302)) and not {s for s in hits if s < 0}

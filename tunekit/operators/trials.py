@@ -18,6 +18,7 @@ STUDY = ["study_id"]
 BEST = 10  # size of the best set
 MIN_TRIALS, MAX_TRIALS, MAX_STEADY, TOLERANCE = 100, 10000, 20, 1e-4
 SAME = 1e-6  # relative distance below which two vectors count as one
+CELL = 16  # width of a grid cell in such distances
 
 
 def instant(ts: str = "ts") -> Column:
@@ -68,35 +69,40 @@ def param_ranges(trials: DataFrame, n_params: int) -> DataFrame:
     )
 
 
+def _along() -> Column:
+    # an irrational-looking fixed direction; cos(i^2 + i) keeps lattice points apart
+    weights = F.transform("params", lambda x, i: F.cos((i * i + i).cast("double")))
+    return arrays.dot(F.col("params"), weights) / F.sqrt(F.size("params").cast("double"))
+
+
+def _cell(value: Column, eps: float, moved: float = 0.0) -> Column:
+    side = F.col("span") * F.lit(float(eps))
+    return F.floor((value / side + F.lit(moved)) / F.lit(float(CELL)))
+
+
+def _probes(mine: DataFrame, eps: float) -> DataFrame:
+    """The candidates (norm, span, params, ...) with every grid cell (c1, c2) that may hold a match."""
+    # half a distance more on both sides, for rounding
+    reached = lambda v: F.explode(F.array_distinct(F.array(_cell(v, eps, -1.5), _cell(v, eps, 1.5))))
+    rows = mine.withColumn("along", _along()).withColumn("c1", reached(F.col("norm"))).withColumn("c2", reached(F.col("along")))
+    return rows.drop("along")
+
+
 def near_duplicates(candidates: DataFrame, trials: DataFrame, eps: float = SAME) -> DataFrame:
     """Keys (study_id, slot) of candidates that repeat a past trial.
 
     A candidate repeats a trial when both norms and the vectors themselves are closer than eps times the
     study's norm span; trials that close to the candidate's `parent` vector do not count.  The search is an
     equi-join on a grid: a vector's norm and its projection on a fixed direction both move by at most the
-    distance, so a match lies in the same or a neighbouring cell of either.  Equal trials are merged first,
-    and candidates, not trials, are repeated for the neighbour cells.
+    distance, so a match lies in a cell that this distance reaches on either axis.  Cells are `CELL` distances wide, so most
+    candidates look into one cell only.  Equal trials are merged first, and candidates, not trials, are repeated for the other cells.
     """
     span = norm_span(trials).select(*STUDY, (F.col("max_norm") - F.col("min_norm")).alias("span")).filter("span > 0")
     seen = with_norm(trials.select(*STUDY, "params").distinct()).join(span, STUDY)
     mine = with_norm(candidates.select(*STUDY, "slot", "params", "parent")).join(span, STUDY)
-
-    def cells(df: DataFrame) -> DataFrame:
-        side = F.col("span") * F.lit(float(eps))
-        # an irrational-looking fixed direction; cos(i^2 + i) keeps lattice points apart
-        weights = F.transform("params", lambda x, i: F.cos((i * i + i).cast("double")))
-        length = F.sqrt(F.size("params").cast("double"))
-        along = arrays.dot(F.col("params"), weights) / length
-        return df.select("*", F.floor(F.col("norm") / side).alias("c1"), F.floor(along / side).alias("c2"))
-
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    probe = (
-        cells(mine)
-        .withColumn("c1", F.explode(F.transform(around, lambda d: F.col("c1") + d)))
-        .withColumn("c2", F.explode(F.transform(around, lambda d: F.col("c2") + d)))
-        .alias("m")
-    )
-    past = cells(seen).select(*STUDY, "c1", "c2", F.col("params").alias("old"), F.col("norm").alias("old_norm"))
+    probe = _probes(mine, eps).alias("m")
+    past = seen.select("*", _cell(F.col("norm"), eps).alias("c1"), _cell(_along(), eps).alias("c2"))
+    past = past.select(*STUDY, "c1", "c2", F.col("params").alias("old"), F.col("norm").alias("old_norm"))
     limit = F.col("span") * F.lit(float(eps))
     past = past.select(*[F.col(c).alias(f"_{c}") for c in (*STUDY, "c1", "c2")], "old", "old_norm")
     same = [F.col(c) == F.col(f"_{c}") for c in (*STUDY, "c1", "c2")]
