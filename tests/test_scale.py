@@ -44,6 +44,14 @@ def test_scores_of_several_models_are_not_stacked(spark, wide):
     df.unpersist()
 
 
+def test_gaps_are_dealt_into_parts_by_the_rows(spark, log, monkeypatch):
+    wanted = {r["study_id"]: r for r in trials.farthest_pairs(log).collect()}
+    monkeypatch.setattr(trials, "GAP_ROWS", 20)
+    found = trials.farthest_pairs(log)
+    assert {r["study_id"]: r for r in found.collect()} == wanted
+    assert found.rdd.getNumPartitions() >= log.count() // 20
+
+
 def test_most_candidates_look_into_one_cell(spark, log):
     span = log.select(F.lit(1).alias("slot"), "params").withColumn("span", F.lit(500.0)).withColumn("norm", trials.arrays.norm(F.col("params")))
     assert trials._probes(span, trials.SAME).count() < 1.6 * span.count()

@@ -7,17 +7,20 @@ cut into chunks first, so no task ever holds a whole study.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunekit.functions import arrays
 from tunekit.functions.scan import running, with_chunks
+from tunekit.sources.session import through_table
 
 STUDY = ["study_id"]
 BEST = 10  # size of the best set
 MIN_TRIALS, MAX_TRIALS, MAX_STEADY, TOLERANCE = 100, 10000, 20, 1e-4
 SAME = 1e-6  # relative distance below which two vectors count as one
+GAP_ROWS = 1 << 18  # rows of a log that one task looks for gaps in, about
 CELL = 16  # width of a grid cell in such distances
 
 
@@ -127,16 +130,21 @@ def largest_gap(df: DataFrame, keys: Sequence[str], value: str, id_col: str, pay
     n values go into n equal buckets; the widest jump between occupied buckets, the last on a tie, names the
     pair.  With every bucket occupied the group is `balanced` and the widest neighbour distance, the first on
     a tie, does; a constant group is balanced with one value as both ends.  `lower` and `upper` are
-    (value, id, payload).  Buckets are scanned in blocks of about sqrt(n), then block by block.
+    (value, id, payload).  Buckets are scanned in blocks of about sqrt(n), then block by block.  The sizes of all groups are written
+    first: they say into how many parts the blocks are dealt, so a task gets about `GAP_ROWS` rows of any log.
     """
     keys = list(keys)
     payload = payload if payload is not None else F.lit(None).cast("double")
     base = df.select(*keys, F.col(value).alias("v"), F.col(id_col).alias("id"), payload.alias("payload"))
     size = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    size = through_table(size, "sizes")
+    rows = size.agg(F.sum("n")).first()[0] or 0
+    parts = max(ceil(rows / GAP_ROWS), df.sparkSession.sparkContext.defaultParallelism)
     width = F.col("high") - F.col("low")
     place = F.least(F.floor((F.col("v") - F.col("low")) * F.col("n") / width), F.col("n") - 1)
     placed = base.join(size, keys).withColumn("bucket", F.when(width > 0, place).otherwise(F.lit(0)).cast("long"))
     placed = placed.withColumn("block", F.floor(F.col("bucket") / F.ceil(F.sqrt(F.col("n").cast("double")))))
+    placed = placed.repartition(parts, *keys, "block")
 
     group = keys + ["n", "low", "high"]
     buckets = placed.groupBy(*group, "block", "bucket").agg(
@@ -164,6 +172,7 @@ def largest_gap(df: DataFrame, keys: Sequence[str], value: str, id_col: str, pay
             F.max(F.struct("bucket", "last")).alias("tail"),
         )
     )
+    blocks = blocks.repartition(parts, *keys)
     outer = Window.partitionBy(*group).orderBy("block")
     tail = F.lag("tail").over(outer)
     jump, gap = candidates(tail["bucket"], tail["last"], F.col("head.bucket"), F.col("head.first"))
