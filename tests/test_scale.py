@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tunekit.operators import train, trials, validate
+from tunekit.operators import boost, surrogate, train, trials, validate
 
 
 def brute(score, label, weight):
@@ -65,3 +65,17 @@ def test_near_duplicates_across_cell_borders(spark):
     far = near.withColumn("params", F.transform("params", lambda x: x + 0.01)).withColumn("slot", -F.col("slot"))
     hits = {r["slot"] for r in trials.near_duplicates(near.unionByName(far), log).collect()}
     assert {s for s in hits if s > 0} == set(range(2, 302)) and not {s for s in hits if s < 0}
+
+
+def test_streamed_surrogate_equals_the_expression(spark, log):
+    odd = log.select("study_id", "trial_id", "params", "objective").unionByName(
+        spark.createDataFrame([(0, -1, [1.0, None, 2.0], 0.5), (0, -2, [float("nan"), 3.0, 2.0], 0.5), (-7, -3, [1.0, 1.0, 1.0], 0.5), (None, -4, [1.0, 1.0, 1.0], 0.5)], "study_id long, trial_id long, params array<double>, objective double")
+    )
+    fitted = surrogate.fit_surrogate(log, 3)
+    got = fitted.predict(odd)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # no trees beside the rows
+    both = odd.join(fitted.state, "study_id").withColumn("_linear", surrogate.linear_prediction())
+    both = both.withColumn("_boost", boost.boosted_prediction(F.col("trees"), F.col("params")))
+    wanted = both.select("trial_id", surrogate.blended("blend", surrogate.LEARNERS).alias("prediction"))
+    pick = lambda df: sorted(map(str, df.select("trial_id", "prediction").collect()))
+    assert pick(got) == pick(wanted)

@@ -10,15 +10,19 @@ node i are 2 i + 1 and 2 i + 2), kept in a table of one row per study, and apply
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tunekit.functions import arrays
+from tunekit.functions.arrays import quoted
 from tunekit.operators.trials import STUDY
 from tunekit.sources.session import through_table
 
@@ -72,6 +76,81 @@ def boosted_prediction(trees: Column, params: Column, depth: int = DEPTH, step:
     return arrays.total(values)
 
 
+def predicted(rows: DataFrame, state: DataFrame, depth: int = DEPTH, step: float = STEP) -> DataFrame:
+    """`rows` (study_id, params, ...) with `_linear`, `_boost` and `blend` from a state (study_id, coefs, intercept, trees and, if it has one, blend).
+
+    Rows and states are sorted by study, a state before its rows, and read as a stream, so trees are never copied to rows and a task holds
+    one batch of either.  The values are those of `boosted_prediction` and of coefs x params + intercept; unknown studies drop out.
+    """
+    own = [c for c in ("coefs", "intercept", "trees", "blend") if c in state.columns]
+    study = F.col("study_id")
+    a = rows.where(study.isNotNull()).select(study.alias("_s"), F.lit(1).alias("_kind"), F.struct(*[F.col(quoted(c)) for c in rows.columns]).alias("_row"))
+    b = state.where(study.isNotNull()).select(study.alias("_s"), F.lit(0).alias("_kind"), F.struct(*own).alias("_state"))
+    both = a.unionByName(b, allowMissingColumns=True).repartition("_s").sortWithinPartitions("_s", "_kind")
+    schema = T.StructType([both.schema["_row"], *[T.StructField(c, T.DoubleType()) for c in ("_linear", "_boost")], T.StructField("blend", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # (study, state) that the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.column("_kind").to_numpy()
+            studies, states = batch.column("_s"), batch.column("_state").filter(pa.array(kind == 0))
+            named = studies.filter(pa.array(kind == 0))
+            at = np.cumsum(kind == 0) - 1
+            if last is not None:
+                named, states, at = pa.concat_arrays([last[0], named]), pa.concat_arrays([last[1], states]), at + 1
+            if len(named):
+                last = (named.slice(len(named) - 1), states.slice(len(states) - 1))
+            mine = np.flatnonzero((kind == 1) & (at >= 0))
+            same = pc.equal(studies.take(pa.array(mine)), named.take(pa.array(at[mine]))).to_numpy(zero_copy_only=False) if len(mine) else np.zeros(0, bool)
+            mine = mine[same]
+            if len(mine):
+                found = batch.column("_row").take(pa.array(mine))
+                linear, boost, blend = _scores_of(found.field("params"), states, at[mine], depth, step)
+                yield pa.RecordBatch.from_arrays([found, linear, boost, blend], ["_row", "_linear", "_boost", "blend"])
+
+    return both.mapInArrow(run, schema).select("_row.*", "_linear", "_boost", "blend")
+
+
+def _scores_of(params: pa.Array, states: pa.StructArray, at: np.ndarray, depth: int, step: float) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(linear, boosted, blend weights) of parameter vectors, each by the state at its place."""
+    n = pc.list_value_length(params).fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    flat = params.flatten()
+    x, known = np.zeros((len(n), n.max(initial=1))), np.zeros((len(n), n.max(initial=1)), bool)
+    x[row, place] = flat.fill_null(0.0).to_numpy(zero_copy_only=False)
+    known[row, place] = flat.is_valid().to_numpy(zero_copy_only=False)
+
+    coefs = states.field("coefs")
+    width = pc.list_value_length(coefs).to_numpy(zero_copy_only=False)
+    slope = np.array(coefs.flatten()).reshape(len(states), -1)[at]
+    linear = np.zeros(len(n))
+    whole = (n == width[at]) & (known.sum(1) == n)
+    for j in range(min(x.shape[1], slope.shape[1])):
+        linear = linear + x[:, j] * slope[:, j]
+    linear = linear + states.field("intercept").to_numpy(zero_copy_only=False)[at]
+
+    trees = states.field("trees").flatten()
+    nodes = trees.flatten()
+    shape = (len(states), len(trees) // len(states), -1)
+    feature, threshold, value = (nodes.field(c).to_numpy(zero_copy_only=False).reshape(shape) for c in ("feature", "threshold", "value"))
+    boost, rows = np.zeros(len(n)), np.arange(len(n))
+    for t in range(feature.shape[1]):
+        node = np.zeros(len(n), np.int64)
+        for _ in range(depth):
+            f = feature[at, t, node]
+            here = np.minimum(np.maximum(f, 0), x.shape[1] - 1)
+            v = x[rows, here]
+            right = known[rows, here] & (f < x.shape[1]) & ((v > threshold[at, t, node]) | np.isnan(v))
+            node = np.where(f == LEAF, node, node * 2 + 1 + right)
+        boost = boost + value[at, t, node] * (1.0 if t == 0 else step)
+    names = [states.type.field(i).name for i in range(states.type.num_fields)]
+    blend = states.field("blend").take(pa.array(at)) if "blend" in names else pa.nulls(len(n), pa.list_(pa.float64()))
+    return pa.array(linear, mask=~whole), pa.array(boost), blend
+
+
 def _stumps(state: DataFrame, depth: int) -> DataFrame:
     """The state with an empty tree: one leaf without a value."""
     leaf = F.struct(F.lit(LEAF).alias("feature"), F.lit(0).alias("code"), F.lit(0.0).alias("threshold"), F.lit(0.0).alias("value"))

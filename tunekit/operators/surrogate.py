@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.functions import arrays
-from tunekit.operators.boost import DEPTH, ROUNDS, boosted_prediction, boosted_surrogates
+from tunekit.operators.boost import DEPTH, ROUNDS, boosted_surrogates, predicted
 from tunekit.operators.trials import STUDY
 from tunekit.sources.session import through_table
 
@@ -163,10 +163,10 @@ class Surrogate:
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Add `prediction` to a table with (study_id, params); unknown studies drop out."""
-        scored = df.join(self.state, STUDY).withColumn("_linear", linear_prediction())
         if not self.boosted:
+            scored = df.join(self.state, STUDY).withColumn("_linear", linear_prediction())
             return scored.select(*[F.col(c) for c in df.columns], F.col("_linear").alias("prediction"))
-        scored = scored.withColumn("_boost", boosted_prediction(F.col("trees"), F.col("params"), self.depth))
+        scored = predicted(df, self.state, self.depth)
         return scored.select(*[F.col(c) for c in df.columns], blended("blend", LEARNERS).alias("prediction"))
 
     def importances(self) -> DataFrame:
@@ -185,8 +185,7 @@ def fit_surrogate(trials: DataFrame, n_params: int, boost: bool = True, rounds:
         return Surrogate(through_table(state, "surrogate"), depth)
     # written once: one row per study, read by the weights and by every later prediction
     state = through_table(linear.join(boosted_surrogates(trials, n_params, rounds, depth), STUDY), "surrogate")
-    scored = trials.select(*STUDY, "params", "objective").join(state, STUDY).withColumn("_linear", linear_prediction())
-    scored = scored.withColumn("_boost", boosted_prediction(F.col("trees"), F.col("params"), depth))
+    scored = predicted(trials.select(*STUDY, "params", "objective"), state, depth)
     blend = blend_weights(scored, LEARNERS)
     a, b = F.element_at("blend", 1), F.element_at("blend", 2)
     state = (
