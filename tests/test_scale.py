@@ -79,3 +79,20 @@ def test_streamed_surrogate_equals_the_expression(spark, log):
     wanted = both.select("trial_id", surrogate.blended("blend", surrogate.LEARNERS).alias("prediction"))
     pick = lambda df: sorted(map(str, df.select("trial_id", "prediction").collect()))
     assert pick(got) == pick(wanted)
+
+
+def test_a_table_with_splits_for_every_core_is_not_dealt_out(spark, tmp_path):
+    from tunekit.catalog.views import train_wide
+
+    cores = spark.sparkContext.defaultParallelism
+    n = F.col("id")
+    rows = spark.range(400).select(
+        *[n.alias(c) for c in ("l_orderkey", "l_partkey", "l_suppkey")], F.lit(1).alias("l_linenumber"),
+        *[(n / 10.0).alias(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")],
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/few/lineitem.parquet")
+    rows.repartition(4 * cores).write.parquet(f"{tmp_path}/many/lineitem.parquet")
+    few, many = (train_wide(spark, f"{tmp_path}/{d}") for d in ("few", "many"))
+    exchange = lambda df: "RoundRobin" in df._jdf.queryExecution().toString()
+    assert exchange(few) and not exchange(many)
+    assert sorted(few.collect()) == sorted(many.collect())
