@@ -147,6 +147,28 @@ def test_a_failed_job_does_not_stop_the_others(spark, prepared):
     assert [f.trial_id for f in fits] == [1] and jobs[0].error and not jobs[1].error
 
 
+def test_a_query_does_not_leave_out_a_failed_model(spark, prepared, sf_dir, monkeypatch):
+    from tunekit.catalog import models
+
+    with pytest.raises(RuntimeError, match="maxBins"):
+        train.fit_every(prepared, [train.Job(0, train.FINAL, train.boosted(iters=1, bins=1)), train.Job(1, train.FINAL, train.logistic(0.2))])
+    broken = train.boosted
+    monkeypatch.setattr(train, "boosted", lambda: broken(iters=1, bins=1))
+    with pytest.raises(RuntimeError, match="maxBins"):
+        models.feature_importance(spark, sf_dir)
+
+
+def test_a_search_does_not_pass_over_a_failed_fit(spark, prepared, monkeypatch):
+    def fit_all(rows, jobs, parallelism=4):
+        jobs[-1].error = "lost"
+        return fit(rows, jobs[:-1], parallelism)
+
+    fit = train.fit_all
+    monkeypatch.setattr(train, "fit_all", fit_all)
+    with pytest.raises(RuntimeError, match="lost"):
+        select.backward_beam(prepared.filter("split = 'A'"), max_depth=1)
+
+
 # ------------------------------------------------------------------ chains and studies
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tunekit.operators import validate
 from tunekit.operators.columns import feature_names, slice_features
-from tunekit.operators.train import FINAL, Job, fit_all, logistic, stacked_scores
+from tunekit.operators.train import FINAL, Job, fit_every, logistic, stacked_scores
 
 ZERO = 1e-6  # coefficients up to this size count as 0
 GAIN = 1e-3  # AUC gain that keeps a dropped feature dropped
@@ -106,9 +106,7 @@ def backward_beam(
 
     def score(sets: list[tuple[int, ...]]) -> None:
         jobs = [Job(i, FINAL, logistic(0.0), list(s)) for i, s in enumerate(sets)]
-        fits = fit_all(train, jobs, parallelism)
-        if not fits:
-            raise RuntimeError(jobs[0].error)
+        fits = fit_every(train, jobs, parallelism)
         held = stacked_scores(data, fits).filter(F.col("split") == "B")
         found = validate.auc(held, ["trial_id"], weight="weight" if "weight" in data.columns else None).collect()
         scored.update({sets[r["trial_id"]]: r["auc"] for r in found})

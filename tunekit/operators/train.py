@@ -125,7 +125,7 @@ def reason(error: Exception) -> str:
 def fit_all(train: DataFrame, jobs: Sequence[Job], parallelism: int = 4) -> list[Fit]:
     """Fit all jobs on one prepared (cached) training table, at most `parallelism` at once; a column `weight` weighs its rows.
 
-    A job that fails keeps its message in `error` and gives no fit; the others go on.
+    A job that fails keeps its message in `error` and gives no fit; the others go on.  The caller reports it, or takes `fit_every`.
     """
 
     def run(job: Job) -> Fit | None:
@@ -151,6 +151,15 @@ def fit_all(train: DataFrame, jobs: Sequence[Job], parallelism: int = 4) -> list
         pool.close()
 
 
+def fit_every(train: DataFrame, jobs: Sequence[Job], parallelism: int = 4) -> list[Fit]:
+    """`fit_all` for callers whose result needs every model: a job that fails ends them with its message."""
+    fits = fit_all(train, jobs, parallelism)
+    failed = [j.error for j in jobs if j.error]
+    if failed:
+        raise RuntimeError(failed[0])
+    return fits
+
+
 def is_boosted(model: Model) -> bool:
     return hasattr(model, "trees") and hasattr(model, "treeWeights") and type(model).__name__.startswith("GBT")
 
@@ -260,10 +269,7 @@ def cross_validate(
     """Fit k fold models and the final one on split 'A' of `df`; (AUC pair per fold, final fit)."""
     train = df.filter(F.col("split") == "A")
     jobs = [Job(trial_id, i, estimator, list(indices) if indices else None) for i in [*range(k), FINAL]]
-    fits = fit_all(train, jobs, parallelism)
-    failed = [j.error for j in jobs if j.error]
-    if failed:
-        raise RuntimeError(failed[0])
+    fits = fit_every(train, jobs, parallelism)
     set_margin_ranges(train, fits)
     return validate_fits(df, fits), next(f for f in fits if f.fold == FINAL)
 
