@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector as as_vector
 from pyspark.sql import functions as F
 
-from tunekit.operators import boost, surrogate, train, trials, validate
+from tunekit.operators import boost, counted, surrogate, train, trials, validate
 
 
 def brute(score, label, weight):
@@ -96,3 +97,102 @@ def test_a_table_with_splits_for_every_core_is_not_dealt_out(spark, tmp_path):
     exchange = lambda df: "RoundRobin" in df._jdf.queryExecution().toString()
     assert exchange(few) and not exchange(many)
     assert sorted(few.collect()) == sorted(many.collect())
+
+
+def _few_valued(spark):
+    from tunekit.catalog.models import _prepared
+
+    df = _prepared(spark, "/root/testdata/sf0.001")
+    return df.withColumn("weight", F.col("label") * 2.0 + 0.5 + F.col("fold") / 4.0).persist()
+
+
+@pytest.mark.parametrize("weighed,indices", [(False, None), (True, [3, 0, 1])])
+def test_trees_of_counted_cells_are_those_of_rows(spark, monkeypatch, weighed, indices):
+    df = _few_valued(spark)
+    df = df if weighed else df.drop("weight")
+    rows = df.filter(F.col("split") == "A")
+    jobs = lambda: [train.Job(0, fold, train.boosted(iters=4, bins=12, depth=4), indices) for fold in (0, train.FINAL)]
+    whole = train.fit_every(rows, jobs())
+    monkeypatch.setattr(counted, "LEAST_ROWS", 0)
+    monkeypatch.setattr(counted, "GAIN", 0)
+    cells = train.fit_every(rows, jobs())
+    assert all(f.cuts is None for f in whole) and all(len(f.cuts) == len(indices or "four") for f in cells)
+    train.set_margin_ranges(rows, whole)
+    for a, b in zip(whole, cells):
+        assert a.margins == pytest.approx(b.margins, abs=1e-9)
+        assert dict(train.importances(a, "abcd")) == pytest.approx(dict(train.importances(b, "abcd")), abs=1e-9)
+    both = train.with_outputs(df, [*whole, *cells]).select(*[F.max(F.abs(F.col(f"_o{i}") - F.col(f"_o{i + 2}"))) for i in range(2)]).first()
+    assert max(both) < 1e-9
+    train.set_margin_ranges(rows, cells)
+    values = lambda fits: {r["fold"]: (r["train_value"], r["test_value"]) for r in train.validate_fits(df, fits).collect()}
+    for fold, pair in values(whole).items():
+        assert pair == pytest.approx(values(cells)[fold], abs=1e-9)
+    df.unpersist()
+
+
+def test_rows_that_no_model_tells_apart_are_scored_as_one(spark):
+    rows = [(as_row, "A", 0, 1.0) for as_row in ([0.0, 1.0, 5.0], [0.2, 9.0, 5.0], [0.7, 2.0, 5.0], [0.7, 2.0, 6.5], [float("nan"), 2.0, 5.0])]
+    df = spark.createDataFrame(rows, "x array<double>, split string, fold int, label double").select(as_vector("x").alias("features"), "split", "fold", "label")
+    found = counted.alike(df, [([0], [[0.5]]), ([2, 0], [[6.0], [0.7]])], ["split", "fold", "label"]).collect()
+    assert sorted(str((list(map(float, r["features"])), r["weight"])) for r in found) == sorted(
+        str((v, n)) for v, n in [([0.0, 0.0, 5.0], 2.0), ([0.7, 0.0, 5.0], 1.0), ([0.7, 0.0, 6.5], 1.0), ([float("nan"), 0.0, 5.0], 1.0)]
+    )
+
+
+def test_rows_of_one_cell_are_fitted_as_one(spark, monkeypatch):
+    n = F.col("id")
+    rows = spark.range(40_000).select(
+        F.array((n % 5).cast("double"), (n % 7).cast("double")).alias("x"), ((n % 5) * (n % 7) + n % 3 > 9).cast("double").alias("label"), F.lit("A").alias("split"), (n % 3).cast("int").alias("fold")
+    )
+    rows = rows.select(as_vector(F.col("x")).alias("features"), "label", "split", "fold").persist()
+    seen = []
+    fit = train.GBTClassifier.fit
+    monkeypatch.setattr(train.GBTClassifier, "fit", lambda self, df, *a: seen.append(df.count()) or fit(self, df, *a))
+    fits = train.fit_every(rows, [train.Job(0, f, train.boosted(iters=2)) for f in (0, train.FINAL)], parallelism=1)
+    assert len(seen) == 2 and max(seen) <= 70 and all(f.cuts for f in fits)
+    # what limits rows, or draws them, is fitted on rows
+    train.fit_every(rows, [train.Job(0, train.FINAL, train.boosted(iters=1, min_rows=2)), train.Job(0, train.FINAL, train.boosted(iters=1, sample=0.5))], parallelism=1)
+    assert seen[2:] == [40_000, 40_000]
+    rows.unpersist()
+
+
+def test_thresholds_of_many_values():
+    values = np.array([0.0] * 50 + [1.0] * 10 + [2.0] * 10 + [3.0] * 20 + [4.0] * 10)
+    assert counted.thresholds(values, np.ones(100), 4) == [0.5, 1.5, 2.5, 3.5]
+    assert counted.thresholds(values, np.ones(100), 3) == [0.5, 1.5, 2.5] and counted.thresholds(values, np.ones(100), 1) == [0.5]
+
+
+def test_a_fit_on_cells_refuses_what_one_on_rows_refuses(spark, monkeypatch):
+    monkeypatch.setattr(counted, "LEAST_ROWS", 0)
+    monkeypatch.setattr(counted, "GAIN", 0)
+    n = F.col("id")
+    rows = spark.range(400).select((n % 4).cast("double").alias("a"), (n % 3 > 0).cast("double").alias("label"), F.lit("A").alias("split"), F.lit(0).alias("fold"), F.lit(1.0).alias("weight"))
+    odd = F.when(n == 7, F.lit(float("nan")))
+    for column, value in (("a", odd.otherwise(n % 4)), ("a", F.when(n == 7, F.lit(float("inf"))).otherwise(n % 4)), ("weight", F.when(n == 7, -1.0).otherwise(1.0)), ("weight", odd.otherwise(1.0)), ("label", F.when(n != 7, 1.0))):
+        bad = spark.range(400).select((n % 4).cast("double").alias("a"), (n % 3 > 0).cast("double").alias("label"), F.lit("A").alias("split"), F.lit(0).alias("fold"), F.lit(1.0).alias("weight"), value.cast("double").alias("_new"))
+        bad = bad.withColumn(column, F.col("_new")).select(as_vector(F.array("a")).alias("features"), "label", "split", "fold", "weight")
+        job = train.Job(0, train.FINAL, train.boosted(iters=1))
+        assert train.fit_all(bad, [job]) == [] and job.error
+    assert train.fit_every(rows.withColumn("features", as_vector(F.array("a"))), [train.Job(0, train.FINAL, train.boosted(iters=1))])[0].cuts == [[0.5, 1.5, 2.5]]
+
+
+def test_a_saved_chain_codes_what_its_trees_read(spark, wide, tmp_path, monkeypatch):
+    from tunekit.catalog.views import FEATURES, KEYS
+    from tunekit.plans import report
+    from tunekit.plans.chain import Chain
+    from tunekit.plans.generation import run_candidates
+
+    monkeypatch.setattr(counted, "LEAST_ROWS", 0)
+    monkeypatch.setattr(counted, "GAIN", 0)
+    chain = Chain(("split", "assemble", "minmax", "lasso", "gbt", "auc"), n_features=4, folds=2)
+    params = [1.0, 1e-3, 3.0, 32.0, 3.0, 1.0, 0.1, 1.0]
+    marked = chain.marked(wide, FEATURES, KEYS)
+    done = run_candidates(marked, chain, [(0, params)])[0]
+    assert done.error is None and done.fit.cuts is not None
+    prepared = chain.prepare(marked, params)
+    chain.pipeline(prepared, done.fit).write().save(f"{tmp_path}/chain")
+    mine = train.with_outputs(prepared.table, [done.fit]).select(train.positive_score(done.fit, F.col("_o0")).alias("s"))
+    theirs = report.load_chain(f"{tmp_path}/chain").transform(marked).select(F.col(train.POSITIVE).alias("s"))
+    counts = [{round(r["s"], 9): r["n"] for r in d.groupBy("s").agg(F.count("s").alias("n")).collect()} for d in (mine, theirs)]
+    assert counts[0] == counts[1] and len(counts[0]) > 3
+    prepared.release()

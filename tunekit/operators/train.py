@@ -20,7 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunekit.operators import registry, validate
+from tunekit.operators import counted, registry, validate
 from tunekit.sources.session import through_table
 
 FINAL = -1  # fold number of the model fitted on all training rows
@@ -85,6 +85,7 @@ class Fit:
     model: Model
     indices: list[int] | None = None
     margins: tuple[float, float] | None = None  # smallest and largest training margin of boosted trees
+    cuts: counted.Cuts | None = None  # of a model that reads codes: the thresholds of its features
 
 
 @dataclass
@@ -125,6 +126,7 @@ def reason(error: Exception) -> str:
 def fit_all(train: DataFrame, jobs: Sequence[Job], parallelism: int = 4) -> list[Fit]:
     """Fit all jobs on one prepared (cached) training table, at most `parallelism` at once; a column `weight` weighs its rows.
 
+    Boosted trees of a long table are grown on counted cells where that gives the same trees (`operators.counted`).
     A job that fails keeps its message in `error` and gives no fit; the others go on.  The caller reports it, or takes `fit_every`.
     """
 
@@ -137,6 +139,11 @@ def fit_all(train: DataFrame, jobs: Sequence[Job], parallelism: int = 4) -> list
             if job.indices is not None:
                 rows = sliced(rows, job.indices, "_picked")
                 estimator.setFeaturesCol("_picked")
+            if counted.countable(estimator):
+                found = counted.fit(estimator, rows, estimator.getFeaturesCol(), "weight" if "weight" in train.columns else None)
+                if found is not None:
+                    model, cuts, margins = found
+                    return Fit(job.trial_id, job.fold, model, job.indices, margins, cuts)
             return Fit(job.trial_id, job.fold, estimator.fit(rows), job.indices)
         except Exception as e:  # noqa: BLE001 - a failed trial must not end the study
             job.error = reason(e)
@@ -177,13 +184,15 @@ def with_outputs(df: DataFrame, fits: Sequence[Fit]) -> DataFrame:
             df = sliced(df, f.indices, name)
     for i, f in enumerate(fits):
         column = "features" if f.indices is None else slices[tuple(f.indices)]
+        if f.cuts is not None:
+            df, column = counted.coded(df, column, f.cuts, f"_codes{i}"), f"_codes{i}"
         model = f.model.copy().setFeaturesCol(column).setPredictionCol("")
         if is_boosted(f.model):
             model = model.setRawPredictionCol(f"_v{i}").setProbabilityCol("")
         else:
             model = model.setRawPredictionCol("").setProbabilityCol(f"_v{i}")
         df = model.transform(df).withColumn(f"_o{i}", F.element_at(vector_to_array(f"_v{i}"), 2)).drop(f"_v{i}")
-    return df.drop(*slices.values())
+    return df.drop(*slices.values(), *[f"_codes{i}" for i in range(len(fits))])
 
 
 def set_margin_ranges(train: DataFrame, fits: Sequence[Fit]) -> None:
@@ -230,7 +239,12 @@ def stacked_scores(df: DataFrame, fits: Sequence[Fit]) -> DataFrame:
 
 
 def _score_runs(df: DataFrame, fits: Sequence[Fit]) -> DataFrame:
-    """The scores of `stacked_scores` as the runs that `validate.auc_of_runs` ranks."""
+    """The scores of `stacked_scores` as the runs that `validate.auc_of_runs` ranks.
+
+    Where all models read codes, rows that none of them tells apart are counted first and scored as one.
+    """
+    if all(f.cuts is not None for f in fits):
+        df = counted.alike(df, [(f.indices, f.cuts) for f in fits], ["split", "fold", "label"], "weight" if "weight" in df.columns else None)
     scored = with_outputs(df, fits)
     own = ["split", "fold", "label", *(["weight"] if "weight" in df.columns else [])]
     outputs = [f"_s{i}" for i in range(len(fits))]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tunekit.functions.draws import uniform, uniform_fast
-from tunekit.operators import registry, select, split, train
+from tunekit.operators import counted, registry, select, split, train
 from tunekit.operators.columns import assemble
 from tunekit.operators.evaluate import correlations
 from tunekit.operators.prep import Prep
@@ -263,6 +263,12 @@ class Chain:
         if fit.indices is not None:
             stages.append(VectorSlicer(inputCol=column, outputCol="features_selected", indices=fit.indices))
             column = "features_selected"
+        if fit.cuts is not None:
+            read = inputs if fit.indices is None else [inputs[i] for i in fit.indices]
+            codes = [f"{self.trainer}_code_{i}" for i in range(len(read))]
+            stages.append(counted.coder(fit.cuts, read, codes))
+            column = "features_coded"
+            stages.append(VectorAssembler(inputCols=codes, outputCol=column, handleInvalid="error"))
         stages.append(fit.model.copy().setFeaturesCol(column))
         if fit.margins is not None:
             stages.append(train.margin_stage(*fit.margins))
