@@ -196,3 +196,44 @@ def test_a_saved_chain_codes_what_its_trees_read(spark, wide, tmp_path, monkeypa
     counts = [{round(r["s"], 9): r["n"] for r in d.groupBy("s").agg(F.count("s").alias("n")).collect()} for d in (mine, theirs)]
     assert counts[0] == counts[1] and len(counts[0]) > 3
     prepared.release()
+
+
+def test_written_tables_of_many_rows_are_not_broadcast(spark, monkeypatch):
+    from tunekit.sources import session
+
+    monkeypatch.setattr(session, "HELD_ROWS", 100)
+    one = F.lit(1).alias("n")
+    side = spark.range(5000).select("id", one)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for rows, name in ((50, "Broadcast"), (500, "SortMerge")):
+        table = session.through_table(spark.range(rows).select("id"), "numbers", merged=True)
+        assert table.count() == rows and f"{name}" in plan(side.join(table.where("id > 3").distinct(), "id"))
+    assert session.through_table(spark.range(9).where("false"), "numbers", merged=True).count() == 0
+    assert session.through_table(spark.createDataFrame([], "id long"), "numbers", merged=True).count() == 0
+
+
+def test_no_generation_holds_its_slots_or_the_log(spark, log, monkeypatch):
+    from tunekit.catalog.log import SPACE
+    from tunekit.plans.generation import next_candidates
+    from tunekit.sources import session
+
+    fitted = surrogate.fit_surrogate(log, 3)
+    pick = lambda df: sorted(map(str, df.collect()))
+    wanted = pick(next_candidates(log, SPACE, surrogate=fitted))
+    monkeypatch.setattr(session, "HELD_ROWS", 0)
+    plans = []
+    write = session.through_table
+
+    def noted(df, name, merged=False):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name, merged)
+
+    from tunekit.plans import generation
+
+    monkeypatch.setattr(generation, "through_table", noted)
+    assert pick(next_candidates(log, SPACE, surrogate=fitted)) == wanted
+    for name, plan in plans:
+        if name in ("states", "proposals"):
+            assert not [line for line in plan.split("\n") if "BroadcastExchange" in line and "slot" in line], (name, plan)
+    near = trials.near_duplicates(log.select("study_id", F.lit(1).alias("slot"), "params", F.lit(None).cast("array<double>").alias("parent")), log)
+    assert "SortMergeJoin" in near._jdf.queryExecution().executedPlan().toString()

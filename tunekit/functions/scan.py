@@ -66,7 +66,7 @@ def with_chunks(df: DataFrame, keys: Sequence[str], order: Column, rows: int = C
     inner = F.sequence(F.lit(1), F.greatest(parts - 1, F.lit(1)))
     own = F.array_distinct(F.transform(inner, lambda i: F.element_at("_cuts", F.round(i * cuts / parts).cast("int"))))
     size = size.withColumn("_cuts", F.when(parts > 1, own).otherwise(F.array().cast("array<double>")))
-    size = through_table(size, "cuts")
+    size = through_table(size, "cuts", merged=True)
     below = F.filter("_cuts", lambda c: c <= F.col("_order"))
     low = F.coalesce(F.try_element_at(below, F.lit(-1)), F.col("_lo"))
     high = F.coalesce(F.get("_cuts", F.size(below)), F.col("_hi"))

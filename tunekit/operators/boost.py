@@ -247,9 +247,9 @@ def boosted_surrogates(
     count.  What is written on the way is one table of cells and, for studies beyond `local_cells`, one table per level.
     """
     log = trials.where("objective IS NOT NULL")
-    cuts = through_table(quantile_cuts(log, n_params, codes), "cuts")
+    cuts = through_table(quantile_cuts(log, n_params, codes), "cuts", merged=True)
     cells = through_table(coded_cells(log, cuts), "cells")
-    sizes = through_table(cells.groupBy(*STUDY).agg(F.count(F.lit(1)).alias("cells")), "sizes")
+    sizes = through_table(cells.groupBy(*STUDY).agg(F.count(F.lit(1)).alias("cells")), "sizes", merged=True)
     small, large = sizes.where(F.col("cells") <= local_cells), sizes.where(F.col("cells") > local_cells)
     whole = small.agg(F.sum("cells").alias("cells"), F.count(F.lit(1)).alias("studies")).first()
     parts = max(1, ceil((whole["cells"] or 0) / TASK_CELLS), ceil(whole["studies"] * 2 ** max(depth - 1, 0) * n_params * codes / TASK_SUMS))
@@ -266,7 +266,7 @@ def boosted_surrogates(
         own = large.select(*STUDY)
         parts_of = (cells.join(own, STUDY, "left_semi"), cuts.join(own, STUDY, "left_semi"))
         found = found.unionByName(boosted_by_levels(*parts_of, n_params, rounds, depth, step, min_rows))
-    return through_table(found, "trees")
+    return through_table(found, "trees", merged=True)
 
 
 def boosted_by_levels(cells: DataFrame, cuts: DataFrame, n_params: int, rounds: int, depth: int, step: float, min_rows: int) -> DataFrame:
@@ -278,7 +278,7 @@ def boosted_by_levels(cells: DataFrame, cuts: DataFrame, n_params: int, rounds:
         grown_state = _stumps(state, depth).withColumn("gains", zero)
         for level in range(depth):
             splits = best_splits(rows, grown_state, level, min_rows)
-            grown_state = through_table(grown(grown_state, splits, n_params), "trees")
+            grown_state = through_table(grown(grown_state, splits, n_params), "trees", merged=True)
         whole = arrays.total(F.col("gains"))
         share = F.when(whole > 0, F.transform("gains", lambda g: g / whole)).otherwise(zero)
         state = grown_state.select(

@@ -311,19 +311,25 @@ def pick_strategy(
 
     With a column `alive` (1 or 0 per strategy) a study never draws those that have nothing left to propose in it.
     """
+    rows = table.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    return with_strategy(rows, names, dead, salt).select(*KEY, "strategy")
+
+
+def with_strategy(rows: DataFrame, names: Sequence[str] = STRATEGIES, dead: Sequence[str] = (), salt: str = "strategy") -> DataFrame:
+    """`pick_strategy` for rows that have their slot: `rewards` and `alive` make way for `strategy`."""
     alive = F.array(*[F.lit(0.0 if n in dead else 1.0) for n in names])
-    if "alive" in table.columns:
+    if "alive" in rows.columns:
         alive = F.zip_with("alive", alive, lambda a, b: a * b)
     low = F.array_min("rewards")
-    df = bind(table, _floor=low - F.lit(1e-6) * F.abs(low)).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    df = bind(rows, _floor=low - F.lit(1e-6) * F.abs(low))
     floor = F.col("_floor")
     jittered = F.transform(
         "rewards", lambda r, i: F.greatest(gaussian(r - floor, STRATEGY_JITTER, normal([*KEY, i], f"{salt}/n")), F.lit(0.0))
     )
     weights = F.zip_with(jittered, alive, lambda w, a: w * a)
     df = bind(df, _i=arrays.roulette_index(weights, uniform(KEY, f"{salt}/u")))
-    idx = F.col("_i")
-    return df.select(*KEY, F.element_at(F.array(*[F.lit(n) for n in names]), idx + 1).alias("strategy"))
+    strategy = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)
+    return df.withColumn("strategy", strategy).drop("rewards", "alive", "_floor", "_i")
 
 
 def acceptance(estimate: Column, current: Column, ratio: Column | float, attempt: Column, u: Column) -> Column:

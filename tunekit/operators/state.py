@@ -38,7 +38,7 @@ def widest_gaps(trials: DataFrame, n_params: int) -> DataFrame:
     """
     values = F.concat("params", F.array(arrays.norm(F.col("params"))))
     long = trials.select(*STUDY, "trial_id", F.posexplode(values).alias("at", "v"))
-    found = through_table(tl.largest_gap(long, [*STUDY, "at"], "v", "trial_id"), "gaps")
+    found = through_table(tl.largest_gap(long, [*STUDY, "at"], "v", "trial_id"), "gaps", merged=True)
     cell = F.struct("balanced", "low", "high", F.col("lower.v").alias("lower"), F.col("upper.v").alias("upper"))
     own = [F.max(F.when(F.col("at") == i, cell)).alias(f"g{i}") for i in range(n_params)]
     gaps = found.groupBy(*STUDY).agg(*own).select(*STUDY, F.array(*[f"g{i}" for i in range(n_params)]).alias("gaps"))

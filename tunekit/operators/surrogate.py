@@ -182,9 +182,9 @@ def fit_surrogate(trials: DataFrame, n_params: int, boost: bool = True, rounds:
     linear = linear_surrogate(trials, n_params)
     if not boost:
         state = linear.withColumn("weights", F.col("coefs")).withColumn("blend", arrays.lit_array([1.0]))
-        return Surrogate(through_table(state, "surrogate"), depth)
+        return Surrogate(through_table(state, "surrogate", merged=True), depth)
     # written once: one row per study, read by the weights and by every later prediction
-    state = through_table(linear.join(boosted_surrogates(trials, n_params, rounds, depth), STUDY), "surrogate")
+    state = through_table(linear.join(boosted_surrogates(trials, n_params, rounds, depth), STUDY), "surrogate", merged=True)
     scored = predicted(trials.select(*STUDY, "params", "objective"), state, depth)
     blend = blend_weights(scored, LEARNERS)
     a, b = F.element_at("blend", 1), F.element_at("blend", 2)
@@ -194,4 +194,4 @@ def fit_surrogate(trials: DataFrame, n_params: int, boost: bool = True, rounds:
         .withColumn("weights", F.transform("coefs", lambda c: a * c))  # trees have no slopes
         .drop("tree_importances")
     )
-    return Surrogate(through_table(state, "surrogate"), depth)
+    return Surrogate(through_table(state, "surrogate", merged=True), depth)

@@ -107,7 +107,8 @@ def near_duplicates(candidates: DataFrame, trials: DataFrame, eps: float = SAME)
     past = seen.select("*", _cell(F.col("norm"), eps).alias("c1"), _cell(_along(), eps).alias("c2"))
     past = past.select(*STUDY, "c1", "c2", F.col("params").alias("old"), F.col("norm").alias("old_norm"))
     limit = F.col("span") * F.lit(float(eps))
-    past = past.select(*[F.col(c).alias(f"_{c}") for c in (*STUDY, "c1", "c2")], "old", "old_norm")
+    # the whole log, which no driver holds however small its files are
+    past = past.select(*[F.col(c).alias(f"_{c}") for c in (*STUDY, "c1", "c2")], "old", "old_norm").hint("merge")
     same = [F.col(c) == F.col(f"_{c}") for c in (*STUDY, "c1", "c2")]
     near = (
         (F.abs(F.col("norm") - F.col("old_norm")) < limit)
@@ -137,7 +138,7 @@ def largest_gap(df: DataFrame, keys: Sequence[str], value: str, id_col: str, pay
     payload = payload if payload is not None else F.lit(None).cast("double")
     base = df.select(*keys, F.col(value).alias("v"), F.col(id_col).alias("id"), payload.alias("payload"))
     size = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    size = through_table(size, "sizes")
+    size = through_table(size, "sizes", merged=True)
     rows = size.agg(F.sum("n")).first()[0] or 0
     parts = max(ceil(rows / GAP_ROWS), df.sparkSession.sparkContext.defaultParallelism)
     width = F.col("high") - F.col("low")

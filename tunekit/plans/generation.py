@@ -44,29 +44,30 @@ def next_candidates(
     """
     surrogate = surrogate or fit_surrogate(trials, len(space))
     # the log is read for the states, once, and by the search for near-duplicates; proposals are projections of the states
-    base = through_table(study_states(trials, len(space)), "states")
-    state = pr.slotted(base, space, slots * attempts, surrogate.importances())
+    base = through_table(study_states(trials, len(space)), "states", merged=True)
     table = pr.strategy_table(base.select(*tl.STUDY), pr.rewards(trials), names)
     alive = base.select(*tl.STUDY, spent(base, names, space.array("low"), space.array("high")).alias("alive"))
-    table = through_table(table.join(alive, tl.STUDY), "strategies")
+    table = through_table(table.join(alive, tl.STUDY), "strategies", merged=True)
+    # a study's row meets its rewards before it is repeated for the slots
+    state = pr.slotted(base.join(table, tl.STUDY), space, slots * attempts, surrogate.importances())
     real = F.floor(F.col("slot") / attempts).cast("int")
     found, missing = [], None
     for again in range(pr.TRIES + 1):
         own = f"{salt}/again{again}" if again else salt
-        rows = state.join(pr.pick_strategy(table, slots * attempts, names, salt=f"{own}/pick"), pr.KEY)
+        rows = pr.with_strategy(state, names, salt=f"{own}/pick")
         if missing is not None:
             rows = rows.withColumn("real", real).join(missing, ["study_id", "real"], "left_semi").drop("real")
         # written once: each strategy reads only its own rows of it
-        drawn = through_table(rows, "states")
+        drawn = through_table(rows, "states", merged=True)
         parts = [pr.propose(n, drawn.filter(F.col("strategy") == n), trials, space, own, factor * 2.0**again) for n in names]
-        proposals = through_table(reduce(DataFrame.unionByName, parts), "proposals")
+        proposals = through_table(reduce(DataFrame.unionByName, parts), "proposals", merged=True)
         fresh = tl.drop_duplicates(proposals, trials)
         current = drawn.select(*pr.KEY, F.col("current.objective").alias("current_objective"))
         scored = surrogate.predict(fresh).withColumnRenamed("prediction", "estimate").join(current, pr.KEY)
-        scored = through_table(scored, "proposals")
+        scored = through_table(scored, "proposals", merged=True)
         found.append(scored)
         have = scored.select("study_id", real.alias("real"))
-        missing = through_table(drawn.select("study_id", real.alias("real")).distinct().join(have, ["study_id", "real"], "left_anti"), "proposals")
+        missing = through_table(drawn.select("study_id", real.alias("real")).distinct().join(have, ["study_id", "real"], "left_anti"), "proposals", merged=True)
         if missing.isEmpty():
             break
     order = Window.partitionBy("study_id", "real").orderBy("slot")
