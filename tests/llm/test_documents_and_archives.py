@@ -126,6 +126,31 @@ def test_repeated_strings_on_documents(spark, sf_dir):
     assert removal(df) == plain_removal([tuple(r) for r in df.collect()])
 
 
+def test_of_equal_texts_one_takes_part(spark, monkeypatch):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abc é", k=n))
+    texts = [text(300), text(120), text(50), text(20), ""]
+    rows = [(rng.choice([None, *range(40)]), rng.choice(texts)) for _ in range(200)]
+    rows += [(100 + i, texts[0][: 60 + i] + text(30)) for i in range(10)] + [(-5, texts[1][10:90]), (3, texts[0]), (3, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    minimized = spark.sparkContext.accumulator(0)
+
+    def noted(data, width):
+        minimized.add(len(data) >= 50)
+        return minimizers(data, width)
+
+    minimizers = suffix_dedup.minimizers
+    monkeypatch.setattr(suffix_dedup, "minimizers", noted)
+    assert removal(df) == plain_removal(rows)
+    # a document is cut into runs when they are counted and when they are sent; copies under larger ids are not
+    first = {t: min(i for i, x in rows if x == t and i is not None) for t in texts if len(t.encode()) >= 50}
+    own = sum(i is not None and first.get(t, i) == i and len(t.encode()) >= 50 for i, t in rows)
+    assert 0 < minimized.value <= 2 * own
+    parts = df.selectExpr("doc_id", "cast(text as binary) body", "pmod(doc_id, 3) bucket")
+    found = {(r["bucket"], bytes(r["digest"]), r["least"]) for r in suffix_dedup.copied(parts).collect()}
+    assert found == {(i % 3, hashlib.sha256(t.encode()).digest(), first[t]) for i, t in rows if i is not None and t in first and i > first[t]}
+
+
 def test_bins_do_not_hold_every_context_of_a_frequent_phrase(spark, tmp_path, monkeypatch):
     rng = random.Random(8)
     word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
